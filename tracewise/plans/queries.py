@@ -199,3 +199,82 @@ def supplier_type(spark, sf_dir):
     """A6, J13, P7."""
     t = _t(spark, sf_dir)[1]
     return sourcing.supplier_type(t.suppliers, t.sourcing)
+
+
+# -- validated ingest ----------------------------------------------------------
+def _split_events(t):
+    le = t.lifecycle_events
+    cut = F.lit(BATCH_CUTOFF).cast("timestamp_ntz")
+    return le.filter(F.col("EventDate") < cut), le.filter(F.col("EventDate") >= cut)
+
+
+@query
+def disposal_gate(spark, sf_dir):
+    """Events from the cutoff on are the batch, earlier ones stored."""
+    stored, batch = _split_events(_t(spark, sf_dir)[1])
+    d = gates.disposal_gate(stored, batch.select("EventID", "InstanceID", "EventType"))
+    return gates.with_status(d)
+
+
+@query
+def hazard_weight_gate(spark, sf_dir):
+    """G2, G3, P5, F10."""
+    d, t = _t(spark, sf_dir)
+    out = gates.hazard_weight_gate(d.composition_candidates(), t.raw_materials)
+    return gates.with_status(out.withColumn("WeightInGrams",
+                                            F.col("WeightInGrams").cast("double")))
+
+
+@query
+def sourcing_gate(spark, sf_dir):
+    """G4."""
+    d, _ = _t(spark, sf_dir)
+    return gates.with_status(gates.sourcing_gate(d.sourcing_requests()))
+
+
+@query
+def register_instances(spark, sf_dir):
+    """G5, R2, F9."""
+    d, t = _t(spark, sf_dir)
+    decided, _ = gates.register_instances(t.product_instances, t.products,
+                                          d.registration_requests(), t.lifecycle_events,
+                                          AS_OF)
+    return gates.with_status(decided).select(
+        "RequestID", "SerialNumber", "ProductID", "InstanceID", "EventID", "status", "reason")
+
+
+@query
+def append_events(spark, sf_dir):
+    """G6, G1, P10."""
+    d, t = _t(spark, sf_dir)
+    stored, _ = _split_events(t)
+    out = gates.append_events(t.product_instances, stored, d.event_requests(), AS_OF)
+    return gates.with_status(out).select(
+        "RequestID", "InstanceID", "EventType", "EventID", "status", "reason")
+
+
+@query
+def recycle_events(spark, sf_dir):
+    """G7, J11, scope 'product'."""
+    t = _t(spark, sf_dir)[1]
+    return gates.recycle_events(t.product_instances, t.product_root, t.bill_of_material,
+                                t.component_composition, t.raw_materials, AS_OF,
+                                scope="product").select("InstanceID", "EventType")
+
+
+@query
+def add_suppliers(spark, sf_dir):
+    """G8."""
+    d, t = _t(spark, sf_dir)
+    return gates.with_status(gates.add_suppliers(t.suppliers, d.supplier_requests()))
+
+
+@query
+def archive_delete(spark, sf_dir):
+    """Events of the first day archived, the rest kept."""
+    le = _t(spark, sf_dir)[1].lifecycle_events.select("EventID", "InstanceID", "EventType",
+                                                       "EventDate")
+    kept, backup = gates.archive_delete(
+        le, F.col("EventDate") < F.lit("2024-01-02").cast("timestamp_ntz"))
+    return (kept.withColumn("archived", F.lit(False))
+            .unionByName(backup.withColumn("archived", F.lit(True))).drop("EventDate"))
