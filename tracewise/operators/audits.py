@@ -1 +1,171 @@
-"""placeholder"""
+"""Constraint audits: the keys, NOT NULLs, CHECKs and lengths the schema
+declares and Spark does not enforce (Q1-Q6).
+
+The rules are data (``RULES``); ``audit_report`` evaluates them all and
+returns one row per rule with its violation count. Row-level rules of a
+table (NOT NULL, CHECK, length) are counted in one aggregate pass over that
+table; key duplicates are a grouped count; orphans a left-anti join.
+Text keys compare case-insensitively, as the database's default collation.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..sources.tables import LifecycleTables
+
+
+@dataclass(frozen=True)
+class Rule:
+    table: str
+    kind: str            # primary_key, unique, foreign_key, not_null, check, length
+    columns: tuple[str, ...]
+    ref: tuple[str, str] | None = None   # (table, column) for foreign keys
+    limit: int | None = None             # for length
+
+    @property
+    def name(self) -> str:
+        cols = ",".join(self.columns)
+        if self.kind == "foreign_key":
+            return f"foreign_key:{cols}->{self.ref[0]}.{self.ref[1]}"
+        if self.kind == "length":
+            return f"length:{cols}<={self.limit}"
+        return f"{self.kind}:{cols}"
+
+
+TEXT = {(t, f.name) for t, s in schemas.SCHEMAS.items() for f in s.fields
+        if f.dataType == schemas.S}
+
+RULES: list[Rule] = [
+    Rule("products", "primary_key", ("ProductID",)),
+    Rule("components", "primary_key", ("ComponentID",)),
+    Rule("raw_materials", "primary_key", ("MaterialID",)),
+    Rule("suppliers", "primary_key", ("SupplierID",)),
+    Rule("product_instances", "primary_key", ("InstanceID",)),
+    Rule("product_instances", "unique", ("SerialNumber",)),
+    Rule("lifecycle_events", "primary_key", ("EventID",)),
+    Rule("bill_of_material", "primary_key", ("ParentComponentID", "ChildComponentID")),
+    Rule("component_composition", "primary_key", ("ComponentID", "MaterialID")),
+    Rule("sourcing", "primary_key", ("SourcingID",)),
+    Rule("product_instances", "foreign_key", ("ProductID",), ("products", "ProductID")),
+    Rule("lifecycle_events", "foreign_key", ("InstanceID",), ("product_instances", "InstanceID")),
+    Rule("bill_of_material", "foreign_key", ("ParentComponentID",), ("components", "ComponentID")),
+    Rule("bill_of_material", "foreign_key", ("ChildComponentID",), ("components", "ComponentID")),
+    Rule("component_composition", "foreign_key", ("ComponentID",), ("components", "ComponentID")),
+    Rule("component_composition", "foreign_key", ("MaterialID",), ("raw_materials", "MaterialID")),
+    Rule("sourcing", "foreign_key", ("SupplierID",), ("suppliers", "SupplierID")),
+    Rule("sourcing", "foreign_key", ("ComponentID",), ("components", "ComponentID")),
+    Rule("sourcing", "foreign_key", ("MaterialID",), ("raw_materials", "MaterialID")),
+    *[Rule(t, "not_null", (c,)) for t, cols in [
+        ("products", ("ProductID", "ModelName")),
+        ("components", ("ComponentID", "ComponentName")),
+        ("raw_materials", ("MaterialID", "MaterialName")),
+        ("suppliers", ("SupplierID", "SupplierName")),
+        ("product_instances", ("InstanceID", "SerialNumber", "ProductID")),
+        ("lifecycle_events", ("EventID", "EventType", "EventDate", "InstanceID")),
+        ("bill_of_material", ("ParentComponentID", "ChildComponentID", "Quantity")),
+        ("component_composition", ("ComponentID", "MaterialID", "WeightInGrams")),
+        ("sourcing", ("SourcingID", "SupplierID")),
+    ] for c in cols],
+    Rule("bill_of_material", "check", ("Quantity",)),
+    Rule("component_composition", "check", ("WeightInGrams",)),
+    Rule("sourcing", "check", ("ComponentID", "MaterialID")),
+    *[Rule(t, "length", (c,), limit=n) for (t, c), n in schemas.VARCHAR_LIMITS.items()],
+]
+
+
+def _key(table: str, c: str):
+    """Key column as compared by the database: text case-insensitively."""
+    return F.lower(F.col(c)) if (table, c) in TEXT else F.col(c)
+
+
+def _violation(rule: Rule):
+    """Row-level violation predicate (NULL counts as passing, as in SQL)."""
+    if rule.kind == "not_null":
+        return F.col(rule.columns[0]).isNull()
+    if rule.kind == "length":
+        return F.length(F.col(rule.columns[0])) > rule.limit
+    if rule.kind == "check":
+        if rule.columns == ("ComponentID", "MaterialID"):
+            c, m = F.col("ComponentID"), F.col("MaterialID")
+            ok = (c.isNotNull() & m.isNull()) | (c.isNull() & m.isNotNull())
+        else:
+            ok = F.col(rule.columns[0]) > 0
+        return ~F.coalesce(ok, F.lit(True))
+    raise ValueError(rule.kind)
+
+
+def _one_row(table: str, name: str, count_col) -> DataFrame:
+    return count_col.select(F.lit(table).alias("table_name"), F.lit(name).alias("check_name"),
+                            F.col("violations").cast("bigint").alias("violations"))
+
+
+def audit_report(t: LifecycleTables, rules: list[Rule] = RULES) -> DataFrame:
+    """One row per rule: table_name, check_name, violations (Q1-Q6)."""
+    frames: list[DataFrame] = []
+    by_table: dict[str, list[Rule]] = {}
+    for r in rules:
+        if r.kind in ("not_null", "check", "length"):
+            by_table.setdefault(r.table, []).append(r)
+    for table, rs in by_table.items():
+        df = getattr(t, table)
+        agg = df.agg(*[F.count_if(_violation(r)).alias(f"_{i}") for i, r in enumerate(rs)])
+        pairs = F.array(*[F.struct(F.lit(r.name).alias("check_name"),
+                                   F.col(f"_{i}").alias("violations"))
+                          for i, r in enumerate(rs)])
+        frames.append(agg.select(F.explode(pairs).alias("p")).select(
+            F.lit(table).alias("table_name"), F.col("p.check_name").alias("check_name"),
+            F.col("p.violations").cast("bigint").alias("violations")))
+    for r in rules:
+        df = getattr(t, r.table)
+        if r.kind in ("primary_key", "unique"):
+            keys = [_key(r.table, c).alias(f"_k{i}") for i, c in enumerate(r.columns)]
+            notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns])
+            dup = df.filter(notnull).groupBy(*keys).count().filter(F.col("count") > 1)
+            frames.append(_one_row(r.table, r.name, dup.agg(F.count(F.lit(1)).alias("violations"))))
+        elif r.kind == "foreign_key":
+            c = r.columns[0]
+            child = df.filter(F.col(c).isNotNull()).select(_key(r.table, c).alias("_k"))
+            parent = getattr(t, r.ref[0]).select(_key(r.ref[0], r.ref[1]).alias("_k"))
+            orphans = child.join(parent, "_k", "left_anti")
+            frames.append(_one_row(r.table, r.name,
+                                   orphans.agg(F.count(F.lit(1)).alias("violations"))))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def audit_sql(rules: list[Rule] = RULES) -> str:
+    """The same audit as one SQL text (the DuckDB oracle)."""
+    parts = []
+    for r in rules:
+        head = f"select '{r.table}' as table_name, '{r.name}' as check_name, "
+        if r.kind == "not_null":
+            parts.append(head + f"count(*) filter (where {r.columns[0]} is null) as violations "
+                                f"from {r.table}")
+        elif r.kind == "length":
+            parts.append(head + f"count(*) filter (where length({r.columns[0]}) > {r.limit}) "
+                                f"as violations from {r.table}")
+        elif r.kind == "check":
+            if r.columns == ("ComponentID", "MaterialID"):
+                cond = ("(ComponentID is not null and MaterialID is null) or "
+                        "(ComponentID is null and MaterialID is not null)")
+            else:
+                cond = f"{r.columns[0]} > 0"
+            parts.append(head + f"count(*) filter (where not coalesce({cond}, true)) "
+                                f"as violations from {r.table}")
+        elif r.kind in ("primary_key", "unique"):
+            keys = ", ".join(f"lower({c})" if (r.table, c) in TEXT else c for c in r.columns)
+            nn = " and ".join(f"{c} is not null" for c in r.columns)
+            parts.append(head + f"count(*) as violations from (select {keys} from {r.table} "
+                                f"where {nn} group by all having count(*) > 1) d")
+        elif r.kind == "foreign_key":
+            c = r.columns[0]
+            ck = f"lower(x.{c})" if (r.table, c) in TEXT else f"x.{c}"
+            pk = f"lower(y.{r.ref[1]})" if r.ref in TEXT else f"y.{r.ref[1]}"
+            parts.append(head + f"count(*) as violations from {r.table} x where x.{c} is not null "
+                                f"and not exists (select 1 from {r.ref[0]} y where {pk} = {ck})")
+    return "\nunion all\n".join(parts)
