@@ -338,3 +338,21 @@ def train_predict(spark, sf_dir):
     fitted = model.fit_logistic(train, cols)
     return model.predict(fitted, test).select("InstanceID", "target", "prediction",
                                               F.round("p_recycle", 6).alias("p_recycle"))
+
+
+# -- streaming -----------------------------------------------------------------
+@query
+def stream_disposal_gate(spark, sf_dir):
+    """The disposal gate as keyed streaming state over the events files
+    (nothing stored before the stream starts)."""
+    from ..streaming.runner import run_disposal_gate
+
+    return spark.read.parquet(run_disposal_gate(spark, sf_dir))
+
+
+@query
+def stream_outcomes(spark, sf_dir):
+    """Running event distribution from the events stream."""
+    from ..streaming.runner import run_outcomes
+
+    return spark.read.parquet(run_outcomes(spark, sf_dir))

@@ -34,6 +34,19 @@ def _assembly_id(status: str, key: str) -> Column:
                     F.col(key).cast("string"))
 
 
+def events_as_lifecycle(events: DataFrame) -> DataFrame:
+    """The driver's events (batch or stream) as lifecycle events."""
+    et = F.col("event_type")
+    etype = (F.when(et == "signup", "Manufactured").when(et == "purchase", "Sold")
+             .when(et == "click", "Repair").when(et == "error", "Disposed")
+             .when((F.col("event_id") % 3) == 0, "Recycled_Hazardous")
+             .otherwise("Recycled"))
+    return events.select(
+        F.col("event_id").alias("EventID"), etype.alias("EventType"),
+        F.col("ts").alias("EventDate"),
+        (F.col("user_id") * 10 + F.col("event_id") % 7 + 1).alias("InstanceID"))
+
+
 class DriverTables:
     """Column-pruned readers of the driver's parquet tables."""
 
@@ -84,15 +97,8 @@ class DriverTables:
             _id("P", "c_custkey").alias("ProductID"))
 
     def lifecycle_events(self) -> DataFrame:
-        et = F.col("event_type")
-        etype = (F.when(et == "signup", "Manufactured").when(et == "purchase", "Sold")
-                 .when(et == "click", "Repair").when(et == "error", "Disposed")
-                 .when((F.col("event_id") % 3) == 0, "Recycled_Hazardous")
-                 .otherwise("Recycled"))
-        return self.read("events", "event_id", "ts", "user_id", "event_type").select(
-            F.col("event_id").alias("EventID"), etype.alias("EventType"),
-            F.col("ts").alias("EventDate"),
-            (F.col("user_id") * 10 + F.col("event_id") % 7 + 1).alias("InstanceID"))
+        return events_as_lifecycle(
+            self.read("events", "event_id", "ts", "user_id", "event_type"))
 
     def bill_of_material(self) -> DataFrame:
         li = self.read("lineitem", "l_orderkey", "l_partkey", "l_quantity")
