@@ -319,14 +319,16 @@ def scaled_features(spark, sf_dir):
                     *[F.round(F.col(c + "_z"), 6).alias(c + "_z") for c in features.FEATURES])
 
 
-RULE_PREDICTION = F.when(F.col("avg_recyclability") >= 2.5, 1).otherwise(0)
+def _rule_prediction():
+    """Baseline rule: predict recycling when the mean grade score is >= 2.5."""
+    return F.when(F.col("avg_recyclability") >= 2.5, 1).otherwise(0)
 
 
 @query
 def classification_report(spark, sf_dir):
     """M6, M7 over a rule-based prediction (mean grade score >= 2.5 -> recycle)."""
     ts = features.training_set(_by_product(spark, sf_dir))
-    return model.classification_report(ts.withColumn("prediction", RULE_PREDICTION))
+    return model.classification_report(ts.withColumn("prediction", _rule_prediction()))
 
 
 @query
@@ -356,3 +358,14 @@ def stream_outcomes(spark, sf_dir):
     from ..streaming.runner import run_outcomes
 
     return spark.read.parquet(run_outcomes(spark, sf_dir))
+
+
+# -- outputs -------------------------------------------------------------------
+@query
+def chart_series(spark, sf_dir):
+    """Per component, its material chart payload as JSON."""
+    from ..operators.sinks import chart_series as series
+
+    t = _t(spark, sf_dir)[1]
+    rows = bom.composition_detail(t.component_composition, t.raw_materials)
+    return series(rows, "ComponentID", "MaterialName", "WeightInGrams", order="MaterialID")
