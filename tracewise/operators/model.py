@@ -43,7 +43,7 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "target",
     lr = LogisticRegression(featuresCol="features", labelCol="label",
                             regParam=1.0 / (stats["n"] * c), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter,
-                            tol=1e-10)
+                            tol=1e-6)
     data = train.withColumn("label", F.col(label).cast("double"))
     return Pipeline(stages=[assembler, lr]).fit(data)
 
