@@ -105,8 +105,21 @@ def _one_row(table: str, name: str, count_col) -> DataFrame:
                             F.col("violations").cast("bigint").alias("violations"))
 
 
-def audit_report(t: LifecycleTables, rules: list[Rule] = RULES) -> DataFrame:
-    """One row per rule: table_name, check_name, violations (Q1-Q6)."""
+def audit_report(t: LifecycleTables, rules: list[Rule] = RULES,
+                 materialize: bool = False) -> DataFrame:
+    """One row per rule: table_name, check_name, violations (Q1-Q6).
+
+    With ``materialize`` every table read by more than one rule is first
+    checkpointed to the shared checkpoint folder, for tables that are derived
+    views (costly to recompute per rule); stored tables need no copy.
+    """
+    if materialize:
+        uses: dict[str, int] = {}
+        for r in rules:
+            for name in (r.table, *([r.ref[0]] if r.ref else [])):
+                uses[name] = uses.get(name, 0) + 1
+        t = t.replace(**{n: getattr(t, n).checkpoint(eager=True)
+                         for n, k in uses.items() if k > 1})
     frames: list[DataFrame] = []
     by_table: dict[str, list[Rule]] = {}
     for r in rules:

@@ -284,7 +284,7 @@ def archive_delete(spark, sf_dir):
 @query
 def audit_report(spark, sf_dir):
     """Q1-Q6: one row per declared key, NOT NULL, CHECK and length rule."""
-    return audits.audit_report(_t(spark, sf_dir)[1])
+    return audits.audit_report(_t(spark, sf_dir)[1], materialize=True)
 
 
 # -- features and model --------------------------------------------------------
@@ -334,8 +334,10 @@ def classification_report(spark, sf_dir):
 @query
 def train_predict(spark, sf_dir):
     """M3-M5: hash split, L2 logistic fit on the train part, test predictions."""
-    ts = features.training_set(_by_product(spark, sf_dir))
-    train, test = model.split(features.standard_scale(ts))
+    # Iterative fitting reads its input many times: materialise the scaled
+    # training set once in the shared checkpoint folder (cuts the lineage).
+    ts = features.training_set(_by_product(spark, sf_dir)).checkpoint(eager=True)
+    train, test = model.split(features.standard_scale(ts).checkpoint(eager=True))
     cols = [c + "_z" for c in features.FEATURES]
     fitted = model.fit_logistic(train, cols)
     return model.predict(fitted, test).select("InstanceID", "target", "prediction",
@@ -369,3 +371,13 @@ def chart_series(spark, sf_dir):
     t = _t(spark, sf_dir)[1]
     rows = bom.composition_detail(t.component_composition, t.raw_materials)
     return series(rows, "ComponentID", "MaterialName", "WeightInGrams", order="MaterialID")
+
+
+@query
+def stream_disposal_gate_batched(spark, sf_dir):
+    """X1, set-based form: per micro-batch the batch gate against a table of
+    instances with a stored Sold event (JVM only, idempotent per epoch)."""
+    from ..streaming.batched import run_disposal_gate_batched
+
+    out = run_disposal_gate_batched(spark, sf_dir)
+    return spark.read.parquet(out).drop("epoch")
