@@ -155,6 +155,14 @@ def test_sequence_within_matches_window_with_hot_key(spark):
     ours = sequence_within(df, "k", ["t", "id"], slice_by=(F.col("t") / 20).cast("long"))
     ref = df.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
     assert rows(ours, "id", "seq") == rows(ref, "id", "seq")
+    # NULL keys and NULL slice values are numbered too, as one group each
+    nulls = df.withColumn("k", F.when(F.col("k") == 0, None).otherwise(F.col("k"))) \
+        .withColumn("t", F.when(F.col("id") % 97 == 0, None).otherwise(F.col("t")))
+    ours = sequence_within(nulls, "k", ["t", "id"], slice_by=(F.col("t") / 20).cast("long"))
+    ref = nulls.withColumn("seq", F.row_number().over(
+        Window.partitionBy("k").orderBy("t", "id")))
+    assert ours.count() == nulls.count()
+    assert rows(ours, "id", "seq") == rows(ref, "id", "seq")
 
 
 def test_assign_ids_consecutive(spark):

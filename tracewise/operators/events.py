@@ -64,6 +64,12 @@ def lifecycle_age(pi: DataFrame, le: DataFrame, as_of: str | dt.date) -> DataFra
         F.datediff(day, F.col("manufactured_on")).alias("age_days"))
 
 
+def event_hour(c: str):
+    """Hours since 1970-01-01 of a wall-clock time (no time zone involved);
+    never decreases along EventDate, NULL for NULL."""
+    return F.unix_date(F.to_date(F.col(c))).cast("long") * 24 + F.hour(F.col(c))
+
+
 def timeline(le: DataFrame, instance_id: int | None = None) -> DataFrame:
     """Events of each instance in time order, ties by EventID, with position
     ``seq`` and the report's time text (W4, F4).
@@ -74,7 +80,7 @@ def timeline(le: DataFrame, instance_id: int | None = None) -> DataFrame:
     ev = le if instance_id is None else le.filter(F.col("InstanceID") == instance_id)
     numbered = sequence_within(ev.select("InstanceID", "EventID", "EventType", "EventDate"),
                                "InstanceID", ["EventDate", "EventID"],
-                               slice_by=F.date_trunc("hour", "EventDate"))
+                               slice_by=event_hour("EventDate"))
     return numbered.select("InstanceID", "seq", "EventID", "EventType",
                            event_time("EventDate").alias("EventTime"))
 

@@ -24,16 +24,19 @@ def sequence_within(df: DataFrame, key: str, order: list[str | Column], slice_by
     first order column), NULLs first like the ascending order.
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    d = df.withColumn("_slice", slice_by)
-    local = d.withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order_cols)))
+    # One struct key (key, slice): plain equality on structs treats NULL
+    # fields as equal, and the window and the join then share one hash
+    # partitioning, so the big side is shuffled once.
+    d = df.withColumn("_slice", slice_by).withColumn(
+        "_ks", F.struct(F.col(key).alias("k"), F.col("_slice").alias("s")))
+    local = d.withColumn("_pos", F.row_number().over(
+        Window.partitionBy("_ks").orderBy(*order_cols)))
     sizes = d.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(key).orderBy(F.col("_slice").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(key).alias("_okey"), F.col("_slice").alias("_oslice"),
-                           F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
-    cond = local[key].eqNullSafe(offsets["_okey"]) & \
-        local["_slice"].eqNullSafe(offsets["_oslice"])
-    return (local.join(offsets, cond)
+    offsets = sizes.select(
+        F.struct(F.col(key).alias("k"), F.col("_slice").alias("s")).alias("_ks"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    return (local.join(offsets, "_ks")
             .withColumn(out, (F.col("_pos") + F.col("_off")).cast("int"))
-            .drop("_slice", "_pos", "_off", "_okey", "_oslice"))
+            .drop("_slice", "_pos", "_off", "_ks"))
