@@ -186,7 +186,9 @@ def register_instances(existing: DataFrame, products: DataFrame, batch: DataFram
     b = _first_per_key(b, skey, order, F.col("_pre").isNull())
     reason = F.coalesce(F.col("_pre"), F.when(~F.col("_first"),
                                               F.lit(schemas.MSG_DUPLICATE_SERIAL)))
-    decided = b.withColumn(REASON, reason).drop("_pre", "_first", "_dup_stored", "_product")
+    # both outputs read the decisions: compute them once (shared checkpoint folder)
+    decided = b.withColumn(REASON, reason).drop("_pre", "_first", "_dup_stored", "_product") \
+        .checkpoint(eager=True)
     acc, rej = split(decided)
     acc = assign_ids(acc, [order], "_seq")
     acc = ids_after(acc, "_seq", existing, "InstanceID", "InstanceID")
@@ -218,7 +220,7 @@ def append_events(instances: DataFrame, existing: DataFrame, batch: DataFrame,
     reason = F.coalesce(F.col(REASON), _first_reason(
         (F.col("EventType").isNull(), schemas.MSG_MISSING_EVENT_TYPE),
         (~F.col("_known"), schemas.MSG_UNKNOWN_INSTANCE)))
-    decided = j.withColumn(REASON, reason).drop("_known")
+    decided = j.withColumn(REASON, reason).drop("_known").checkpoint(eager=True)
     acc, rej = split(decided)
     acc = ids_after(assign_ids(acc, [order], "_seq"), "_seq", existing, "EventID",
                     "EventID").drop("_seq")
