@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import checkpointed
 from ..sources.tables import LifecycleTables
 
 
@@ -118,7 +119,7 @@ def audit_report(t: LifecycleTables, rules: list[Rule] = RULES,
         for r in rules:
             for name in (r.table, *([r.ref[0]] if r.ref else [])):
                 uses[name] = uses.get(name, 0) + 1
-        t = t.replace(**{n: getattr(t, n).checkpoint(eager=True)
+        t = t.replace(**{n: checkpointed(getattr(t, n))
                          for n, k in uses.items() if k > 1})
     frames: list[DataFrame] = []
     by_table: dict[str, list[Rule]] = {}

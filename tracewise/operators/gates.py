@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.scalar import ci, to_key, to_weight
+from ..session import checkpointed
 
 REASON = "reason"
 
@@ -62,7 +63,7 @@ def assign_ids(df: DataFrame, order: list[str | Column], out: str,
     size table has one row per partition, so it is broadcast; no window over
     all rows in one task.
     """
-    fixed = df.orderBy(*order).checkpoint(eager=True)
+    fixed = checkpointed(df.orderBy(*order))
     local = fixed.withColumn("_part", F.spark_partition_id()) \
         .withColumn("_idx", F.monotonically_increasing_id()
                     - F.shiftleft(F.spark_partition_id().cast("long"), 33))
@@ -187,8 +188,8 @@ def register_instances(existing: DataFrame, products: DataFrame, batch: DataFram
     reason = F.coalesce(F.col("_pre"), F.when(~F.col("_first"),
                                               F.lit(schemas.MSG_DUPLICATE_SERIAL)))
     # both outputs read the decisions: compute them once (shared checkpoint folder)
-    decided = b.withColumn(REASON, reason).drop("_pre", "_first", "_dup_stored", "_product") \
-        .checkpoint(eager=True)
+    decided = checkpointed(
+        b.withColumn(REASON, reason).drop("_pre", "_first", "_dup_stored", "_product"))
     acc, rej = split(decided)
     acc = assign_ids(acc, [order], "_seq")
     acc = ids_after(acc, "_seq", existing, "InstanceID", "InstanceID")
@@ -220,7 +221,7 @@ def append_events(instances: DataFrame, existing: DataFrame, batch: DataFrame,
     reason = F.coalesce(F.col(REASON), _first_reason(
         (F.col("EventType").isNull(), schemas.MSG_MISSING_EVENT_TYPE),
         (~F.col("_known"), schemas.MSG_UNKNOWN_INSTANCE)))
-    decided = j.withColumn(REASON, reason).drop("_known").checkpoint(eager=True)
+    decided = checkpointed(j.withColumn(REASON, reason).drop("_known"))
     acc, rej = split(decided)
     acc = ids_after(assign_ids(acc, [order], "_seq"), "_seq", existing, "EventID",
                     "EventID").drop("_seq")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audits, bom, dashboard, events, features, gates, model, sourcing
+from ..session import checkpointed
 from ..sources.testdata import DriverTables
 
 AS_OF = "2025-12-01"              # report date for ages and stamped events
@@ -336,8 +337,8 @@ def train_predict(spark, sf_dir):
     """M3-M5: hash split, L2 logistic fit on the train part, test predictions."""
     # Iterative fitting reads its input many times: materialise the scaled
     # training set once in the shared checkpoint folder (cuts the lineage).
-    ts = features.training_set(_by_product(spark, sf_dir)).checkpoint(eager=True)
-    train, test = model.split(features.standard_scale(ts).checkpoint(eager=True))
+    ts = checkpointed(features.training_set(_by_product(spark, sf_dir)))
+    train, test = model.split(checkpointed(features.standard_scale(ts)))
     cols = [c + "_z" for c in features.FEATURES]
     fitted = model.fit_logistic(train, cols)
     return model.predict(fitted, test).select("InstanceID", "target", "prediction",
@@ -381,3 +382,10 @@ def stream_disposal_gate_batched(spark, sf_dir):
 
     out = run_disposal_gate_batched(spark, sf_dir)
     return spark.read.parquet(out).drop("epoch")
+
+
+@query
+def sourcing_ids(spark, sf_dir):
+    """J2 in its older id-only form: suppliers left-joined to sourcing ids."""
+    t = _t(spark, sf_dir)[1]
+    return sourcing.sourcing_ids(t.suppliers, t.sourcing)

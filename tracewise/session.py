@@ -73,3 +73,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tracewise/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df):
+    """``df`` written to the shared checkpoint folder and read back (cuts the
+    lineage, so later stages and retries read fixed data). Never a local
+    checkpoint: a lost executor would lose it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def cluster_conf(total_cores: int, input_tb: float = 100.0) -> dict[str, str]:
+    """Settings we would start a large job with (a starting point, not a rule).
+
+    Many initial shuffle partitions (about 2-3 per core, at least one per
+    ~1 GB of input) that AQE coalesces to ~256 MB each after measuring; file
+    splits of 512 MB; skew splitting on; runtime broadcast only under the
+    measured threshold. Checkpoints go to ``spark.checkpoint.dir``, which the
+    cluster sets to a shared file system.
+    """
+    partitions = max(3 * total_cores, int(input_tb * 1024))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+        "spark.sql.autoBroadcastJoinThreshold": "64MB",
+        "spark.sql.files.maxPartitionBytes": "512MB",
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }

@@ -41,13 +41,14 @@ class DisposalGate(StatefulProcessor):
         kind = batch["EventType"].str.lower()
         is_sold = (kind == schemas.SOLD.lower()).fillna(False)
         is_disposed = (kind == schemas.DISPOSED.lower()).fillna(False)
-        stored = bool(self.sold.exists() and self.sold.get()[0])
+        current = self.sold.get()            # one state-store call; None when absent
+        stored = bool(current and current[0])
         sold_before = is_sold.cumsum().shift(fill_value=0).astype(int) > 0
         ok = ~is_disposed | stored | sold_before
         reason = pd.Series([None] * len(batch), index=batch.index, dtype=object)
         reason[~ok] = schemas.MSG_UNSOLD_DISPOSAL
-        if stored or bool(is_sold.any()):
-            self.sold.update((True,))
+        if not stored and bool(is_sold.any()):
+            self.sold.update((True,))        # written only when it changes
         yield pd.DataFrame({
             "EventID": batch["EventID"].astype("int64"),
             "InstanceID": batch["InstanceID"].astype("Int64"),
