@@ -156,12 +156,15 @@ def sourcing_gate(batch: DataFrame) -> DataFrame:
 
 
 # -- G5 ----------------------------------------------------------------------
-def _first_per_key(df: DataFrame, key: Column, order: str, eligible: Column) -> DataFrame:
-    """Flag ``_first``: the row is the earliest eligible one of its key."""
+def _first_per_key(df: DataFrame, key: Column, order: str, eligible: Column,
+                   keep_min: bool = False) -> DataFrame:
+    """Flag ``_first``: the row is the earliest eligible one of its key
+    (``_min``, that row's order value, kept on request). A map-side-combined
+    ``min`` per key, joined back."""
     firsts = df.filter(eligible).groupBy(key.alias("_key")).agg(F.min(order).alias("_min"))
     out = df.withColumn("_key", key).join(firsts, "_key", "left")
-    return out.withColumn("_first", F.coalesce(F.col(order) == F.col("_min"), F.lit(False))) \
-        .drop("_key", "_min")
+    out = out.withColumn("_first", F.coalesce(F.col(order) == F.col("_min"), F.lit(False)))
+    return out.drop("_key") if keep_min else out.drop("_key", "_min")
 
 
 def register_instances(existing: DataFrame, products: DataFrame, batch: DataFrame,
@@ -179,17 +182,18 @@ def register_instances(existing: DataFrame, products: DataFrame, batch: DataFram
     skey = F.lower("SerialNumber")
     b = _flag_join(b, existing.select(F.lower("SerialNumber")), skey, "_dup_stored")
     b = _flag_join(b, products.select(F.lower("ProductID")), F.lower("ProductID"), "_product")
-    pre = _first_reason(
+    # the earliest row of each serial that passes every check is the one admitted;
+    # any later row with that serial finds it taken
+    eligible = F.col("SerialNumber").isNotNull() & ~F.col("_dup_stored") & F.col("_product")
+    b = _first_per_key(b, skey, order, eligible, keep_min=True)
+    reason = _first_reason(
         (F.col("SerialNumber").isNull(), schemas.MSG_MISSING_SERIAL),
         (F.col("_dup_stored"), schemas.MSG_DUPLICATE_SERIAL),
+        (F.col("_min") < F.col(order), schemas.MSG_DUPLICATE_SERIAL),
         (~F.col("_product"), schemas.MSG_UNKNOWN_PRODUCT))
-    b = b.withColumn("_pre", pre)
-    b = _first_per_key(b, skey, order, F.col("_pre").isNull())
-    reason = F.coalesce(F.col("_pre"), F.when(~F.col("_first"),
-                                              F.lit(schemas.MSG_DUPLICATE_SERIAL)))
     # both outputs read the decisions: compute them once (shared checkpoint folder)
     decided = checkpointed(
-        b.withColumn(REASON, reason).drop("_pre", "_first", "_dup_stored", "_product"))
+        b.withColumn(REASON, reason).drop("_min", "_first", "_dup_stored", "_product"))
     acc, rej = split(decided)
     acc = assign_ids(acc, [order], "_seq")
     acc = ids_after(acc, "_seq", existing, "InstanceID", "InstanceID")
