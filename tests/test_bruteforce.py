@@ -114,3 +114,34 @@ def test_shares_add_to_100(spark):
     sums = sh.groupBy("ComponentID").agg(F.sum("share_pct").alias("s"),
                                          F.count("*").alias("n")).collect()
     assert all(abs(r.s - 100) <= 0.05 * r.n + 1e-9 for r in sums)
+
+
+def test_append_events_vs_simulation(spark, seed):
+    rnd = random.Random(9)
+    refs = ["1", " 2 ", "3", "4", "5", "x", None, "04"]
+    batch = [(i, rnd.choice(refs), rnd.choice(TYPES)) for i in rnd.sample(range(1, 5000), 300)]
+    sold = {r.InstanceID for r in seed.lifecycle_events.collect() if r.EventType == "Sold"}
+    known = {r.InstanceID for r in seed.product_instances.collect()}
+    next_ev = 13
+    expect = {}
+    for rid, ref, t in sorted(batch):
+        try:
+            inst = int(ref.strip()) if ref is not None else None
+        except ValueError:
+            inst = None
+        kind = t.lower() if t else None
+        if kind == "disposed" and inst not in sold:
+            expect[rid] = (None, schemas.MSG_UNSOLD_DISPOSAL)
+        elif t is None:
+            expect[rid] = (None, schemas.MSG_MISSING_EVENT_TYPE)
+        elif inst not in known:
+            expect[rid] = (None, schemas.MSG_UNKNOWN_INSTANCE)
+        else:
+            next_ev += 1
+            if kind == "sold":
+                sold.add(inst)
+            expect[rid] = (next_ev, None)
+    df = spark.createDataFrame(batch, "RequestID long, InstanceRef string, EventType string")
+    out = gates.append_events(seed.product_instances, seed.lifecycle_events, df, "2025-12-01")
+    got = {r.RequestID: (r.EventID, r.reason) for r in out.collect()}
+    assert got == expect
