@@ -63,7 +63,7 @@ def test_page_plans(seed):
     lr = reports.lifecycle_report(seed, 2, "2025-12-01")
     assert lr["instance"].first().age_days == 699
     assert [r.EventType for r in lr["timeline"].collect()] == ["Manufactured", "Sold", "Recycled"]
-    tr = reports.trace_report(seed, "P200")
+    tr = reports.trace_report(seed, "p200")   # key parameters compare case-insensitively
     assert tr["product"].first().ModelName == "Eco Smartphone Model 5"
     assert tr["trace"].count() == 3
     assert sorted(r.ComponentID for r in reports.hierarchy_report(seed).collect()) == \

@@ -195,7 +195,7 @@ def test_sourcing_detail(seed):
     s1 = [r for r in d if r.SupplierID == "S1"]
     assert {r.ComponentName for r in s1} == {"15-inch Screen Unit", "Universal Logic Board"}
     assert {r.MaterialName for r in s1} == {"-"}
-    summ = sourcing.supplier_summary(seed.sourcing, seed.suppliers, "S2")
+    summ = sourcing.supplier_summary(seed.sourcing, seed.suppliers, "s2")
     assert rows(summ, "SupplierName", "MaterialID") == [("EcoMaterials Ltd.", "M2"),
                                                        ("EcoMaterials Ltd.", "M4")]
 

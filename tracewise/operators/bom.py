@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.scalar import component_in, hazard_flag, hazard_label
+from ..functions.scalar import ci_eq, component_in, hazard_flag, hazard_label
 
 
 # -- J1 / W3 ---------------------------------------------------------------
@@ -162,7 +162,7 @@ def material_passport(product_root: DataFrame, bom: DataFrame, components: DataF
 def trace_report(passport: DataFrame, product_id: str | None = None) -> DataFrame:
     """The report's trace table: hazard as Yes/No, sorted by component name
     with a unique tie-break (P1, T-2, F7). ``product_id`` narrows to one product."""
-    p = passport if product_id is None else passport.filter(F.col("ProductID") == product_id)
+    p = passport if product_id is None else passport.filter(ci_eq("ProductID", product_id))
     return p.select("ProductID", "ComponentName", "MaterialName", "WeightInGrams",
                     "RecyclableGrade", hazard_label("IsHazardous").alias("IsHazardous"),
                     "ComponentID", "MaterialID") \
