@@ -101,21 +101,24 @@ class DriverTables:
             self.read("events", "event_id", "ts", "user_id", "event_type"))
 
     def bill_of_material(self) -> DataFrame:
+        # aggregate on the numeric keys, build the text ids afterwards
         li = self.read("lineitem", "l_orderkey", "l_partkey", "l_quantity")
         od = self.read("orders", "o_orderkey", "o_orderstatus")
         return (li.join(od, li.l_orderkey == od.o_orderkey)
-                .groupBy(_assembly_id("o_orderstatus", "o_orderkey").alias("ParentComponentID"),
-                         _id("X", "l_partkey").alias("ChildComponentID"))
-                .agg(F.sum("l_quantity").cast("int").alias("Quantity")))
+                .groupBy("o_orderkey", "o_orderstatus", "l_partkey")
+                .agg(F.sum("l_quantity").cast("int").alias("Quantity"))
+                .select(_assembly_id("o_orderstatus", "o_orderkey").alias("ParentComponentID"),
+                        _id("X", "l_partkey").alias("ChildComponentID"), "Quantity"))
 
     def component_composition(self) -> DataFrame:
         li = self.read("lineitem", "l_partkey", "l_suppkey", "l_quantity")
         su = self.read("supplier", "s_suppkey", "s_nationkey")
         return (li.join(su, li.l_suppkey == su.s_suppkey)
-                .groupBy(_id("X", "l_partkey").alias("ComponentID"),
-                         _id("M", "s_nationkey").alias("MaterialID"))
+                .groupBy("l_partkey", "s_nationkey")
                 .agg(F.sum(F.col("l_quantity").cast("decimal(10,2)"))
-                     .cast("decimal(10,2)").alias("WeightInGrams")))
+                     .cast("decimal(10,2)").alias("WeightInGrams"))
+                .select(_id("X", "l_partkey").alias("ComponentID"),
+                        _id("M", "s_nationkey").alias("MaterialID"), "WeightInGrams"))
 
     def sourcing(self) -> DataFrame:
         # Supplier roles by key: 0 components, 1 materials, 2 both, 3 none.
