@@ -81,7 +81,10 @@ def max_id(df: DataFrame, col: str, alias: str) -> DataFrame:
 
 def ids_after(numbered: DataFrame, seq: str, existing: DataFrame, existing_col: str,
               out: str) -> DataFrame:
-    """``out`` = highest stored ``existing_col`` + ``seq`` (one-row broadcast)."""
+    """``out`` = highest stored ``existing_col`` + ``seq`` (one-row broadcast).
+
+    Lazy like every frame: checkpoint the result before appending to
+    ``existing``, or a later evaluation sees the appended rows."""
     start = max_id(existing, existing_col, "_start")
     return numbered.crossJoin(F.broadcast(start)) \
         .withColumn(out, F.col("_start") + F.col(seq)).drop("_start")
@@ -197,6 +200,8 @@ def register_instances(existing: DataFrame, products: DataFrame, batch: DataFram
     acc = assign_ids(acc, [order], "_seq")
     acc = ids_after(acc, "_seq", existing, "InstanceID", "InstanceID")
     acc = ids_after(acc, "_seq", existing_events, "EventID", "EventID").drop("_seq")
+    # fix the ids now: appending to the stored tables must not move them
+    acc = checkpointed(acc)
     stamp = F.lit(str(as_of)).cast("timestamp_ntz")
     new_events = acc.select("EventID", F.lit(schemas.MANUFACTURED).alias("EventType"),
                             stamp.alias("EventDate"), "InstanceID")
@@ -226,8 +231,8 @@ def append_events(instances: DataFrame, existing: DataFrame, batch: DataFrame,
         (~F.col("_known"), schemas.MSG_UNKNOWN_INSTANCE)))
     decided = checkpointed(j.withColumn(REASON, reason).drop("_known"))
     acc, rej = split(decided)
-    acc = ids_after(assign_ids(acc, [order], "_seq"), "_seq", existing, "EventID",
-                    "EventID").drop("_seq")
+    acc = checkpointed(ids_after(assign_ids(acc, [order], "_seq"), "_seq", existing,
+                                 "EventID", "EventID").drop("_seq"))
     return acc.withColumn(REASON, F.lit(None).cast("string")).unionByName(
         rej.withColumn("EventID", F.lit(None).cast("long")))
 
