@@ -145,3 +145,55 @@ def test_append_events_vs_simulation(spark, seed):
     out = gates.append_events(seed.product_instances, seed.lifecycle_events, df, "2025-12-01")
     got = {r.RequestID: (r.EventID, r.reason) for r in out.collect()}
     assert got == expect
+
+
+def test_composition_gate_vs_simulation(spark, seed):
+    rnd = random.Random(21)
+    comps = ["C101", "c101", "C201", "C999", None]
+    mats = ["M1", "m3", "M4", "M9"]
+    weights = ["10", "0.004", "600", "499.999", None, "-2"]
+    batch = [(i, rnd.choice(comps), rnd.choice(mats), rnd.choice(weights))
+             for i in rnd.sample(range(1, 5000), 300)]
+    rm = {r.MaterialID.lower(): r.IsHazardous for r in seed.raw_materials.collect()}
+    known_c = {r.ComponentID.lower() for r in seed.components.collect()}
+    stored = {(r.ComponentID.lower(), r.MaterialID.lower())
+              for r in seed.component_composition.collect()}
+    from decimal import ROUND_HALF_UP, Decimal
+
+    expect = {}
+    for rid, c, m, w in sorted(batch):
+        wd = None if w is None else Decimal(w).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        haz = rm.get(m.lower()) if m else None
+        if wd is not None and wd <= 0:
+            expect[rid] = schemas.MSG_INVALID_WEIGHT
+        elif wd is None:
+            expect[rid] = schemas.MSG_NULL_WEIGHT
+        elif haz is True and wd > 500:
+            expect[rid] = schemas.MSG_HAZARD_LIMIT
+        elif c is None or c.lower() not in known_c:
+            expect[rid] = schemas.MSG_UNKNOWN_COMPONENT
+        elif m.lower() not in rm:
+            expect[rid] = schemas.MSG_UNKNOWN_MATERIAL
+        elif (c.lower(), m.lower()) in stored:
+            expect[rid] = schemas.MSG_DUPLICATE_COMPOSITION
+        else:
+            stored.add((c.lower(), m.lower()))
+            expect[rid] = None
+    df = spark.createDataFrame(batch, "RequestID long, ComponentID string, MaterialID string, "
+                                      "WeightInGrams string")
+    got = dict(rows(gates.composition_gate(df, seed.raw_materials, seed.components,
+                                           seed.component_composition), "RequestID", "reason"))
+    assert got == expect
+
+
+def test_sourcing_insert_gate(spark, seed):
+    b = spark.createDataFrame([(1, "S1", "component", "C101"), (2, "S9", "component", "C101"),
+                               (3, "s2", "material", "m1"), (4, "S1", "component", "C999"),
+                               (5, "S1", "material", "M9"), (6, "S1", "part", "C101")],
+                              "RequestID long, SupplierID string, supply_type string, "
+                              "item_id string")
+    got = dict(rows(gates.sourcing_insert_gate(b, seed.suppliers, seed.components,
+                                               seed.raw_materials), "RequestID", "reason"))
+    assert got == {1: None, 2: schemas.MSG_UNKNOWN_SUPPLIER, 3: None,
+                   4: schemas.MSG_UNKNOWN_COMPONENT, 5: schemas.MSG_UNKNOWN_MATERIAL,
+                   6: schemas.MSG_INVALID_SUPPLY_TYPE}

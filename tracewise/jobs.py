@@ -97,12 +97,14 @@ def run(args, spark: SparkSession) -> dict[str, DataFrame]:
                                       order=args.order)
         return _ingest(t, args, "suppliers", decided, ["SupplierID", "SupplierName"])
     if c == "add-composition":
-        decided = gates.hazard_weight_gate(_batch(spark, args.batch, args.batch_format),
-                                           t.raw_materials)
+        decided = gates.composition_gate(_batch(spark, args.batch, args.batch_format),
+                                         t.raw_materials, t.components,
+                                         t.component_composition, order=args.order)
         return _ingest(t, args, "component_composition", decided,
                        ["ComponentID", "MaterialID", "WeightInGrams"])
     if c == "add-sourcing":
-        decided = gates.sourcing_gate(_batch(spark, args.batch, args.batch_format))
+        decided = gates.sourcing_insert_gate(_batch(spark, args.batch, args.batch_format),
+                                             t.suppliers, t.components, t.raw_materials)
         ok = checkpointed(decided)
         acc = gates.assign_ids(ok.filter(F.col("reason").isNull()).drop("reason"),
                                [args.order], "_seq")

@@ -127,8 +127,9 @@ def hazard_weight_gate(batch: DataFrame, rm: DataFrame,
     unknown material passes here). A missing weight passes the procedure's
     test and fails NOT NULL (P5, F10)."""
     w = to_weight(F.col("WeightInGrams"))
-    haz = rm.select(F.col("MaterialID").alias("_mid"), F.col("IsHazardous").alias("_haz"))
-    j = batch.withColumn("_w", w).join(haz, F.col("MaterialID") == F.col("_mid"), "left")
+    # the trigger's lookup compares ids case-insensitively; one row per id
+    haz = rm.groupBy(F.lower("MaterialID").alias("_mid")).agg(F.max("IsHazardous").alias("_haz"))
+    j = batch.withColumn("_w", w).join(haz, F.lower(F.col("MaterialID")) == F.col("_mid"), "left")
     raw = F.col("WeightInGrams")
     reason = _first_reason(
         (raw.isNotNull() & F.col("_w").isNull(), schemas.MSG_INVALID_WEIGHT),
@@ -139,6 +140,42 @@ def hazard_weight_gate(batch: DataFrame, rm: DataFrame,
     return j.select(*cols, F.col("_w").alias("WeightInGrams"), reason.alias(REASON))
 
 
+def _key_flag(df: DataFrame, keys: DataFrame, left: list[Column], right: list[str],
+              flag: str) -> DataFrame:
+    """Existence of the (case-insensitive) composite key in ``keys`` as ``flag``."""
+    k = keys.select(*[F.lower(F.col(c)).alias(f"_r{i}") for i, c in enumerate(right)]) \
+        .groupBy(*[f"_r{i}" for i in range(len(right))]).agg(F.lit(True).alias(flag))
+    out = df
+    for i, c in enumerate(left):
+        out = out.withColumn(f"_l{i}", F.lower(c))
+    cond = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(left))]
+    out = out.join(k, cond, "left").drop(*[f"_l{i}" for i in range(len(left))],
+                                         *[f"_r{i}" for i in range(len(right))])
+    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def composition_gate(batch: DataFrame, rm: DataFrame, components: DataFrame,
+                     stored: DataFrame, order: str = "RequestID") -> DataFrame:
+    """A new composition row as the database takes it (G2, G3 and Q1/Q2 at
+    insert): the procedure's weight test, the hazard trigger, NOT NULL, both
+    foreign keys, then the (component, material) primary key against stored
+    rows and rows admitted earlier in ``order``."""
+    d = hazard_weight_gate(batch, rm)
+    d = _key_flag(d, components, [F.col("ComponentID")], ["ComponentID"], "_ck")
+    d = _key_flag(d, rm, [F.col("MaterialID")], ["MaterialID"], "_mk")
+    d = _key_flag(d, stored, [F.col("ComponentID"), F.col("MaterialID")],
+                  ["ComponentID", "MaterialID"], "_dup")
+    key = F.struct(F.lower("ComponentID"), F.lower("MaterialID"))
+    eligible = F.col(REASON).isNull() & F.col("_ck") & F.col("_mk") & ~F.col("_dup")
+    d = _first_per_key(d, key, order, eligible, keep_min=True)
+    reason = F.coalesce(F.col(REASON), _first_reason(
+        (~F.col("_ck"), schemas.MSG_UNKNOWN_COMPONENT),
+        (~F.col("_mk"), schemas.MSG_UNKNOWN_MATERIAL),
+        (F.col("_dup"), schemas.MSG_DUPLICATE_COMPOSITION),
+        (F.col("_min") < F.col(order), schemas.MSG_DUPLICATE_COMPOSITION)))
+    return d.withColumn(REASON, reason).drop("_ck", "_mk", "_dup", "_min", "_first")
+
+
 # -- G4 ----------------------------------------------------------------------
 def sourcing_gate(batch: DataFrame) -> DataFrame:
     """Sourcing form posts (SupplierID, supply_type, item_id): 'component' or
@@ -157,6 +194,21 @@ def sourcing_gate(batch: DataFrame) -> DataFrame:
                         reason.alias(REASON))
 
 
+def sourcing_insert_gate(batch: DataFrame, suppliers: DataFrame, components: DataFrame,
+                         rm: DataFrame) -> DataFrame:
+    """A sourcing post as the database takes it: ``sourcing_gate``, then the
+    foreign keys of supplier, component and material (NULL keys pass)."""
+    d = sourcing_gate(batch)
+    d = _key_flag(d, suppliers, [F.col("SupplierID")], ["SupplierID"], "_sk")
+    d = _key_flag(d, components, [F.col("ComponentID")], ["ComponentID"], "_ck")
+    d = _key_flag(d, rm, [F.col("MaterialID")], ["MaterialID"], "_mk")
+    reason = F.coalesce(F.col(REASON), _first_reason(
+        (~F.col("_sk"), schemas.MSG_UNKNOWN_SUPPLIER),
+        (F.col("ComponentID").isNotNull() & ~F.col("_ck"), schemas.MSG_UNKNOWN_COMPONENT),
+        (F.col("MaterialID").isNotNull() & ~F.col("_mk"), schemas.MSG_UNKNOWN_MATERIAL)))
+    return d.withColumn(REASON, reason).drop("_sk", "_ck", "_mk")
+
+
 # -- G5 ----------------------------------------------------------------------
 def _first_per_key(df: DataFrame, key: Column, order: str, eligible: Column,
                    keep_min: bool = False) -> DataFrame:

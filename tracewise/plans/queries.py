@@ -389,3 +389,25 @@ def sourcing_ids(spark, sf_dir):
     """J2 in its older id-only form: suppliers left-joined to sourcing ids."""
     t = _t(spark, sf_dir)[1]
     return sourcing.sourcing_ids(t.suppliers, t.sourcing)
+
+
+@query
+def composition_gate(spark, sf_dir):
+    """G2, G3 with the insert's foreign and primary keys: candidates against
+    the stored composition table, in line-item order."""
+    d, t = _t(spark, sf_dir)
+    batch = d.composition_candidates().withColumn(
+        "RequestID", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    out = gates.composition_gate(batch, t.raw_materials, t.components, t.component_composition)
+    return gates.with_status(out).select(
+        "l_orderkey", "l_linenumber", "ComponentID", "MaterialID",
+        F.col("WeightInGrams").cast("double").alias("WeightInGrams"), "status", "reason")
+
+
+@query
+def sourcing_insert_gate(spark, sf_dir):
+    """G4 with the insert's foreign keys."""
+    d, t = _t(spark, sf_dir)
+    out = gates.sourcing_insert_gate(d.sourcing_requests(), t.suppliers, t.components,
+                                     t.raw_materials)
+    return gates.with_status(out)

@@ -142,3 +142,7 @@ MSG_DUPLICATE_SUPPLIER = "Duplicate supplier"
 MSG_MISSING_SUPPLIER_ID = "Supplier ID is required"
 MSG_MISSING_SUPPLIER_NAME = "Supplier name is required"
 MSG_MISSING_EVENT_TYPE = "Event type is required"
+MSG_UNKNOWN_COMPONENT = "Unknown component"
+MSG_UNKNOWN_MATERIAL = "Unknown material"
+MSG_UNKNOWN_SUPPLIER = "Unknown supplier"
+MSG_DUPLICATE_COMPOSITION = "Duplicate composition row"
