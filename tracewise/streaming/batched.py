@@ -19,7 +19,7 @@ from .. import schemas
 from ..functions.scalar import ci
 from ..operators.gates import disposal_gate, with_status
 from ..session import scratch_path
-from .runner import event_stream
+from .runner import MAX_FILES_PER_BATCH, event_stream
 
 
 def _state_before(spark: SparkSession, state_path: str, epoch: int) -> DataFrame:
@@ -34,7 +34,7 @@ def _state_before(spark: SparkSession, state_path: str, epoch: int) -> DataFrame
 
 def run_disposal_gate_batched(spark: SparkSession, folder: str, out: str | None = None,
                               checkpoint: str | None = None,
-                              max_files: int | None = None) -> str:
+                              max_files: int | None = MAX_FILES_PER_BATCH) -> str:
     """Run the set-based streaming gate over the files present; returns the output path."""
     out = out or scratch_path(spark, "stream-gate-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-gate-ckpt")

@@ -15,6 +15,10 @@ from ..session import scratch_path
 from ..sources.testdata import events_as_lifecycle
 from .disposal import disposal_gate_stream
 
+# Bounded micro-batches: per-instance state handlers and per-batch joins
+# see at most this many new files at a time (availableNow honours it too).
+MAX_FILES_PER_BATCH = 256
+
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, " \
                 "value double, props string"
 
@@ -29,7 +33,8 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
 
 
 def run_disposal_gate(spark: SparkSession, folder: str, out: str | None = None,
-                      checkpoint: str | None = None, max_files: int | None = None) -> str:
+                      checkpoint: str | None = None,
+                 max_files: int | None = MAX_FILES_PER_BATCH) -> str:
     """Run X1 to completion over the files present; returns the output path."""
     out = out or scratch_path(spark, "stream-disposal-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-disposal-ckpt")
@@ -44,7 +49,8 @@ def run_disposal_gate(spark: SparkSession, folder: str, out: str | None = None,
 
 
 def run_outcomes(spark: SparkSession, folder: str, out: str | None = None,
-                 checkpoint: str | None = None, max_files: int | None = None) -> str:
+                 checkpoint: str | None = None,
+                 max_files: int | None = MAX_FILES_PER_BATCH) -> str:
     """Run X2 (running event distribution, complete mode): each micro-batch
     rewrites the full, small result table; returns its path."""
     out = out or scratch_path(spark, "stream-outcomes-out")
