@@ -4,7 +4,8 @@ declares and Spark does not enforce (Q1-Q6).
 The rules are data (``RULES``); ``audit_report`` evaluates them all and
 returns one row per rule with its violation count. Row-level rules of a
 table (NOT NULL, CHECK, length) are counted in one aggregate pass over that
-table; key duplicates are a grouped count; orphans a left-anti join.
+table; key duplicates are a grouped count; orphans one left-anti join per
+referenced table for all foreign keys pointing at it.
 Text keys compare case-insensitively, as the database's default collation.
 """
 
@@ -136,22 +137,43 @@ def audit_report(t: LifecycleTables, rules: list[Rule] = RULES,
             F.lit(table).alias("table_name"), F.col("p.check_name").alias("check_name"),
             F.col("p.violations").cast("bigint").alias("violations")))
     for r in rules:
-        df = getattr(t, r.table)
         if r.kind in ("primary_key", "unique"):
+            df = getattr(t, r.table)
             keys = [_key(r.table, c).alias(f"_k{i}") for i, c in enumerate(r.columns)]
             notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns])
             dup = df.filter(notnull).groupBy(*keys).count().filter(F.col("count") > 1)
             frames.append(_one_row(r.table, r.name, dup.agg(F.count(F.lit(1)).alias("violations"))))
-        elif r.kind == "foreign_key":
-            c = r.columns[0]
-            child = df.filter(F.col(c).isNotNull()).select(_key(r.table, c).alias("_k"))
-            parent = getattr(t, r.ref[0]).select(_key(r.ref[0], r.ref[1]).alias("_k"))
-            orphans = child.join(parent, "_k", "left_anti")
-            frames.append(_one_row(r.table, r.name,
-                                   orphans.agg(F.count(F.lit(1)).alias("violations"))))
+    frames.extend(_orphan_counts(t, [r for r in rules if r.kind == "foreign_key"]))
     return reduce(DataFrame.unionByName, frames)
 
 
+def _orphan_counts(t: LifecycleTables, fks: list[Rule]) -> list[DataFrame]:
+    """Q2 per referenced table: the keys of every foreign key pointing at it,
+    tagged by rule, meet the referenced keys in one anti-join (the referenced
+    table is shuffled once, not once per foreign key). Rules without orphans
+    get a 0 row."""
+    by_parent: dict[tuple[str, str], list[Rule]] = {}
+    for r in fks:
+        by_parent.setdefault(r.ref, []).append(r)
+    out = []
+    for (ptable, pcol), rs in by_parent.items():
+        child = reduce(DataFrame.unionByName, [
+            getattr(t, r.table).filter(F.col(r.columns[0]).isNotNull()).select(
+                F.lit(r.table).alias("table_name"), F.lit(r.name).alias("check_name"),
+                _key(r.table, r.columns[0]).alias("_k"))
+            for r in rs])
+        parent = getattr(t, ptable).select(_key(ptable, pcol).alias("_k"))
+        counts = child.join(parent, "_k", "left_anti").groupBy("table_name", "check_name") \
+            .agg(F.count(F.lit(1)).alias("violations"))
+        names = counts.sparkSession.createDataFrame(
+            [(r.table, r.name) for r in rs], "table_name string, check_name string")
+        out.append(names.join(F.broadcast(counts), ["table_name", "check_name"], "left")
+                   .select("table_name", "check_name",
+                           F.coalesce(F.col("violations"), F.lit(0)).cast("bigint")
+                           .alias("violations")))
+    return out
+
+
 def audit_sql(rules: list[Rule] = RULES) -> str:
     """The same audit as one SQL text (the DuckDB oracle)."""
     parts = []
