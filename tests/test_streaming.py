@@ -1,6 +1,5 @@
 """The streaming gate equals the batch gate, across micro-batches and a restart."""
 
-import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
 from conftest import rows
