@@ -51,3 +51,38 @@ def test_jobs_flow(spark, seed, tmp_path):
     assert le.count() == 21 and le.select("EventID").distinct().count() == 21
     out_ids = sorted(r.EventID for r in spark.read.json(f"{out}/rc/recycle_events").collect())
     assert out_ids == [17, 18, 19, 20, 21]
+
+
+def test_jobs_other_commands(spark, seed, tmp_path):
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "out")
+    _store(seed, tables)
+    comp = spark.createDataFrame([(1, "C102", "M3", "600"), (2, "C102", "M1", "10.005"),
+                                  (3, "c102", "m1", "5"), (4, "C101", "M4", "3")],
+                                 "RequestID long, ComponentID string, MaterialID string, "
+                                 "WeightInGrams string")
+    comp.write.parquet(str(tmp_path / "comp"))
+    jobs.main(["add-composition", "--tables", tables, "--out", f"{out}/comp", "--batch",
+               str(tmp_path / "comp")], spark=spark)
+    cc = spark.read.parquet(f"{tables}/component_composition")
+    assert cc.count() == 9
+    assert {r.reason for r in spark.read.json(f"{out}/comp/rejected").collect()} == \
+        {"Excessive hazardous material use detected!", "Duplicate composition row"}
+    so = spark.createDataFrame([(1, "S3", "component", "C102"), (2, "S9", "material", "M1")],
+                               "RequestID long, SupplierID string, supply_type string, "
+                               "item_id string")
+    so.write.parquet(str(tmp_path / "so"))
+    jobs.main(["add-sourcing", "--tables", tables, "--out", f"{out}/so", "--batch",
+               str(tmp_path / "so")], spark=spark)
+    src = spark.read.parquet(f"{tables}/sourcing")
+    assert src.count() == 7 and src.agg({"SourcingID": "max"}).first()[0] == 7
+    sup = spark.createDataFrame([(1, "S4", "New"), (2, "s4", "Again")],
+                                "RequestID long, SupplierID string, SupplierName string")
+    sup.write.parquet(str(tmp_path / "sup"))
+    jobs.main(["add-suppliers", "--tables", tables, "--out", f"{out}/sup", "--batch",
+               str(tmp_path / "sup")], spark=spark)
+    assert spark.read.parquet(f"{tables}/suppliers").count() == 4
+    jobs.main(["suppliers", "--tables", tables, "--out", f"{out}/s"], spark=spark)
+    types = {r.SupplierID: r.SupplierType for r in spark.read.json(f"{out}/s/suppliers").collect()}
+    assert types["S3"] == "Both" and types["S4"] == "Unknown"
+    jobs.main(["hierarchy", "--tables", tables, "--out", f"{out}/h"], spark=spark)
+    assert spark.read.json(f"{out}/h/hierarchy").count() == 2
