@@ -165,8 +165,9 @@ def _orphan_counts(t: LifecycleTables, fks: list[Rule]) -> list[DataFrame]:
         parent = getattr(t, ptable).select(_key(ptable, pcol).alias("_k"))
         counts = child.join(parent, "_k", "left_anti").groupBy("table_name", "check_name") \
             .agg(F.count(F.lit(1)).alias("violations"))
-        names = counts.sparkSession.createDataFrame(
-            [(r.table, r.name) for r in rs], "table_name string, check_name string")
+        names = counts.sparkSession.range(1).select(F.explode(F.array(*[
+            F.struct(F.lit(r.table).alias("table_name"), F.lit(r.name).alias("check_name"))
+            for r in rs])).alias("n")).select("n.*")
         out.append(names.join(F.broadcast(counts), ["table_name", "check_name"], "left")
                    .select("table_name", "check_name",
                            F.coalesce(F.col("violations"), F.lit(0)).cast("bigint")
