@@ -76,3 +76,37 @@ def load_all(spark: SparkSession, location: str, fmt: str = "parquet",
     return LifecycleTables(**{
         name: (lambda n=name: load(spark, location, n, fmt, options)) for name in TABLE_NAMES
     })
+
+
+# Join keys the operators use again and again: BOM children, composition and
+# components meet on the component id; events and instances on the instance id.
+BUCKET_KEYS = {
+    "bill_of_material": "ChildComponentID",
+    "component_composition": "ComponentID",
+    "components": "ComponentID",
+    "lifecycle_events": "InstanceID",
+    "product_instances": "InstanceID",
+}
+
+
+def save_tables(t: LifecycleTables, database: str, buckets: int,
+                names: tuple[str, ...] = TABLE_NAMES) -> None:
+    """Store the model tables in the catalog, the big join partners bucketed
+    (and sorted) by their join key with one bucket count, so their joins and
+    per-key aggregates read co-located data instead of shuffling it."""
+    for name in names:
+        if not t.has(name):
+            continue
+        w = getattr(t, name).write.mode("overwrite").format("parquet")
+        key = BUCKET_KEYS.get(name)
+        if key:
+            w = w.bucketBy(buckets, key).sortBy(key)
+        w.saveAsTable(f"{database}.{name}")
+
+
+def load_tables(spark: SparkSession, database: str) -> LifecycleTables:
+    """Model tables from the catalog (see ``save_tables``)."""
+    return LifecycleTables(**{
+        name: (lambda n=name: spark.table(f"{database}.{n}")) for name in TABLE_NAMES
+        if spark.catalog.tableExists(f"{database}.{name}")
+    })
