@@ -86,3 +86,23 @@ def test_jobs_other_commands(spark, seed, tmp_path):
     assert types["S3"] == "Both" and types["S4"] == "Unknown"
     jobs.main(["hierarchy", "--tables", tables, "--out", f"{out}/h"], spark=spark)
     assert spark.read.json(f"{out}/h/hierarchy").count() == 2
+
+
+def test_jobs_on_bucketed_catalog(spark, seed, tmp_path):
+    from tracewise.sources.tables import save_tables
+
+    spark.sql(f"create database if not exists jobdb location '{tmp_path / 'db'}'")
+    save_tables(seed, "jobdb", 4)
+    out = str(tmp_path / "out")
+    batch = spark.createDataFrame([(1, "NEW-7", "P200")],
+                                  "RequestID long, SerialNumber string, ProductID string")
+    batch.write.parquet(str(tmp_path / "reg"))
+    jobs.main(["register", "--database", "jobdb", "--out", f"{out}/reg", "--batch",
+               str(tmp_path / "reg"), "--as-of", "2025-12-01 09:00:00"], spark=spark)
+    pi = spark.table("jobdb.product_instances")
+    assert pi.count() == 5 and pi.filter("SerialNumber = 'NEW-7'").first().InstanceID == 5
+    le = spark.table("jobdb.lifecycle_events")
+    assert le.filter("EventID = 14").first().InstanceID == 5
+    jobs.main(["dashboard", "--database", "jobdb", "--out", f"{out}/d"], spark=spark)
+    counts = dict((r.metric, r.row_count) for r in spark.read.json(f"{out}/d/counts").collect())
+    assert counts["instances"] == 5 and counts["events"] == 14

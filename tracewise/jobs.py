@@ -34,7 +34,16 @@ from .operators import features, gates, model, sinks
 from .operators.audits import audit_report
 from .plans import reports
 from .session import build_session, checkpointed
-from .sources.tables import LifecycleTables, load_all
+from .sources.tables import LifecycleTables, load_all, load_tables
+
+
+def _append(args, df: DataFrame, table: str) -> None:
+    """Append admitted rows to a stored table: a catalog table (keeps its
+    bucketing) with ``--database``, else the table's folder."""
+    if args.database:
+        sinks.append_table(df, f"{args.database}.{table}")
+    else:
+        sinks.append(df, f"{args.tables.rstrip('/')}/{table}", args.format)
 
 
 def _write(frames: dict[str, DataFrame], out: str, fmt: str) -> None:
@@ -57,12 +66,13 @@ def _ingest(t: LifecycleTables, args, table: str, decided: DataFrame,
     reads is safe."""
     decided = checkpointed(decided)
     acc, rej = gates.split(decided)
-    sinks.append(acc.select(*cols), f"{args.tables.rstrip('/')}/{table}", args.format)
+    _append(args, acc.select(*cols), table)
     return {"rejected": rej, "accepted": acc}
 
 
 def run(args, spark: SparkSession) -> dict[str, DataFrame]:
-    t = load_all(spark, args.tables, args.format)
+    t = load_tables(spark, args.database) if args.database else \
+        load_all(spark, args.tables, args.format)
     c = args.command
     if c == "dashboard":
         return reports.dashboard_view(t)
@@ -81,10 +91,8 @@ def run(args, spark: SparkSession) -> dict[str, DataFrame]:
             t.product_instances, t.products, _batch(spark, args.batch, args.batch_format),
             t.lifecycle_events, args.as_of, order=args.order)
         acc, rej = gates.split(decided)        # decisions are already materialised
-        base = args.tables.rstrip("/")
-        sinks.append(acc.select("InstanceID", "SerialNumber", "ProductID"),
-                     f"{base}/product_instances", args.format)
-        sinks.append(new_events, f"{base}/lifecycle_events", args.format)
+        _append(args, acc.select("InstanceID", "SerialNumber", "ProductID"), "product_instances")
+        _append(args, new_events, "lifecycle_events")
         return {"rejected": rej, "accepted": acc}
     if c == "add-events":
         decided = gates.append_events(t.product_instances, t.lifecycle_events,
@@ -110,8 +118,8 @@ def run(args, spark: SparkSession) -> dict[str, DataFrame]:
                                [args.order], "_seq")
         acc = checkpointed(gates.ids_after(acc, "_seq", t.sourcing, "SourcingID",
                                            "SourcingID"))
-        sinks.append(acc.select("SourcingID", "SupplierID", "ComponentID", "MaterialID"),
-                     f"{args.tables.rstrip('/')}/sourcing", args.format)
+        _append(args, acc.select("SourcingID", "SupplierID", "ComponentID", "MaterialID"),
+                "sourcing")
         return {"rejected": ok.filter(F.col("reason").isNotNull()), "accepted": acc}
     if c == "recycle":
         ev = gates.recycle_events(t.product_instances, t.product_root, t.bill_of_material,
@@ -121,8 +129,8 @@ def run(args, spark: SparkSession) -> dict[str, DataFrame]:
         numbered = checkpointed(gates.ids_after(gates.assign_ids(ev, ["InstanceID"], "_seq"),
                                                 "_seq", t.lifecycle_events, "EventID",
                                                 "EventID"))
-        sinks.append(numbered.select("EventID", "EventType", "EventDate", "InstanceID"),
-                     f"{args.tables.rstrip('/')}/lifecycle_events", args.format)
+        _append(args, numbered.select("EventID", "EventType", "EventDate", "InstanceID"),
+                "lifecycle_events")
         return {"recycle_events": numbered.drop("_seq")}
     if c == "train":
         f = features.features_by_product(t.product_instances, t.products, t.product_root,
@@ -146,7 +154,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracewise.jobs", description=__doc__,
                                 formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("command")
-    p.add_argument("--tables", required=True)
+    p.add_argument("--tables", help="folder with one sub-folder per model table")
+    p.add_argument("--database", help="catalog database with the model tables "
+                                      "(e.g. bucketed by sources.tables.save_tables)")
     p.add_argument("--format", default="parquet")
     p.add_argument("--out", required=True)
     p.add_argument("--out-format", default="json")
@@ -166,6 +176,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
+    if not (args.tables or args.database):
+        raise SystemExit("give --tables or --database")
     own = spark is None
     spark = spark or build_session()
     try:

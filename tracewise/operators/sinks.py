@@ -49,6 +49,13 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[st
     w.save(path)
 
 
+def append_table(df: DataFrame, table: str) -> None:
+    """Append to a catalog table (S7), keeping its layout (bucketing,
+    sorting); columns are matched to the table's by name."""
+    cols = df.sparkSession.table(table).columns
+    df.select(*cols).write.insertInto(table)
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows (S8) — a bounded peek, the only driver-side read here."""
     return df.limit(n)
