@@ -51,7 +51,8 @@ def outcome_share(le: DataFrame) -> DataFrame:
     total = F.col("recycled") + F.col("disposed") + F.col("repair")
 
     def pct(c: str):
-        return F.round(F.try_divide(F.col(c) * F.lit(100.0), total.cast("double")), 1)
+        # the page's order of operations: (value / total) * 100, then one decimal
+        return F.round(F.try_divide(F.col(c).cast("double"), total.cast("double")) * 100, 1)
 
     return o.select("recycled", "disposed", "repair",
                     pct("recycled").alias("recycled_pct"),
