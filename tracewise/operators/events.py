@@ -85,14 +85,18 @@ def timeline(le: DataFrame, instance_id: int | None = None) -> DataFrame:
                            event_time("EventDate").alias("EventTime"))
 
 
-def recycle_target(pi: DataFrame, le: DataFrame) -> DataFrame:
-    """1 if the instance was ever recycled (either kind), else 0 if ever
-    disposed, else NULL (A14, J9, P6)."""
+def targets(le: DataFrame) -> DataFrame:
+    """Per instance with events: 1 if ever recycled (either kind), else 0 if
+    ever disposed, else NULL (A14, J9, P6). One map-side-combined aggregate."""
     et = ci("EventType")
     flags = le.groupBy("InstanceID").agg(
         F.max(et.isin(schemas.RECYCLED, schemas.RECYCLED_HAZARDOUS)).alias("_rec"),
         F.max(et == schemas.DISPOSED).alias("_dis"))
     target = F.when(F.col("_rec"), F.lit(1)).when(F.col("_dis"), F.lit(0)) \
         .otherwise(F.lit(None).cast("int"))
-    return pi.select("InstanceID").join(flags, "InstanceID", "left").select(
-        "InstanceID", target.alias("target"))
+    return flags.select("InstanceID", target.alias("target"))
+
+
+def recycle_target(pi: DataFrame, le: DataFrame) -> DataFrame:
+    """Every instance with its target; NULL without a deciding event."""
+    return pi.select("InstanceID").join(targets(le), "InstanceID", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ci_prefix, grade_score
-from .events import recycle_target
+from .events import targets
 
 FEATURES = ["total_weight", "avg_recyclability", "hazardous_count", "component_count"]
 
@@ -66,7 +66,7 @@ def features_global(pi: DataFrame, products: DataFrame, bom: DataFrame, cc: Data
     # subqueries would express the same but are planned apart from the main
     # query, which then recomputes the feature pipeline (measured 3x slower).
     return (inst.crossJoin(F.broadcast(one))
-            .join(recycle_target(pi, le), "InstanceID", "left")
+            .join(targets(le), "InstanceID", "left")
             .select("InstanceID", "ProductID", "ModelName", *FEATURES, "target"))
 
 
@@ -83,7 +83,7 @@ def features_by_product(pi: DataFrame, products: DataFrame, product_root: DataFr
     inst = pi.select("InstanceID", "ProductID").join(
         products.select("ProductID", "ModelName"), "ProductID")
     return (inst.join(per_product, "ProductID")
-            .join(recycle_target(pi, le), "InstanceID", "left")
+            .join(targets(le), "InstanceID", "left")
             .select("InstanceID", "ProductID", "ModelName", *FEATURES, "target"))
 
 
