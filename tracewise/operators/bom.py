@@ -179,6 +179,18 @@ def _child_material_stats(cc: DataFrame, rm: DataFrame) -> DataFrame:
                 F.count_if(hazard_flag("IsHazardous")).alias("_haz")))
 
 
+def _product_edges(product_root: DataFrame, bom: DataFrame) -> DataFrame:
+    """(ProductID, child ComponentID) per BOM edge under the product's root,
+    weight ``_edges`` = 1. Summing per-child stats over these raw edges equals
+    the naive join's totals (duplicated keys included) without grouping the
+    edges first, which would shuffle them once more for nothing when the
+    keys are unique."""
+    return (product_root.select("ProductID", F.col("ComponentID").alias("ParentComponentID"))
+            .join(bom.select("ParentComponentID", "ChildComponentID"), "ParentComponentID")
+            .select("ProductID", F.col("ChildComponentID").alias("ComponentID"),
+                    F.lit(1).alias("_edges")))
+
+
 def passport_rollup(product_root: DataFrame, bom: DataFrame, components: DataFrame,
                     cc: DataFrame, rm: DataFrame) -> DataFrame:
     """``material_passport`` rolled up per product: rows, Σ weight, hazardous rows.
@@ -186,10 +198,7 @@ def passport_rollup(product_root: DataFrame, bom: DataFrame, components: DataFra
     Equal to grouping the passport, computed from per-child aggregates so the
     (edge x material) rows are never materialised or shuffled.
     """
-    edges = (product_root.select("ProductID", F.col("ComponentID").alias("ParentComponentID"))
-             .join(bom.select("ParentComponentID", "ChildComponentID"), "ParentComponentID")
-             .groupBy("ProductID", F.col("ChildComponentID").alias("ComponentID"))
-             .agg(F.count(F.lit(1)).alias("_edges")))
+    edges = _product_edges(product_root, bom)
     j = (edges.join(_multiplicity(components), "ComponentID")
          .join(_child_material_stats(cc, rm), "ComponentID"))
     k = F.col("_edges") * F.col("_mult")
@@ -219,10 +228,7 @@ def hazard_usage_by_product(products: DataFrame, product_root: DataFrame, bom: D
                             cc: DataFrame, rm: DataFrame) -> DataFrame:
     """Hazard count scoped to each product's root assembly; 0 when none
     (A11, scope 'product', our extension)."""
-    edges = (product_root.select("ProductID", F.col("ComponentID").alias("ParentComponentID"))
-             .join(bom.select("ParentComponentID", "ChildComponentID"), "ParentComponentID")
-             .groupBy("ProductID", F.col("ChildComponentID").alias("ComponentID"))
-             .agg(F.count(F.lit(1)).alias("_edges")))
+    edges = _product_edges(product_root, bom)
     per_product = (edges.join(_hazard_rows(cc, rm), "ComponentID")
                    .groupBy("ProductID")
                    .agg(F.sum(F.col("_edges") * F.col("_haz")).alias("_h")))

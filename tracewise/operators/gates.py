@@ -300,17 +300,14 @@ def recycle_events(instances: DataFrame, product_root: DataFrame, bom: DataFrame
     instances get the same type (one row, broadcast). ``scope='product'``
     counts under the instance's product root assembly.
     """
-    from .bom import _hazard_rows, hazard_usage
+    from .bom import _hazard_rows, _product_edges, hazard_usage
 
     stamp = F.lit(str(as_of)).cast("timestamp_ntz")
     if scope == "global":
         h = hazard_usage(cc, bom, rm)
         j = instances.select("InstanceID").crossJoin(F.broadcast(h))
     elif scope == "product":
-        edges = (product_root.select("ProductID", F.col("ComponentID").alias("ParentComponentID"))
-                 .join(bom.select("ParentComponentID", "ChildComponentID"), "ParentComponentID")
-                 .groupBy("ProductID", F.col("ChildComponentID").alias("ComponentID"))
-                 .agg(F.count(F.lit(1)).alias("_edges")))
+        edges = _product_edges(product_root, bom)
         per_product = (edges.join(_hazard_rows(cc, rm), "ComponentID").groupBy("ProductID")
                        .agg(F.sum(F.col("_edges") * F.col("_haz")).alias("hazard_count")))
         j = instances.select("InstanceID", "ProductID").join(per_product, "ProductID", "left")
