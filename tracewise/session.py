@@ -53,13 +53,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system; it is read from the
-    session and never replaced. Only where it is unset (local tests) a fresh
-    scratch folder is made and set.
+    session and never replaced. Only where it is unset on a local master
+    (tests) a fresh scratch folder is made and set; elsewhere that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder "
+                               "(a machine-local one would be lost with its executor)")
         configured = tempfile.mkdtemp(prefix="tracewise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc.getCheckpointDir() is None:
