@@ -43,12 +43,22 @@ def _first_reason(*rules: tuple[Column, str]) -> Column:
     return expr
 
 
-def _flag_join(df: DataFrame, keys: DataFrame, left_key: Column, flag: str) -> DataFrame:
-    """Left-join a de-duplicated key set as a boolean ``flag`` (existence, J9/J10)."""
-    k = keys.select(F.col(keys.columns[0]).alias("_fk")).groupBy("_fk") \
-        .agg(F.lit(True).alias(flag))
-    out = df.withColumn("_lk", left_key).join(k, F.col("_lk") == F.col("_fk"), "left")
-    return out.drop("_lk", "_fk").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+def _flag_join(df: DataFrame, keys: DataFrame, left_key: Column | str, flag: str) -> DataFrame:
+    """Left-join a de-duplicated key set as a boolean ``flag`` (existence, J9/J10).
+
+    ``left_key`` may name a column of ``df``: the join then keeps that column
+    and its hash partitioning, so a later step keyed on it needs no shuffle.
+    """
+    if isinstance(left_key, str):
+        k = keys.select(F.col(keys.columns[0]).alias(left_key)).groupBy(left_key) \
+            .agg(F.lit(True).alias(flag))
+        out = df.join(k, left_key, "left")
+    else:
+        k = keys.select(F.col(keys.columns[0]).alias("_fk")).groupBy("_fk") \
+            .agg(F.lit(True).alias(flag))
+        out = df.withColumn("_lk", left_key).join(k, F.col("_lk") == F.col("_fk"), "left") \
+            .drop("_lk", "_fk")
+    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 # -- R2 ----------------------------------------------------------------------
@@ -210,15 +220,20 @@ def sourcing_insert_gate(batch: DataFrame, suppliers: DataFrame, components: Dat
 
 
 # -- G5 ----------------------------------------------------------------------
-def _first_per_key(df: DataFrame, key: Column, order: str, eligible: Column,
+def _first_per_key(df: DataFrame, key: Column | str, order: str, eligible: Column,
                    keep_min: bool = False) -> DataFrame:
     """Flag ``_first``: the row is the earliest eligible one of its key
     (``_min``, that row's order value, kept on request). A map-side-combined
-    ``min`` per key, joined back."""
-    firsts = df.filter(eligible).groupBy(key.alias("_key")).agg(F.min(order).alias("_min"))
-    out = df.withColumn("_key", key).join(firsts, "_key", "left")
+    ``min`` per key, joined back (on the named key column when given, reusing
+    its partitioning)."""
+    if isinstance(key, str):
+        firsts = df.filter(eligible).groupBy(key).agg(F.min(order).alias("_min"))
+        out = df.join(firsts, key, "left")
+    else:
+        firsts = df.filter(eligible).groupBy(key.alias("_key")).agg(F.min(order).alias("_min"))
+        out = df.withColumn("_key", key).join(firsts, "_key", "left").drop("_key")
     out = out.withColumn("_first", F.coalesce(F.col(order) == F.col("_min"), F.lit(False)))
-    return out.drop("_key") if keep_min else out.drop("_key", "_min")
+    return out if keep_min else out.drop("_min")
 
 
 def register_instances(existing: DataFrame, products: DataFrame, batch: DataFrame,
@@ -232,14 +247,15 @@ def register_instances(existing: DataFrame, products: DataFrame, batch: DataFram
     in ``order``, and one Manufactured event each, stamped ``as_of``, with
     EventIDs after the stored maximum. Returns (decided requests, new events).
     """
-    b = batch.withColumn("SerialNumber", F.trim("SerialNumber"))
-    skey = F.lower("SerialNumber")
-    b = _flag_join(b, existing.select(F.lower("SerialNumber")), skey, "_dup_stored")
+    b = batch.withColumn("SerialNumber", F.trim("SerialNumber")) \
+        .withColumn("_skey", F.lower("SerialNumber"))
     b = _flag_join(b, products.select(F.lower("ProductID")), F.lower("ProductID"), "_product")
+    # both serial steps join on the one key column: one shuffle of the batch
+    b = _flag_join(b, existing.select(F.lower("SerialNumber")), "_skey", "_dup_stored")
     # the earliest row of each serial that passes every check is the one admitted;
     # any later row with that serial finds it taken
     eligible = F.col("SerialNumber").isNotNull() & ~F.col("_dup_stored") & F.col("_product")
-    b = _first_per_key(b, skey, order, eligible, keep_min=True)
+    b = _first_per_key(b, "_skey", order, eligible, keep_min=True)
     reason = _first_reason(
         (F.col("SerialNumber").isNull(), schemas.MSG_MISSING_SERIAL),
         (F.col("_dup_stored"), schemas.MSG_DUPLICATE_SERIAL),
@@ -247,7 +263,7 @@ def register_instances(existing: DataFrame, products: DataFrame, batch: DataFram
         (~F.col("_product"), schemas.MSG_UNKNOWN_PRODUCT))
     # both outputs read the decisions: compute them once (shared checkpoint folder)
     decided = checkpointed(
-        b.withColumn(REASON, reason).drop("_min", "_first", "_dup_stored", "_product"))
+        b.withColumn(REASON, reason).drop("_min", "_first", "_dup_stored", "_product", "_skey"))
     acc, rej = split(decided)
     acc = assign_ids(acc, [order], "_seq")
     acc = ids_after(acc, "_seq", existing, "InstanceID", "InstanceID")
@@ -324,8 +340,9 @@ def add_suppliers(existing: DataFrame, batch: DataFrame, order: str = "RequestID
     (case-insensitive primary key, against stored rows and earlier admitted
     rows of the batch) (G8)."""
     b = batch.withColumn("SupplierID", F.trim("SupplierID")) \
-        .withColumn("SupplierName", F.trim("SupplierName"))
-    key = F.lower("SupplierID")
+        .withColumn("SupplierName", F.trim("SupplierName")) \
+        .withColumn("_skey", F.lower("SupplierID"))
+    key = "_skey"
     b = _flag_join(b, existing.select(F.lower("SupplierID")), key, "_dup")
     pre = _first_reason(
         (F.col("SupplierID").isNull(), schemas.MSG_MISSING_SUPPLIER_ID),
@@ -334,7 +351,7 @@ def add_suppliers(existing: DataFrame, batch: DataFrame, order: str = "RequestID
     b = _first_per_key(b.withColumn("_pre", pre), key, order, F.col("_pre").isNull())
     reason = F.coalesce(F.col("_pre"), F.when(~F.col("_first"),
                                               F.lit(schemas.MSG_DUPLICATE_SUPPLIER)))
-    return b.withColumn(REASON, reason).drop("_pre", "_first", "_dup")
+    return b.withColumn(REASON, reason).drop("_pre", "_first", "_dup", "_skey")
 
 
 # -- G9 / S6 -----------------------------------------------------------------
