@@ -173,17 +173,20 @@ def composition_gate(batch: DataFrame, rm: DataFrame, components: DataFrame,
     d = hazard_weight_gate(batch, rm)
     d = _key_flag(d, components, [F.col("ComponentID")], ["ComponentID"], "_ck")
     d = _key_flag(d, rm, [F.col("MaterialID")], ["MaterialID"], "_mk")
-    d = _key_flag(d, stored, [F.col("ComponentID"), F.col("MaterialID")],
-                  ["ComponentID", "MaterialID"], "_dup")
-    key = F.struct(F.lower("ComponentID"), F.lower("MaterialID"))
+    # the primary-key steps share one partitioning on the lowered key columns
+    d = d.withColumn("_kc", F.lower("ComponentID")).withColumn("_km", F.lower("MaterialID"))
+    pk = stored.select(F.lower("ComponentID").alias("_kc"), F.lower("MaterialID").alias("_km")) \
+        .groupBy("_kc", "_km").agg(F.lit(True).alias("_dup"))
+    d = d.join(pk, ["_kc", "_km"], "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
     eligible = F.col(REASON).isNull() & F.col("_ck") & F.col("_mk") & ~F.col("_dup")
-    d = _first_per_key(d, key, order, eligible, keep_min=True)
+    d = _first_per_key(d, ["_kc", "_km"], order, eligible, keep_min=True)
     reason = F.coalesce(F.col(REASON), _first_reason(
         (~F.col("_ck"), schemas.MSG_UNKNOWN_COMPONENT),
         (~F.col("_mk"), schemas.MSG_UNKNOWN_MATERIAL),
         (F.col("_dup"), schemas.MSG_DUPLICATE_COMPOSITION),
         (F.col("_min") < F.col(order), schemas.MSG_DUPLICATE_COMPOSITION)))
-    return d.withColumn(REASON, reason).drop("_ck", "_mk", "_dup", "_min", "_first")
+    return d.withColumn(REASON, reason).drop("_ck", "_mk", "_dup", "_min", "_first", "_kc",
+                                             "_km")
 
 
 # -- G4 ----------------------------------------------------------------------
@@ -220,15 +223,16 @@ def sourcing_insert_gate(batch: DataFrame, suppliers: DataFrame, components: Dat
 
 
 # -- G5 ----------------------------------------------------------------------
-def _first_per_key(df: DataFrame, key: Column | str, order: str, eligible: Column,
-                   keep_min: bool = False) -> DataFrame:
+def _first_per_key(df: DataFrame, key: Column | str | list[str], order: str,
+                   eligible: Column, keep_min: bool = False) -> DataFrame:
     """Flag ``_first``: the row is the earliest eligible one of its key
     (``_min``, that row's order value, kept on request). A map-side-combined
-    ``min`` per key, joined back (on the named key column when given, reusing
-    its partitioning)."""
-    if isinstance(key, str):
-        firsts = df.filter(eligible).groupBy(key).agg(F.min(order).alias("_min"))
-        out = df.join(firsts, key, "left")
+    ``min`` per key, joined back (on the named key columns when given, reusing
+    their partitioning)."""
+    if isinstance(key, (str, list)):
+        names = [key] if isinstance(key, str) else key
+        firsts = df.filter(eligible).groupBy(*names).agg(F.min(order).alias("_min"))
+        out = df.join(firsts, names, "left")
     else:
         firsts = df.filter(eligible).groupBy(key.alias("_key")).agg(F.min(order).alias("_min"))
         out = df.withColumn("_key", key).join(firsts, "_key", "left").drop("_key")
