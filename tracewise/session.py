@@ -110,3 +110,4 @@ def cluster_conf(total_cores: int, input_tb: float = 100.0) -> dict[str, str]:
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
+

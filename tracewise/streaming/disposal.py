@@ -30,7 +30,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class DisposalGate(StatefulProcessor):
-    """Keyed by InstanceID; state: has a Sold event been stored."""
+    """Keyed by InstanceID; state: has a Sold event been stored.
+
+    Everything the class needs is bound as class attributes, and the class is
+    pickled by value (see ``disposal_gate_stream``), so Python workers run it
+    without importing this package.
+    """
+
+    SOLD = schemas.SOLD.lower()
+    DISPOSED = schemas.DISPOSED.lower()
+    MESSAGE = schemas.MSG_UNSOLD_DISPOSAL
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sold = handle.getValueState("sold", "seen boolean")
@@ -39,14 +48,14 @@ class DisposalGate(StatefulProcessor):
                         ) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("EventID", kind="stable")
         kind = batch["EventType"].str.lower()
-        is_sold = (kind == schemas.SOLD.lower()).fillna(False)
-        is_disposed = (kind == schemas.DISPOSED.lower()).fillna(False)
+        is_sold = (kind == self.SOLD).fillna(False)
+        is_disposed = (kind == self.DISPOSED).fillna(False)
         current = self.sold.get()            # one state-store call; None when absent
         stored = bool(current and current[0])
         sold_before = is_sold.cumsum().shift(fill_value=0).astype(int) > 0
         ok = ~is_disposed | stored | sold_before
         reason = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        reason[~ok] = schemas.MSG_UNSOLD_DISPOSAL
+        reason[~ok] = self.MESSAGE
         if not stored and bool(is_sold.any()):
             self.sold.update((True,))        # written only when it changes
         yield pd.DataFrame({
@@ -63,6 +72,12 @@ class DisposalGate(StatefulProcessor):
 
 def disposal_gate_stream(events: DataFrame) -> DataFrame:
     """Streaming form of G1 over lifecycle events (EventID, EventType, EventDate, InstanceID)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    # ship the processor's code with it: workers need not have this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark = events.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
