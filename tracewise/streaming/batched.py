@@ -24,11 +24,7 @@ from .runner import MAX_FILES_PER_BATCH, event_stream
 
 def _state_before(spark: SparkSession, state_path: str, epoch: int) -> DataFrame:
     """Sold instance ids stored by earlier epochs, as Sold rows for the gate."""
-    try:
-        st = spark.read.parquet(state_path)
-    except Exception:  # no epoch has written state yet
-        return spark.createDataFrame([], "InstanceID bigint, EventType string, epoch bigint")
-    return st.filter(F.col("epoch") < epoch).select(
+    return spark.read.parquet(state_path).filter(F.col("epoch") < epoch).select(
         "InstanceID", F.lit(schemas.SOLD).alias("EventType"))
 
 
@@ -40,6 +36,10 @@ def run_disposal_gate_batched(spark: SparkSession, folder: str, out: str | None
     checkpoint = checkpoint or scratch_path(spark, "stream-gate-ckpt")
     state_path = f"{checkpoint.rstrip('/')}-state"
 
+    # an empty seed partition (kept on restart) so the state always reads
+    spark.createDataFrame([], "InstanceID bigint").write.mode("ignore") \
+        .parquet(f"{state_path}/epoch=-1")
+
     def step(batch: DataFrame, epoch: int) -> None:
         stored = _state_before(batch.sparkSession, state_path, epoch)
         rows = batch.select("EventID", "InstanceID", "EventType")
