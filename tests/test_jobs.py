@@ -106,3 +106,20 @@ def test_jobs_on_bucketed_catalog(spark, seed, tmp_path):
     jobs.main(["dashboard", "--database", "jobdb", "--out", f"{out}/d"], spark=spark)
     counts = dict((r.metric, r.row_count) for r in spark.read.json(f"{out}/d/counts").collect())
     assert counts["instances"] == 5 and counts["events"] == 14
+
+
+def test_train_job(spark, tmp_path):
+    from tracewise.sources.testdata import driver_tables
+
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "out")
+    _store(driver_tables(spark, "/root/testdata/sf0.001"), tables)
+    jobs.main(["train", "--tables", tables, "--out", out, "--model", str(tmp_path / "m")],
+              spark=spark)
+    report = {r.label: r for r in spark.read.json(f"{out}/report").collect()}
+    assert {"0", "1", "accuracy", "macro avg", "weighted avg"} <= set(report)
+    preds = spark.read.json(f"{out}/predictions")
+    assert preds.count() == report["accuracy"].support
+    assert 0.0 <= spark.read.json(f"{out}/accuracy").first().accuracy <= 1.0
+    from tracewise.operators import model
+
+    assert model.load(str(tmp_path / "m")) is not None
