@@ -39,7 +39,7 @@ from ..session import scratch_path
 from .common import read, row_slices, stored, worker_cache
 
 #: A file is closed beyond this many bytes; rows are encoded in slices of this much text.
-FILE_BYTES, SLICE_BYTES, CALL_BYTES, MEMO_PIECES = 32 << 20, 4 << 20, 1 << 18, 400_000
+FILE_BYTES, SLICE_BYTES, MEMO_PIECES = 32 << 20, 4 << 20, 600_000
 LEVEL = 1
 #: Fixed values of the seekable format.
 DOC_MAGIC, SEEK_MAGIC, SEEK_END, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -149,41 +149,65 @@ def whole_texts(path: str) -> re.Pattern:
     return re.compile("|".join([ODD, *(re.escape(t["content"]) for t in spec.get("added_tokens", []))]))
 
 
-def load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
-
-    def ids(texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encode(texts, add_special_tokens=False)]
-
-    return ids, whole_texts(path).search
-
-
-def encode_texts(texts: list[str], ids, whole, memo: dict) -> list[bytes]:
-    """Ids of each text as little-endian bytes; every distinct piece is encoded once per worker."""
-    out = []
-    for text in texts:
-        if whole(text):
-            out.append(ids([text])[0])
-            continue
-        pieces = PIECES.findall(text)
-        new = set(pieces).difference(memo)
-        if new:
-            tails = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2].isalpha()]
-            todo = list((new.difference(tails) | {q for p in tails for q in (p[:-1], p[-1])}).difference(memo))
-            for a, b in row_slices([len(p) for p in todo], CALL_BYTES):
-                memo.update(zip(todo[a:b], ids(todo[a:b])))
-            for p in tails:
-                memo[p] = memo[p[:-1]] + memo[p[-1]]
-        out.append(b"".join(map(memo.__getitem__, pieces)))
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-    return out
+def byte_letters() -> dict[int, str]:
+    """Fixed: the letter that byte-level vocabularies write for each byte. Printable
+    bytes stand for themselves, the others for the letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """Memo of a tokenizer: piece to its ids as little-endian bytes. A key is a piece
+    without the one space before it, a piece with a line feed before it, or
+    FIRST and a piece that stands without either."""
+
+    FIRST = "\x1c"
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.model, self.letters = self.tok.model, byte_letters()
+        self.whole = whole_texts(path).search
+
+    def encode(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > MEMO_PIECES:
+            self.clear()
+        text = key[1:] if key[0] == self.FIRST else key if key[0] == "\n" else " " + key
+        if len(key) > 1 and key[-1] in ".," and key[-2].isalpha():     # a letter ends a token here
+            ids = self[key[:-1]] + self[self.FIRST + key[-1]]
+        elif key.isalpha() and max(key) < "\u0250":     # one word: no splitting left to do
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        else:
+            ids = self.encode(text)
+        self[key] = ids
+        return ids
+
+    def keys_of(self, text: str) -> list[str]:
+        keys = text.replace("\n", " \n").split(" ")
+        # one blank or line feed between words, no other white space
+        if "" not in keys and "\n" not in keys and text.replace("\n", "").isprintable():
+            if keys[0][0] != "\n":
+                keys[0] = self.FIRST + keys[0]
+            return keys
+        return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace()
+                else p if p[0] == "\n" and len(p) > 1 and not p[1].isspace() else self.FIRST + p
+                for p in PIECES.findall(text)]
+
+
+def encode_texts(texts: list[str], pieces: Pieces) -> list[bytes]:
+    """Ids of each text as little-endian bytes; distinct pieces are encoded once per worker."""
+    return [pieces.encode(t) if pieces.whole(t) else b"".join(map(pieces.__getitem__, pieces.keys_of(t)))
+            for t in texts]
 
 
 MANIFEST = "path string, first_doc long, documents long, ids long"
@@ -196,10 +220,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache("token_file:" + path)
-        if "load" not in cache:
-            cache["load"], cache["memo"] = load(path), {}
-        ids, whole = cache["load"]
+        cache = worker_cache("token_file")
+        if path not in cache:
+            cache[path] = Pieces(path)
+        pieces = cache[path]
         writer = None
 
         def closed():
@@ -212,7 +236,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
             doc_ids, col = batch.column(0).to_pylist(), batch.column(1)
             for a, b in row_slices(pc.fill_null(pc.binary_length(col), 0).to_pylist(), SLICE_BYTES):
                 texts = pc.fill_null(col.slice(a, b - a), "").to_pylist()
-                for doc_id, data in zip(doc_ids[a:b], encode_texts(texts, ids, whole, cache["memo"])):
+                for doc_id, data in zip(doc_ids[a:b], encode_texts(texts, pieces)):
                     if writer is None:
                         name, first = f"{folder}/part-{uuid.uuid4().hex}.zst", doc_id
                         writer = FrameWriter(name)
