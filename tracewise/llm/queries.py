@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts, token_file
+from . import language, mixing, quality_rules, secrets, token_counts, token_file
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_files": token_file.op9_token_files,
+    "op10_language_id": language.op10_language_id,
 }
 
 ORACLE = {"op2_mix_sources": mixing.OP2_SQL}

@@ -1,0 +1,184 @@
+"""Operator 5: secret scan with fixed patterns and character Markov models.
+
+The base patterns (kinds assign, access, hex) are matched over the whole text;
+the method adds spans of kind ``random``: runs of token characters that a first-order
+Markov model of random strings explains better than one of ordinary
+identifiers, by log-likelihood ratio per character. Both models are trained in
+Spark from labelled samples (character-pair counts; at most 66 x 66 x 2 sums reach
+the driver). All base and random spans lie in words of 20 characters or
+more, or behind a keyword, so other texts are dismissed by two cheap tests.
+
+Defined results: null is the empty text, which has no spans (hash of the
+empty string); repeated rows are scanned each; an empty table gives no
+rows; extra columns are carried, those named like an output are replaced.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import read
+
+#: Fixed by the contract: kinds in order, their patterns and least lengths.
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")      # of all runs [0-9a-f]+, those of 24 or more
+ASSIGN_LEAST, ACCESS_LEAST = 6, 20
+KEYWORDS = ("passw", "secret", "token", "api")
+
+#: Candidates of the method, and its thresholds (nats per character; the rate is calibrated, see train).
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+LEAST_RATE = 0.4
+#: Documents (smallest hash of doc_id) whose words give the labelled samples.
+SAMPLE_DOCS = 2000
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base matches, by start and kind."""
+    found = []
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(found)
+
+
+def random_spans(text: str, model: dict, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of candidates that look random and touch no base span."""
+    ratio, found = model["ratio"], []
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        word = "^" + m[0]
+        score = sum(map(ratio.get, map("".join, zip(word, word[1:])))) / (b - a)
+        if score >= model["least"] and all(b <= s or e <= a for s, _, e in base):
+            found.append((a, 3, b))
+    return found
+
+
+def spans(text: str, model: dict | None) -> tuple[list, list]:
+    if max(map(len, text.split()), default=0) < 20:     # only assign fits in shorter words
+        low = text.lower()
+        if not any(k in low for k in KEYWORDS):
+            return [], []
+    base = base_spans(text)
+    return base, random_spans(text, model, base) if model else []
+
+
+def samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
+    """Labelled samples (text, label): label 1 are random strings (digests of
+    the sampled documents' ids in base 64 and 16, and values that the base patterns
+    find behind keywords), label 0 ordinary identifiers (the documents' words, also
+    upper-cased, joined to names and paths, and numbers)."""
+    some = docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    digests = some.select(F.explode(F.array(
+        F.base64(F.unhex(F.sha2(key, 512))), F.sha2(key, 256),
+        F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(key, F.lit("k")), 512))), "[+/=]", "")))
+        .alias("text"), F.lit(1).alias("label"))
+    values = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{16,})"""),
+                                                        F.lit(1))).alias("text"), F.lit(1).alias("label"))
+    words = some.select(F.filter(F.split(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & (F.length(w) < 20))
+                        .alias("w")).where(F.size("w") > 3)
+    names = words.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3)), lambda i: F.array(
+        F.element_at("w", i), F.upper(F.element_at("w", i)),
+        F.concat(F.element_at("w", i), F.initcap(F.element_at("w", i + 1)), F.initcap(F.element_at("w", i + 2))),
+        F.concat_ws("_", F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)),
+        F.concat_ws("-", F.element_at("w", i), F.element_at("w", i + 1), i.cast("string")),
+        F.concat_ws("/", F.element_at("w", i), F.element_at("w", i + 1)),
+        F.lpad((i * 7919).cast("string"), 9, "20"))))).alias("text"), F.lit(0).alias("label"))
+    rules = some.select(F.lit("=" * 40 + "-" * 40 + "_" * 40).alias("text"), F.lit(0).alias("label"))
+    return digests.unionByName(values).unionByName(names).unionByName(rules)
+
+
+def train(labelled: DataFrame, least: float = LEAST_RATE) -> dict | None:
+    """Both Markov models as one table of log-likelihood ratios by character
+    pair ("^" starts a string; add-one smoothing). None without both labels."""
+    text = F.concat(F.lit("^"), "text")
+    pairs = labelled.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")),
+                                                           lambda i: F.substr(text, i, F.lit(2)))).alias("pair")) \
+        .where(F.length("pair") == 2).groupBy("label", "pair").count()
+    counts: list[dict] = [{}, {}]
+    for r in pairs.where(F.col("pair").rlike(r"^[\^A-Za-z0-9+/_=-][A-Za-z0-9+/_=-]$")).collect():
+        counts[r["label"]][r["pair"]] = r["count"]
+    if not all(counts):
+        return None
+    ratio = {}
+    for a in "^" + LETTERS:
+        total = [sum(c.get(a + b, 0) for b in LETTERS) + len(LETTERS) for c in counts]
+        for b in LETTERS:
+            p0, p1 = ((c.get(a + b, 0) + 1) / t for c, t in zip(counts, total))
+            ratio[a + b] = math.log(p1 / p0)
+    return {"ratio": ratio, "least": least}
+
+
+def joined(found: list[tuple[int, int, int]]) -> str:
+    names = (*KINDS, "random")
+    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)
+
+
+FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex")]
+                     + [T.StructField(c, T.StringType()) for c in ("base_sha256", "spans")])
+
+
+def scanner(model: dict | None):
+    @F.arrow_udf(FOUND)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fields = [pa.field(c, pa.int64()) for c in ("n_assign", "n_access", "n_hex")] \
+            + [pa.field(c, pa.string()) for c in ("base_sha256", "spans")]
+        for batch in batches:
+            rows = []
+            for text in pc.fill_null(batch, ""):
+                base, more = spans(text.as_py(), model)
+                kinds = [k for _, k, _ in base]
+                rows.append((*map(kinds.count, range(3)), hashlib.sha256(joined(base).encode()).hexdigest(),
+                             joined(sorted(base + more))))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], fields=fields)
+
+    return scan
+
+
+def scan_secrets(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
+    """``docs`` with n_assign, n_access, n_hex, base_sha256 and spans."""
+    found = docs.drop(*[f.name for f in FOUND]).withColumn("_found", scanner(model)(F.col(text)))
+    return found.select("*", "_found.*").drop("_found")
+
+
+def redact(docs: DataFrame, model: dict | None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by ``mark`` (overlapping
+    spans by one mark); texts without spans, null ones too, stay as they are."""
+
+    @F.arrow_udf("string")
+    def cover(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for value in batch:
+                value, parts, end = value.as_py(), [], 0
+                if value:
+                    base, more = spans(value, model)
+                    for a, _, b in sorted(base + more):
+                        if a >= end:
+                            parts += [value[end:a], mark]
+                        end = max(end, b)
+                out.append("".join(parts) + value[end:] if parts else value)
+            yield pa.array(out, pa.string())
+
+    return docs.withColumn(text, cover(F.col(text)))
+
+
+def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_secrets(docs, train(samples(docs))).drop("text")
