@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality_rules, secrets, token_counts, token_file
+from . import importance, language, mixing, neighbours, quality_rules, secret_scan, token_counts, token_file
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_importance_resampling": importance.op3_importance_resampling,
     "op4_token_counts": token_counts.op4_token_counts,
-    "op5_secret_scan": secrets.op5_secret_scan,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_files": token_file.op9_token_files,
     "op10_language_id": language.op10_language_id,
