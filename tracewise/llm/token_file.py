@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import read, row_slices, stored, worker_cache
+from .common import input_slices, read, row_slices, stored, worker_cache
 
 #: A file is closed beyond this many bytes; rows are encoded in slices of this much text.
 FILE_BYTES, SLICE_BYTES, MEMO_PIECES = 32 << 20, 4 << 20, 600_000
@@ -271,7 +271,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for a in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a:a + 10_000])], schema=schema)
 
-    spread = files.select("path", "before").repartition(F.col("path"))
+    # a stated number of partitions: rows are tiny, each stands for a file
+    spread = files.select("path", "before").repartition(input_slices(manifest.sparkSession), "path")
     return spread.mapInArrow(documents, DOCUMENTS)
 
 
