@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, mixing, near_dedup, neighbours, quality_rules, secret_scan, token_counts, token_file
+from . import importance, language, mixing, near_dedup, neighbours, piece_lattice, quality_rules, secret_scan, token_counts, token_file
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_importance_resampling": importance.op3_importance_resampling,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_sentencepiece": piece_lattice.op6_sentencepiece,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_files": token_file.op9_token_files,
