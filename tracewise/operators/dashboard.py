@@ -30,10 +30,16 @@ def event_distribution(le: DataFrame, case_insensitive: bool = True) -> DataFram
     The database groups text case-insensitively; the group is labelled with
     its smallest spelling so the result is deterministic.
     """
-    key = F.lower("EventType") if case_insensitive else F.col("EventType")
-    return (le.groupBy(key.alias("_k"))
-            .agg(F.min("EventType").alias("EventType"), F.count(F.lit(1)).alias("cnt"))
-            .drop("_k"))
+    # counted per exact spelling first (a hash aggregate over the events);
+    # the smallest spelling is taken over those few rows
+    exact = le.groupBy("EventType").agg(F.count(F.lit(1)).alias("cnt"))
+    return merge_spellings(exact) if case_insensitive else exact
+
+
+def merge_spellings(exact: DataFrame) -> DataFrame:
+    """(EventType, cnt) per exact spelling to one row per type, labelled with its smallest spelling."""
+    return (exact.groupBy(F.lower("EventType").alias("_k"))
+            .agg(F.min("EventType").alias("EventType"), F.sum("cnt").alias("cnt")).drop("_k"))
 
 
 def lifecycle_outcomes(le: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import hazard_label
 from ..operators import audits, bom, dashboard, events, features, gates, model, sourcing
 from ..session import checkpointed
 from ..sources.testdata import DriverTables
@@ -151,7 +153,16 @@ def component_summary(spark, sf_dir):
 
 @query
 def trace_all(spark, sf_dir):
-    """J4, rolled up per (component, material) over the whole trace."""
+    """One row per (BOM edge, material of the child)."""
+    t = _t(spark, sf_dir)[1]
+    return bom.trace_all(t.components, t.bill_of_material, t.component_composition,
+                         t.raw_materials).withColumn("WeightInGrams",
+                                                     F.col("WeightInGrams").cast("double"))
+
+
+@query
+def trace_rollup(spark, sf_dir):
+    """J4 rolled up per (component, material)."""
     t = _t(spark, sf_dir)[1]
     return bom.trace_rollup(t.components, t.bill_of_material, t.component_composition,
                             t.raw_materials)
@@ -159,7 +170,21 @@ def trace_all(spark, sf_dir):
 
 @query
 def material_passport(spark, sf_dir):
-    """J5, F7, rolled up per product over the whole passport."""
+    """J5, F7, T-2: one row per (edge, material), with its place in the product's report."""
+    t = _t(spark, sf_dir)[1]
+    place = W.partitionBy("ProductID").orderBy("ComponentName", "ComponentID", "MaterialID")
+    rows = bom.material_passport(t.product_root, t.bill_of_material, t.components,
+                                 t.component_composition, t.raw_materials)
+    return rows.select(
+        "ProductID", "ComponentID", "ComponentName", "MaterialID", "MaterialName",
+        F.col("WeightInGrams").cast("double").alias("WeightInGrams"), "RecyclableGrade",
+        hazard_label("IsHazardous").alias("IsHazardous"),
+        F.row_number().over(place).alias("position"))
+
+
+@query
+def passport_rollup(spark, sf_dir):
+    """J5 rolled up per product."""
     t = _t(spark, sf_dir)[1]
     return bom.passport_rollup(t.product_root, t.bill_of_material, t.components,
                                t.component_composition, t.raw_materials)
@@ -263,6 +288,15 @@ def recycle_events(spark, sf_dir):
                                 scope="product").select("InstanceID", "EventType")
 
 
+@query
+def recycle_events_global(spark, sf_dir):
+    """G7, J11, scope 'global': one type for all, as the procedure decides it."""
+    t = _t(spark, sf_dir)[1]
+    return gates.recycle_events(t.product_instances, t.product_root, t.bill_of_material,
+                                t.component_composition, t.raw_materials, AS_OF,
+                                scope="global").select("InstanceID", "EventType")
+
+
 @query
 def add_suppliers(spark, sf_dir):
     """G8."""

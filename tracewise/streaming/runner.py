@@ -3,22 +3,20 @@
 Sources are file streams over the driver's folder; sinks are parquet below
 the shared checkpoint folder, and every query keeps its progress in a
 checkpoint there, so a restarted run resumes where the last one committed.
-``availableNow`` processes what is present and stops (bounded batches).
+``availableNow`` processes what is present and stops. All files present are one
+batch unless ``max_files`` cuts them: the disposal gate decides in EventID order
+within a batch, so a cut is only for files that come in that order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.dashboard import event_distribution
+from ..operators.dashboard import event_distribution, merge_spellings
 from ..session import scratch_path
 from ..sources.testdata import events_as_lifecycle
 from .disposal import disposal_gate_stream
 
-# Bounded micro-batches: per-instance state handlers and per-batch joins
-# see at most this many new files at a time (availableNow honours it too).
-MAX_FILES_PER_BATCH = 256
-
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, " \
                 "value double, props string"
 
@@ -34,7 +32,7 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parqu
 
 def run_disposal_gate(spark: SparkSession, folder: str, out: str | None = None,
                       checkpoint: str | None = None,
-                 max_files: int | None = MAX_FILES_PER_BATCH) -> str:
+                 max_files: int | None = None) -> str:
     """Run X1 to completion over the files present; returns the output path."""
     out = out or scratch_path(spark, "stream-disposal-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-disposal-ckpt")
@@ -50,16 +48,17 @@ def run_disposal_gate(spark: SparkSession, folder: str, out: str | None = None,
 
 def run_outcomes(spark: SparkSession, folder: str, out: str | None = None,
                  checkpoint: str | None = None,
-                 max_files: int | None = MAX_FILES_PER_BATCH) -> str:
+                 max_files: int | None = None) -> str:
     """Run X2 (running event distribution, complete mode): each micro-batch
     rewrites the full, small result table; returns its path."""
     out = out or scratch_path(spark, "stream-outcomes-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-outcomes-ckpt")
 
     def publish(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(out)
+        merge_spellings(df).write.mode("overwrite").parquet(out)
 
-    q = (event_distribution(event_stream(spark, folder, max_files=max_files))
+    # the state counts exact spellings (hash aggregate); spellings are merged per epoch
+    q = (event_distribution(event_stream(spark, folder, max_files=max_files), case_insensitive=False)
          .writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
