@@ -163,7 +163,7 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = list(grams(letters(text.as_py())))
                 unique = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique)), pa.array(unique.view(np.int64))], names=["lang", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique), pa.string()), pa.array(unique.view(np.int64))], names=["lang", "gram"])
 
     # at most ``most`` ids per language: a bounded broadcast
     sample = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text")
