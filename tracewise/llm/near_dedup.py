@@ -15,10 +15,11 @@ with the concentration of a sum of T nearly independent draws.
    the share of agreeing bins (MARGIN is 4.5 standard deviations below the threshold,
    so a link passes but for a chance of about 1e-5), then exactly on the full sets.
 4. Components of these links. Buckets whose members are still in different components
-   are searched again: all pairs of different components in blocks of BLOCK members, each
-   pair only in its first common bucket, by bins and then on the full sets. So no link
-   that joins components is lost, and groups whose members
-   all link to their smallest cost no pairs.
+   are searched again, in blocks of BLOCK members with their full sets: pairs of different
+   components, each only in its first common bucket, by bins and then exactly, best
+   agreement first, until no two components of the block can still be joined. Only the
+   joining links leave the task, so no link that joins components is lost
+   and a group of m members makes m - 1 rows at most.
 5. Components of all links, by alternating large-star and small-star steps on
    stored tables; nothing but counts reaches the driver.
 
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import drop, read, stored, worker_cache
 from .quality_rules import WordHashes
 
-T, BANDS, ROWS, MARGIN, BLOCK = 192, 38, 5, 0.13, 512
+T, BANDS, ROWS, MARGIN, BLOCK = 192, 38, 5, 0.13, 256
 FILTER_BITS = 26        # 8 MB Bloom filter of the documents whose full sets are needed
 PRIME, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 EMPTY = np.iinfo(np.uint64).max
@@ -251,32 +252,40 @@ def components(links: DataFrame, scratch: list[str]) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components in one bucket that are likely links. Input rows:
-    bucket, band, hub, id, component, n, sig, bands, and size (members of the bucket)."""
+def cross_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that join different components of one bucket. Input rows: bucket,
+    band, hub, id, component, n, sig, bands, set, and size (members of the bucket)."""
     least = (percent / 100 - MARGIN) * T
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rows = (members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
 
-    def pairs(group: list[tuple]) -> list[tuple]:
-        """Pairs of one (bucket, lo, hi) group of at most two blocks."""
+    def joining(group: list[tuple]) -> list[tuple]:
+        """Joining links of one (bucket, lo, hi) group of at most two blocks."""
         ids, comps, sizes, owns, hub, band, lo, hi = (np.array([g[k] for g in group]) for k in (0, 1, 2, 3, 6, 7, 8, 9))
         sig = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(-1, T)
         bands = np.array([g[5] for g in group])
+        sets = [np.frombuffer(g[11], np.uint64) for g in group]
         out = []
         for i in range(len(group)):
-            if ids[i] == hub[0]:
+            if ids[i] == hub[0]:        # compared with all members before
                 continue
             j = np.flatnonzero((ids > ids[i]) & (comps != comps[i]) & (ids != hub[0])
                                & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
                                & ((lo[0] == hi[0]) | (owns != owns[i])))
             if len(j):
-                j = j[(sig[j] == sig[i]).sum(1) >= least]
+                agree = (sig[j] == sig[i]).sum(1)
+                j = j[np.argsort(-agree, kind="stable")][:int((agree >= least).sum())]
             if len(j):
                 j = j[(bands[j] == bands[i]).argmax(1) == band[0]]
-            out += [(int(ids[i]), int(ids[k])) for k in j]
+            for k in j:
+                if comps[k] != comps[i]:        # else joined by a link found here
+                    total = len(sets[i]) + len(sets[k])
+                    both = total - len(np.union1d(sets[i], sets[k]))
+                    if 100 * both >= percent * (total - both):
+                        out.append((int(ids[i]), int(ids[k])))
+                        comps[comps == comps[k]] = comps[i]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,14 +301,14 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 k = (row[10], row[8], row[9])
                 if k != key:
                     if len(group) > 1:
-                        found += pairs(group)
+                        found += joining(group)
                     key, group = k, []
                 group.append(row)
             yield done(found)
         if len(group) > 1:
-            yield done(pairs(group))
+            yield done(joining(group))
 
-    cols = ["id", "component", "n", "own", "sig", "bands", "hub", "band", "lo", "hi", "bucket"]
+    cols = ["id", "component", "n", "own", "sig", "bands", "hub", "band", "lo", "hi", "bucket", "set"]
     return rows.select(*cols).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi") \
         .mapInArrow(run, "a long, b long")
 
@@ -330,10 +339,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     member = stored(member, "dedup-labelled", scratch)
     split = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     open_ = stored(split, "dedup-split", scratch)
-    wide = member.join(open_, "bucket").join(reps.withColumnRenamed("doc_id", "id"), "id")
-    more = stored(cross_pairs(wide, percent).distinct(), "dedup-cross", scratch)
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, docs, shingle, percent, "dedup-cross", scratch))
+    wide = stored(member.join(open_, "bucket"), "dedup-open", scratch)
+    if not wide.isEmpty():
+        ids = wide.select(F.col("id").alias("doc_id")).distinct()
+        sets = stored(full_sets(docs, ids, shingle), "dedup-open-sets", scratch).withColumnRenamed("doc_id", "id")
+        full = wide.join(reps.withColumnRenamed("doc_id", "id"), "id").join(sets, "id")
+        links = links.unionByName(stored(cross_links(full, percent).distinct(), "dedup-cross", scratch))
         drop(spark, owned)
         found = components(links, owned)
 
