@@ -149,9 +149,14 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict:
     from pyspark.sql import Window as W
 
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    # ids first: the per-language pick sees no texts, and per-partition picks thin a hot language out
-    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.spark_partition_id().alias("p"))
-    first = ids.withColumn("r", F.row_number().over(W.partitionBy("lang", "p").orderBy("h", "doc_id"))).where(F.col("r") <= most)
+    # a hash threshold at twice the wanted share thins every language out where it is
+    # read, so the pick per language sees about 2 x ``most`` ids, however hot the language
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not rows:
+        return build({})
+    share = F.create_map(*[F.lit(x) for k, n in rows.items() for x in (k, 2.0 * most / n)])
+    first = labelled.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h")) \
+        .where(F.col("h") < F.element_at(share, F.col("lang")))
     picked = first.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))) \
         .where(F.col("r") <= most).select("doc_id", "lang")
     sizes = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
