@@ -7,6 +7,7 @@ from contextlib import redirect_stdout
 import pytest
 
 import __spark_entry__ as entry
+from tracewise.plans.queries import REGISTRY  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SKIP = {"stream_disposal_gate", "stream_disposal_gate_batched", "stream_outcomes",
@@ -20,7 +21,7 @@ def plan_text(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - SKIP))
 def test_batch_plans_stay_in_the_jvm(spark, name):
     text = plan_text(entry.queries()[name](spark, SF))
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|"
