@@ -71,6 +71,15 @@ def join_small(big: DataFrame, small: DataFrame, key: str, salt_by: str = "doc_i
         .drop("_key", "_salt", "_salt2")
 
 
+def fewest_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hash of ``key``. A hash threshold at twice the
+    wanted share thins the rows out where they are read, so the one task that picks sees
+    about 2 x ``most`` rows however large the table is."""
+    share = min(1.0, 2.0 * most / max(1, rows.count()))
+    h = F.xxhash64(key)
+    return rows.where(h <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).orderBy(h, key).limit(most)
+
+
 def input_slices(spark: SparkSession, least: int = 8) -> int:
     """Number of partitions for work dealt out by the operator itself."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stored, worker_cache
+from .common import fewest_hash, read, stored, worker_cache
 from .mixing import draw
 from .quality_rules import WordHashes
 
@@ -137,6 +137,6 @@ def resample(docs: DataFrame, ratio: np.ndarray, fraction: float = FRACTION) ->
 
 def op3_importance_resampling(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    good = read(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct() \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET)
+    good = fewest_hash(read(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct(),
+                       "doc_id", MAX_TARGET)
     return resample(docs, fit(docs, good))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, worker_cache
+from .common import fewest_hash, read, worker_cache
 
 #: Buckets (a power of two) per n-gram family; labelled rows used at most; least probability of good text.
 BITS, MAX_LABELS, LEAST_PROBABILITY = 12, 6000, 0.5
@@ -145,9 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> dict |
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    rows = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
-            .agg(F.max("quality").alias("quality"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    rows = fewest_hash(labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
+                       .agg(F.max("quality").alias("quality")), "doc_id", most)
     if rows.select("quality").distinct().count() < 2:
         return None
 

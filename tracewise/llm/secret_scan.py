@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_slices, read, stored
+from .common import fewest_hash, input_slices, read, stored
 
 #: Fixed by the contract: kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -82,7 +82,7 @@ def samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     the sampled documents' ids in base 64 and 16, and values that the base patterns
     find behind keywords), label 0 ordinary identifiers (the documents' words, also
     upper-cased, joined to names and paths, and numbers)."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+    some = fewest_hash(docs.select("doc_id", "text"), "doc_id", limit)
     some = stored(some.repartition(input_slices(docs.sparkSession)), "secret-samples")      # one scan for all samples
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     digests = some.select(F.explode(F.array(
