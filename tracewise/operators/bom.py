@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalar import ci_eq, component_in, hazard_flag, hazard_label
+from .skew import plain
 
 
 # -- J1 / W3 ---------------------------------------------------------------
@@ -26,14 +27,14 @@ def composition_detail(cc: DataFrame, rm: DataFrame) -> DataFrame:
 def composition_share(cc: DataFrame, rm: DataFrame) -> DataFrame:
     """Each material's percent of its component's weight, one decimal.
 
-    The total is an aggregate joined back rather than a window, so a
-    component with a huge share of all rows does not land in one task.
+    The total is an aggregate joined back rather than a window, and joined
+    plain, so a component with a huge share of all rows is split over tasks.
     """
     rows = cc.join(rm.select("MaterialID", "MaterialName"), "MaterialID") \
         .select("ComponentID", "MaterialID", "MaterialName", "WeightInGrams")
     totals = rows.groupBy("ComponentID").agg(F.sum("WeightInGrams").alias("_total"))
     w = F.col("WeightInGrams").cast("double")
-    return rows.join(totals, "ComponentID").select(
+    return rows.join(plain(totals), "ComponentID").select(
         "ComponentID", "MaterialID", "MaterialName", w.alias("WeightInGrams"),
         F.round(F.try_divide(w, F.col("_total").cast("double")) * 100, 1).alias("share_pct"))
 
@@ -109,8 +110,8 @@ def trace_all(components: DataFrame, bom: DataFrame, cc: DataFrame,
               rm: DataFrame) -> DataFrame:
     """The trace procedure as written (T2): every component that is some
     parent's child, once per parent, times its materials (J4)."""
-    return (components.join(bom, bom.ChildComponentID == components.ComponentID)
-            .join(cc, "ComponentID")
+    parts = plain(components.join(cc, "ComponentID"))   # the edges meet it in a join of their own
+    return (bom.select("ChildComponentID").join(parts, F.col("ChildComponentID") == F.col("ComponentID"))
             .join(rm, "MaterialID")
             .select("ComponentID", "ComponentName", "MaterialID", "MaterialName",
                     "WeightInGrams", "RecyclableGrade"))
@@ -149,10 +150,10 @@ def material_passport(product_root: DataFrame, bom: DataFrame, components: DataF
     """The product material passport view (J5, T1): for each product, its root
     assembly's direct children and their materials, one row per (edge, material)."""
     roots = product_root.select("ProductID", F.col("ComponentID").alias("ParentComponentID"))
+    parts = plain(components.select("ComponentID", "ComponentName").join(cc, "ComponentID")
+                  .withColumnRenamed("ComponentID", "ChildComponentID"))
     return (roots.join(bom, "ParentComponentID")
-            .join(components.select(F.col("ComponentID").alias("ChildComponentID"),
-                                    "ComponentName"), "ChildComponentID")
-            .join(cc.withColumnRenamed("ComponentID", "ChildComponentID"), "ChildComponentID")
+            .join(parts, "ChildComponentID")
             .join(rm, "MaterialID")
             .select("ProductID", F.col("ChildComponentID").alias("ComponentID"),
                     "ComponentName", "MaterialID", "MaterialName", "WeightInGrams",
@@ -199,8 +200,8 @@ def passport_rollup(product_root: DataFrame, bom: DataFrame, components: DataFra
     (edge x material) rows are never materialised or shuffled.
     """
     edges = _product_edges(product_root, bom)
-    j = (edges.join(_multiplicity(components), "ComponentID")
-         .join(_child_material_stats(cc, rm), "ComponentID"))
+    j = edges.join(plain(_multiplicity(components)
+                         .join(_child_material_stats(cc, rm), "ComponentID")), "ComponentID")
     k = F.col("_edges") * F.col("_mult")
     return j.groupBy("ProductID").agg(
         F.sum(k * F.col("_rows")).alias("n_rows"),
@@ -229,7 +230,7 @@ def hazard_usage_by_product(products: DataFrame, product_root: DataFrame, bom: D
     """Hazard count scoped to each product's root assembly; 0 when none
     (A11, scope 'product', our extension)."""
     edges = _product_edges(product_root, bom)
-    per_product = (edges.join(_hazard_rows(cc, rm), "ComponentID")
+    per_product = (edges.join(plain(_hazard_rows(cc, rm)), "ComponentID")
                    .groupBy("ProductID")
                    .agg(F.sum(F.col("_edges") * F.col("_haz")).alias("_h")))
     return products.select("ProductID").join(per_product, "ProductID", "left").select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ci_prefix, grade_score
 from .events import targets
+from .skew import plain
 
 FEATURES = ["total_weight", "avg_recyclability", "hazardous_count", "component_count"]
 
@@ -78,11 +79,10 @@ def features_by_product(pi: DataFrame, products: DataFrame, product_root: DataFr
              .join(bom.select("ParentComponentID", "ChildComponentID"), "ParentComponentID")
              .groupBy("ProductID", F.col("ChildComponentID").alias("ComponentID"))
              .agg(F.count(F.lit(1)).alias("_edges")))
-    per_product = _rollup(edges.join(_child_stats(cc, rm), "ComponentID"), ["ProductID"]) \
+    per_product = _rollup(edges.join(plain(_child_stats(cc, rm)), "ComponentID"), ["ProductID"]) \
         .drop("_n")
-    inst = pi.select("InstanceID", "ProductID").join(
-        products.select("ProductID", "ModelName"), "ProductID")
-    return (inst.join(per_product, "ProductID")
+    models = plain(products.select("ProductID", "ModelName").join(per_product, "ProductID"))
+    return (pi.select("InstanceID", "ProductID").join(models, "ProductID")
             .join(targets(le), "InstanceID", "left")
             .select("InstanceID", "ProductID", "ModelName", *FEATURES, "target"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalar import ci, to_key, to_weight
 from ..session import checkpointed
+from .skew import plain
 
 REASON = "reason"
 
@@ -46,17 +47,17 @@ def _first_reason(*rules: tuple[Column, str]) -> Column:
 def _flag_join(df: DataFrame, keys: DataFrame, left_key: Column | str, flag: str) -> DataFrame:
     """Left-join a de-duplicated key set as a boolean ``flag`` (existence, J9/J10).
 
-    ``left_key`` may name a column of ``df``: the join then keeps that column
-    and its hash partitioning, so a later step keyed on it needs no shuffle.
+    ``left_key`` may name a column of ``df``, which the join then keeps. Every
+    step shuffles the batch for itself, so a key with a third of it is split.
     """
     if isinstance(left_key, str):
         k = keys.select(F.col(keys.columns[0]).alias(left_key)).groupBy(left_key) \
             .agg(F.lit(True).alias(flag))
-        out = df.join(k, left_key, "left")
+        out = plain(df).join(plain(k), left_key, "left")
     else:
         k = keys.select(F.col(keys.columns[0]).alias("_fk")).groupBy("_fk") \
             .agg(F.lit(True).alias(flag))
-        out = df.withColumn("_lk", left_key).join(k, F.col("_lk") == F.col("_fk"), "left") \
+        out = df.withColumn("_lk", left_key).join(plain(k), F.col("_lk") == F.col("_fk"), "left") \
             .drop("_lk", "_fk")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
@@ -139,7 +140,7 @@ def hazard_weight_gate(batch: DataFrame, rm: DataFrame,
     w = to_weight(F.col("WeightInGrams"))
     # the trigger's lookup compares ids case-insensitively; one row per id
     haz = rm.groupBy(F.lower("MaterialID").alias("_mid")).agg(F.max("IsHazardous").alias("_haz"))
-    j = batch.withColumn("_w", w).join(haz, F.lower(F.col("MaterialID")) == F.col("_mid"), "left")
+    j = batch.withColumn("_w", w).join(plain(haz), F.lower(F.col("MaterialID")) == F.col("_mid"), "left")
     raw = F.col("WeightInGrams")
     reason = _first_reason(
         (raw.isNotNull() & F.col("_w").isNull(), schemas.MSG_INVALID_WEIGHT),
@@ -159,7 +160,7 @@ def _key_flag(df: DataFrame, keys: DataFrame, left: list[Column], right: list[st
     for i, c in enumerate(left):
         out = out.withColumn(f"_l{i}", F.lower(c))
     cond = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(left))]
-    out = out.join(k, cond, "left").drop(*[f"_l{i}" for i in range(len(left))],
+    out = out.join(plain(k), cond, "left").drop(*[f"_l{i}" for i in range(len(left))],
                                          *[f"_r{i}" for i in range(len(right))])
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
@@ -173,11 +174,10 @@ def composition_gate(batch: DataFrame, rm: DataFrame, components: DataFrame,
     d = hazard_weight_gate(batch, rm)
     d = _key_flag(d, components, [F.col("ComponentID")], ["ComponentID"], "_ck")
     d = _key_flag(d, rm, [F.col("MaterialID")], ["MaterialID"], "_mk")
-    # the primary-key steps share one partitioning on the lowered key columns
     d = d.withColumn("_kc", F.lower("ComponentID")).withColumn("_km", F.lower("MaterialID"))
     pk = stored.select(F.lower("ComponentID").alias("_kc"), F.lower("MaterialID").alias("_km")) \
         .groupBy("_kc", "_km").agg(F.lit(True).alias("_dup"))
-    d = d.join(pk, ["_kc", "_km"], "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
+    d = d.join(plain(pk), ["_kc", "_km"], "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
     eligible = F.col(REASON).isNull() & F.col("_ck") & F.col("_mk") & ~F.col("_dup")
     d = _first_per_key(d, ["_kc", "_km"], order, eligible, keep_min=True)
     reason = F.coalesce(F.col(REASON), _first_reason(
@@ -227,15 +227,14 @@ def _first_per_key(df: DataFrame, key: Column | str | list[str], order: str,
                    eligible: Column, keep_min: bool = False) -> DataFrame:
     """Flag ``_first``: the row is the earliest eligible one of its key
     (``_min``, that row's order value, kept on request). A map-side-combined
-    ``min`` per key, joined back (on the named key columns when given, reusing
-    their partitioning)."""
+    ``min`` per key, joined back plain (see ``skew``)."""
     if isinstance(key, (str, list)):
         names = [key] if isinstance(key, str) else key
         firsts = df.filter(eligible).groupBy(*names).agg(F.min(order).alias("_min"))
-        out = df.join(firsts, names, "left")
+        out = plain(df).join(plain(firsts), names, "left")
     else:
         firsts = df.filter(eligible).groupBy(key.alias("_key")).agg(F.min(order).alias("_min"))
-        out = df.withColumn("_key", key).join(firsts, "_key", "left").drop("_key")
+        out = plain(df).withColumn("_key", key).join(plain(firsts), "_key", "left").drop("_key")
     out = out.withColumn("_first", F.coalesce(F.col(order) == F.col("_min"), F.lit(False)))
     return out if keep_min else out.drop("_min")
 
@@ -254,7 +253,7 @@ def register_instances(existing: DataFrame, products: DataFrame, batch: DataFram
     b = batch.withColumn("SerialNumber", F.trim("SerialNumber")) \
         .withColumn("_skey", F.lower("SerialNumber"))
     b = _flag_join(b, products.select(F.lower("ProductID")), F.lower("ProductID"), "_product")
-    # both serial steps join on the one key column: one shuffle of the batch
+    # the stored serials, then the earliest row of each serial
     b = _flag_join(b, existing.select(F.lower("SerialNumber")), "_skey", "_dup_stored")
     # the earliest row of each serial that passes every check is the one admitted;
     # any later row with that serial finds it taken

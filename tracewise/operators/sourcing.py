@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalar import ci_eq, display_or_dash
+from .skew import plain
 
 
 def _spread_nulls(key: str, *spread: str):
@@ -16,6 +17,13 @@ def _spread_nulls(key: str, *spread: str):
     return F.coalesce(F.col(key), filler)
 
 
+def _with_rows(suppliers: DataFrame, rows: DataFrame) -> DataFrame:
+    """``suppliers`` LEFT JOIN ``rows`` on SupplierID, as an inner join, whose hot
+    supplier can be split, and the suppliers that have no row."""
+    rest = suppliers.join(rows.select("SupplierID").distinct(), "SupplierID", "left_anti")
+    return rows.join(plain(suppliers), "SupplierID").unionByName(rest, allowMissingColumns=True)
+
+
 def supplier_kinds(so: DataFrame) -> DataFrame:
     """Type per supplier that has sourcing rows (A6, P7): first rule that holds wins."""
     counts = so.groupBy("SupplierID").agg(
@@ -53,22 +61,23 @@ def sourcing_detail(suppliers: DataFrame, so: DataFrame, components: DataFrame,
             .join(comp_names, "_ck", "left")
             .join(mat_names, "_mk", "left")
             .drop("_ck", "_mk"))
-    out = suppliers.select("SupplierID", "SupplierName").join(rows, "SupplierID", "left")
+    names = suppliers.select("SupplierID", "SupplierName")
     sel = [F.col("SupplierID"), F.col("SupplierName"),
            display_or_dash("ComponentName").alias("ComponentName"),
            display_or_dash("MaterialName").alias("MaterialName")]
     if with_type:
-        out = out.join(supplier_kinds(so), "SupplierID", "left")
+        names = names.join(supplier_kinds(so), "SupplierID", "left")
         sel.append(F.coalesce(F.col("SupplierType"), F.lit(schemas.SUPPLIER_UNKNOWN))
                    .alias("SupplierType"))
-    return out.select(*sel, "ComponentID", "MaterialID").orderBy(
+    return _with_rows(names, rows).select(*sel, "ComponentID", "MaterialID").orderBy(
         "SupplierName", "SupplierID", "ComponentID", "MaterialID")
 
 
 def sourcing_ids(suppliers: DataFrame, so: DataFrame) -> DataFrame:
     """The older id-only listing: suppliers left-joined to sourcing ids."""
-    return suppliers.select("SupplierID", "SupplierName").join(
-        so.select("SupplierID", "ComponentID", "MaterialID"), "SupplierID", "left")
+    return _with_rows(suppliers.select("SupplierID", "SupplierName"),
+                      so.select("SupplierID", "ComponentID", "MaterialID")) \
+        .select("SupplierID", "SupplierName", "ComponentID", "MaterialID")
 
 
 def supplier_summary(so: DataFrame, suppliers: DataFrame,
