@@ -17,9 +17,12 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, so that models and
     memo tables outlast one task (functions shipped by value get fresh
-    globals each time, hence the module entry)."""
-    holder = sys.modules.setdefault("_tracewise_llm_worker", types.ModuleType("_tracewise_llm_worker"))
-    return holder.__dict__.setdefault("caches", {}).setdefault(name, {})
+    globals each time, hence the module entry). A worker keeps those of one operator
+    only: asking for another operator's dict releases the one before."""
+    holder = sys.modules.setdefault("_tracewise_llm_worker", types.ModuleType("_tracewise_llm_worker")).__dict__
+    if holder.get("name") != name:
+        holder.update(name=name, cache={})
+    return holder["cache"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
