@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ def worker_cache(name: str) -> dict:
     holder = sys.modules.setdefault("_tracewise_llm_worker", types.ModuleType("_tracewise_llm_worker")).__dict__
     if holder.get("name") != name:
         holder.update(name=name, cache={})
+        pa.default_memory_pool().release_unused()
     return holder["cache"]
 
 

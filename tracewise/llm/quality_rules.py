@@ -33,7 +33,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 1 << 18       # bytes whose n-grams are hashed at once
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
 class WordHashes(dict):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fewest_hash, input_slices, read, stored
+from .common import fewest_hash, input_slices, read, stored, worker_cache
 
 #: Fixed by the contract: kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -137,6 +137,7 @@ FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("n_assign", "n_ac
 def scanner(model: dict | None):
     @F.arrow_udf(FOUND)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_cache("secret_scan")     # releases what other operators left in the worker
         fields = [pa.field(c, pa.int64()) for c in ("n_assign", "n_access", "n_hex")] \
             + [pa.field(c, pa.string()) for c in ("base_sha256", "spans")]
         for batch in batches:
@@ -164,6 +165,7 @@ def redact(docs: DataFrame, model: dict | None, text: str = "text", mark: str =
 
     @F.arrow_udf("string")
     def cover(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_cache("secret_scan")
         for batch in batches:
             out = []
             for value in batch:
