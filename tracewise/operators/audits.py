@@ -173,36 +173,3 @@ def _orphan_counts(t: LifecycleTables, fks: list[Rule]) -> list[DataFrame]:
                            F.coalesce(F.col("violations"), F.lit(0)).cast("bigint")
                            .alias("violations")))
     return out
-
-
-def audit_sql(rules: list[Rule] = RULES) -> str:
-    """The same audit as one SQL text (the DuckDB oracle)."""
-    parts = []
-    for r in rules:
-        head = f"select '{r.table}' as table_name, '{r.name}' as check_name, "
-        if r.kind == "not_null":
-            parts.append(head + f"count(*) filter (where {r.columns[0]} is null) as violations "
-                                f"from {r.table}")
-        elif r.kind == "length":
-            parts.append(head + f"count(*) filter (where length({r.columns[0]}) > {r.limit}) "
-                                f"as violations from {r.table}")
-        elif r.kind == "check":
-            if r.columns == ("ComponentID", "MaterialID"):
-                cond = ("(ComponentID is not null and MaterialID is null) or "
-                        "(ComponentID is null and MaterialID is not null)")
-            else:
-                cond = f"{r.columns[0]} > 0"
-            parts.append(head + f"count(*) filter (where not coalesce({cond}, true)) "
-                                f"as violations from {r.table}")
-        elif r.kind in ("primary_key", "unique"):
-            keys = ", ".join(f"lower({c})" if (r.table, c) in TEXT else c for c in r.columns)
-            nn = " and ".join(f"{c} is not null" for c in r.columns)
-            parts.append(head + f"count(*) as violations from (select {keys} from {r.table} "
-                                f"where {nn} group by all having count(*) > 1) d")
-        elif r.kind == "foreign_key":
-            c = r.columns[0]
-            ck = f"lower(x.{c})" if (r.table, c) in TEXT else f"x.{c}"
-            pk = f"lower(y.{r.ref[1]})" if r.ref in TEXT else f"y.{r.ref[1]}"
-            parts.append(head + f"count(*) as violations from {r.table} x where x.{c} is not null "
-                                f"and not exists (select 1 from {r.ref[0]} y where {pk} = {ck})")
-    return "\nunion all\n".join(parts)

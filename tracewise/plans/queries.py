@@ -8,6 +8,7 @@ Names follow SURVEY §7; the IDs each covers are in the docstrings.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,7 +20,6 @@ from ..session import checkpointed
 from ..sources.testdata import DriverTables
 
 AS_OF = "2025-12-01"              # report date for ages and stamped events
-BATCH_CUTOFF = "2024-01-16"       # events before: stored; from: the incoming batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -228,16 +228,17 @@ def supplier_type(spark, sf_dir):
 
 
 # -- validated ingest ----------------------------------------------------------
-def _split_events(t):
+def _split_events(d, t, cutoff=None):
+    """Events before the cut-off (default: the middle day of their period) are stored, the others come in."""
     le = t.lifecycle_events
-    cut = F.lit(BATCH_CUTOFF).cast("timestamp_ntz")
+    cut = F.lit(cutoff or d.event_days()[1]).cast("timestamp_ntz")
     return le.filter(F.col("EventDate") < cut), le.filter(F.col("EventDate") >= cut)
 
 
 @query
 def disposal_gate(spark, sf_dir):
     """Events from the cutoff on are the batch, earlier ones stored."""
-    stored, batch = _split_events(_t(spark, sf_dir)[1])
+    stored, batch = _split_events(*_t(spark, sf_dir))
     d = gates.disposal_gate(stored, batch.select("EventID", "InstanceID", "EventType"))
     return gates.with_status(d)
 
@@ -273,7 +274,7 @@ def register_instances(spark, sf_dir):
 def append_events(spark, sf_dir):
     """G6, G1, P10."""
     d, t = _t(spark, sf_dir)
-    stored, _ = _split_events(t)
+    stored, _ = _split_events(d, t)
     out = gates.append_events(t.product_instances, stored, d.event_requests(), AS_OF)
     return gates.with_status(out).select(
         "RequestID", "InstanceID", "EventType", "EventID", "status", "reason")
@@ -305,12 +306,15 @@ def add_suppliers(spark, sf_dir):
 
 
 @query
-def archive_delete(spark, sf_dir):
-    """Events of the first day archived, the rest kept."""
-    le = _t(spark, sf_dir)[1].lifecycle_events.select("EventID", "InstanceID", "EventType",
+def archive_delete(spark, sf_dir, before=None):
+    """Events before a date (default: those of the first day) archived, the rest kept."""
+    d, t = _t(spark, sf_dir)
+    first = d.event_days()[0]
+    before = before or (first and first + timedelta(days=1))
+    le = t.lifecycle_events.select("EventID", "InstanceID", "EventType",
                                                        "EventDate")
     kept, backup = gates.archive_delete(
-        le, F.col("EventDate") < F.lit("2024-01-02").cast("timestamp_ntz"))
+        le, F.col("EventDate") < F.lit(before).cast("timestamp_ntz"))
     return (kept.withColumn("archived", F.lit(False))
             .unionByName(backup.withColumn("archived", F.lit(True))).drop("EventDate"))
 

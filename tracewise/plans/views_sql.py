@@ -32,7 +32,9 @@ VIEWS: dict[str, str] = {
         from nation""",
     "suppliers": """
         select 'S' || cast(s_suppkey as varchar) as SupplierID, s_name as SupplierName
-        from supplier""",
+        from supplier
+        union all
+        select 'N' || cast(s_suppkey as varchar), s_name from supplier where s_suppkey % 10 = 0""",
     "product_instances": """
         select c_custkey + 1 as InstanceID, c_name as SerialNumber,
                'P' || cast(c_custkey as varchar) as ProductID
@@ -46,6 +48,9 @@ VIEWS: dict[str, str] = {
                ts as EventDate,
                user_id * 10 + event_id % 7 + 1 as InstanceID
         from events""",
+    "event_days": """
+        select cast(a as timestamp) as first, cast(a + cast((z - a + 1) // 2 as integer) as timestamp) as middle
+        from (select cast(min(ts) as date) as a, cast(max(ts) as date) as z from events) t""",
     "bill_of_material": f"""
         select {ASSEMBLY} as ParentComponentID,
                'X' || cast(l_partkey as varchar) as ChildComponentID,
@@ -59,28 +64,27 @@ VIEWS: dict[str, str] = {
         from lineitem join supplier on l_suppkey = s_suppkey
         group by 1, 2""",
     "sourcing": """
-        select cast(null as bigint) as SourcingID,
+        select distinct cast(null as bigint) as SourcingID,
                'S' || cast(l_suppkey as varchar) as SupplierID,
-               'X' || cast(l_partkey as varchar) as ComponentID,
-               cast(null as varchar) as MaterialID
-        from (select distinct l_suppkey, l_partkey from lineitem
-              where l_suppkey % 4 in (0, 2)) t
-        union all
-        select cast(null as bigint), 'S' || cast(s_suppkey as varchar), cast(null as varchar),
-               'M' || cast(s_nationkey as varchar)
-        from supplier where s_suppkey % 4 in (1, 2)""",
+               case when not mat then 'X' || cast(l_partkey as varchar) end as ComponentID,
+               case when mat then 'M' || cast(l_partkey % 25 as varchar) end as MaterialID
+        from (select l_suppkey, l_partkey,
+                     l_suppkey % 3 = 1 or (l_suppkey % 3 = 2 and l_partkey % 2 = 1) as mat
+              from lineitem) t""",
     "composition_candidates": """
         select l_orderkey, l_linenumber,
-               'X' || cast(l_partkey as varchar) as ComponentID,
-               'M' || cast(s_nationkey as varchar) as MaterialID,
+               case when l_quantity = 7 then 'Y' else 'X' end || cast(l_partkey as varchar) as ComponentID,
+               'M' || cast(cast((s_nationkey + l_linenumber - 1) % 27 as bigint) as varchar) as MaterialID,
                cast(l_quantity * 12 - 30 as decimal(10,2)) as WeightInGrams
         from lineitem join supplier on l_suppkey = s_suppkey""",
     "sourcing_requests": """
         select l_orderkey, l_linenumber,
-               'S' || cast(l_suppkey as varchar) as SupplierID,
+               case when l_linenumber = 7 then 'U' else 'S' end || cast(l_suppkey as varchar) as SupplierID,
                case l_returnflag when 'R' then 'component' when 'A' then 'material'
                                  else 'part' end as supply_type,
-               case when l_returnflag = 'A' then 'M' || cast(l_partkey % 25 as varchar)
+               case when l_linenumber = 6 then null
+                    when l_returnflag = 'A' then 'M' || cast(l_partkey % 27 as varchar)
+                    when l_linenumber = 5 then 'Y' || cast(l_partkey as varchar)
                     else 'X' || cast(l_partkey as varchar) end as item_id
         from lineitem""",
     "registration_requests": """
@@ -93,9 +97,10 @@ VIEWS: dict[str, str] = {
         from orders""",
     "supplier_requests": """
         select c_custkey as RequestID,
-               ' ' || case when c_mktsegment = 'BUILDING' then 'S' || cast(c_nationkey as varchar)
+               ' ' || case when c_nationkey = 2 then null
+                           when c_mktsegment = 'BUILDING' then 'S' || cast(c_nationkey as varchar)
                            else 's' || cast(c_custkey as varchar) end || ' ' as SupplierID,
-               c_name as SupplierName
+               case when c_nationkey <> 3 then c_name end as SupplierName
         from customer""",
     "event_requests": """
         select event_id as RequestID,
@@ -104,7 +109,7 @@ VIEWS: dict[str, str] = {
                                when 'click' then 'Repair' when 'error' then 'Disposed'
                                else 'Recycled' end as EventType
         from events
-        where ts >= timestamp '2024-01-16 00:00:00'""",
+        where ts >= (select middle from event_days)""",
 }
 
 ORDER = list(VIEWS)

@@ -9,16 +9,18 @@ The same mapping is written as SQL for the DuckDB oracle in
     product_root        order -> assembly    'K'/'C'||o_orderkey ('K' for status P)
     components          assemblies + parts   'C'/'K'||o_orderkey, 'X'||p_partkey
     raw_materials       one per nation       'M'||n_nationkey
-    suppliers           one per supplier     'S'||s_suppkey
+    suppliers           one per supplier     'S'||s_suppkey, and 'N'||s_suppkey for every tenth
     product_instances   one per customer     c_custkey+1, serial c_name
     lifecycle_events    one per event        type from event_type
     bill_of_material    assembly -> part     lineitem grouped by (order, part)
     component_composition part -> material   lineitem grouped by (part, supplier nation)
-    sourcing            supplier roles       by supplier key (component, material, both, none)
+    sourcing            supplier roles       every line item: component or material by its keys
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +89,12 @@ class DriverTables:
             grade.alias("RecyclableGrade"))
 
     def suppliers(self) -> DataFrame:
-        return self.read("supplier", "s_suppkey", "s_name").select(
-            _id("S", "s_suppkey").alias("SupplierID"), F.col("s_name").alias("SupplierName"))
+        # besides the suppliers of line items, a new one for every tenth: it has no sourcing rows
+        su = self.read("supplier", "s_suppkey", "s_name")
+        new = F.when(F.col("s_suppkey") % 10 == 0, F.array(F.lit("S"), F.lit("N"))).otherwise(F.array(F.lit("S")))
+        return su.select(F.explode(new).alias("kind"), "s_suppkey", "s_name").select(
+            F.concat("kind", F.col("s_suppkey").cast("string")).alias("SupplierID"),
+            F.col("s_name").alias("SupplierName"))
 
     def product_instances(self) -> DataFrame:
         return self.read("customer", "c_custkey", "c_name").select(
@@ -121,44 +127,47 @@ class DriverTables:
                         _id("M", "s_nationkey").alias("MaterialID"), "WeightInGrams"))
 
     def sourcing(self) -> DataFrame:
-        # Supplier roles by key: 0 components, 1 materials, 2 both, 3 none.
-        li = self.read("lineitem", "l_suppkey", "l_partkey")
-        comp = (li.filter((F.col("l_suppkey") % 4).isin(0, 2)).distinct()
-                .select(F.lit(None).cast("bigint").alias("SourcingID"),
-                        _id("S", "l_suppkey").alias("SupplierID"),
-                        _id("X", "l_partkey").alias("ComponentID"),
-                        F.lit(None).cast("string").alias("MaterialID")))
-        mat = (self.read("supplier", "s_suppkey", "s_nationkey")
-               .filter((F.col("s_suppkey") % 4).isin(1, 2))
-               .select(F.lit(None).cast("bigint").alias("SourcingID"),
-                       _id("S", "s_suppkey").alias("SupplierID"),
-                       F.lit(None).cast("string").alias("ComponentID"),
-                       _id("M", "s_nationkey").alias("MaterialID")))
-        return comp.unionByName(mat)
+        # Every line item is a row: suppliers give components (key % 3 = 0), materials (1)
+        # or, by the part's key, both (2).
+        role = F.col("l_suppkey") % 3
+        material = (role == 1) | ((role == 2) & (F.col("l_partkey") % 2 == 1))
+        return (self.read("lineitem", "l_suppkey", "l_partkey").select(
+            _id("S", "l_suppkey").alias("SupplierID"),
+            F.when(~material, _id("X", "l_partkey")).alias("ComponentID"),
+            F.when(material, _id("M", F.col("l_partkey") % 25)).alias("MaterialID")).distinct()
+            .withColumn("SourcingID", F.lit(None).cast("bigint"))
+            .select("SourcingID", "SupplierID", "ComponentID", "MaterialID"))
 
     # -- request batches for the gates -------------------------------------
     def composition_candidates(self) -> DataFrame:
-        """One candidate composition row per line item (weights -18 .. 570 g)."""
+        """One candidate composition row per line item (weights -18 .. 570 g); the material is
+        shifted by the line number, so rows are new, stored already, or name an unknown
+        material; quantity 7 names an unknown component."""
         li = self.read("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                        "l_quantity")
         su = self.read("supplier", "s_suppkey", "s_nationkey")
         return li.join(su, li.l_suppkey == su.s_suppkey).select(
             "l_orderkey", "l_linenumber",
-            _id("X", "l_partkey").alias("ComponentID"),
-            _id("M", "s_nationkey").alias("MaterialID"),
+            F.when(F.col("l_quantity") == 7, _id("Y", "l_partkey")).otherwise(_id("X", "l_partkey"))
+            .alias("ComponentID"),
+            _id("M", ((F.col("s_nationkey") + F.col("l_linenumber") - 1) % 27).cast("bigint")).alias("MaterialID"),
             (F.col("l_quantity") * 12 - 30).cast("decimal(10,2)").alias("WeightInGrams"))
 
     def sourcing_requests(self) -> DataFrame:
-        """One sourcing form post per line item; flag N gives an invalid type."""
+        """One sourcing form post per line item; flag N gives an invalid type, line 6
+        no item, line 7 an unknown supplier; materials 25 and 26 and the
+        components of line 5 are unknown."""
         rf = F.col("l_returnflag")
+        line = F.col("l_linenumber")
+        part = F.when(line == 5, _id("Y", "l_partkey")).otherwise(_id("X", "l_partkey"))
         return self.read("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                          "l_returnflag").select(
             "l_orderkey", "l_linenumber",
-            _id("S", "l_suppkey").alias("SupplierID"),
+            F.when(line == 7, _id("U", "l_suppkey")).otherwise(_id("S", "l_suppkey")).alias("SupplierID"),
             F.when(rf == "R", "component").when(rf == "A", "material").otherwise("part")
             .alias("supply_type"),
-            F.when(rf == "A", _id("M", F.col("l_partkey") % 25))
-            .otherwise(_id("X", "l_partkey")).alias("item_id"))
+            F.when(line != 6, F.when(rf == "A", _id("M", F.col("l_partkey") % 27)).otherwise(part))
+            .alias("item_id"))
 
     def registration_requests(self) -> DataFrame:
         """One registration per order: open orders re-register an existing serial
@@ -176,23 +185,31 @@ class DriverTables:
 
     def supplier_requests(self) -> DataFrame:
         """One new-supplier form post per customer; building-segment customers
-        reuse a supplier id, and ids are lower case (case-insensitive keys)."""
+        reuse a supplier id, and ids are lower case (case-insensitive keys); nation 2
+        leaves out the id, nation 3 the name."""
         seg = F.col("c_mktsegment")
-        sid = F.when(seg == "BUILDING", _id("S", "c_nationkey")).otherwise(_id("s", "c_custkey"))
+        sid = F.when(F.col("c_nationkey") != 2, F.when(seg == "BUILDING", _id("S", "c_nationkey"))
+                     .otherwise(_id("s", "c_custkey")))
         return self.read("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment").select(
             F.col("c_custkey").alias("RequestID"),
             F.concat(F.lit(" "), sid, F.lit(" ")).alias("SupplierID"),
-            F.col("c_name").alias("SupplierName"))
+            F.when(F.col("c_nationkey") != 3, F.col("c_name")).alias("SupplierName"))
+
+    def event_days(self) -> tuple:
+        """First day of the events and the middle day of their period (two dates of one
+        aggregate row, so that cut-offs follow the data and reach the scan); nulls if there are none."""
+        r = self.read("events", "ts").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("z")).first()
+        return (r.a, r.a + timedelta(days=((r.z - r.a).days + 1) // 2)) if r.a else (None, None)
 
     def event_requests(self) -> DataFrame:
-        """Event form posts: the second half of January's events, with instance
+        """Event form posts: the events from the middle day of their period on, with instance
         ids given as text, some unknown."""
         et = F.col("event_type")
         etype = (F.when(et == "signup", "Sold").when(et == "purchase", "Sold")
                  .when(et == "click", "Repair").when(et == "error", "Disposed")
                  .otherwise("Recycled"))
         return (self.read("events", "event_id", "ts", "user_id", "event_type")
-                .filter(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"))
+                .filter(F.col("ts") >= F.lit(self.event_days()[1]).cast("timestamp_ntz"))
                 .select(F.col("event_id").alias("RequestID"),
                         (F.col("user_id") * 11 + F.col("event_id") % 7 + 1).cast("string")
                         .alias("InstanceRef"),
