@@ -2,12 +2,19 @@
 
 The keyed-state form (``disposal.py``) calls Python once per instance and
 micro-batch. This form keeps the work in the JVM: the state is a table of
-instance ids that have a stored Sold event, written below the shared
+instances with the first EventID of their Sold events, written below the shared
 checkpoint folder; each micro-batch runs the batch gate (G1) against it, as
-one distributed job, and appends the batch's newly sold ids. Outputs and
+one distributed job, and appends what it lowers. Outputs and
 state deltas are written per epoch with overwrite, and a batch reads only
 the state of earlier epochs, so a retried epoch gives the same result
 (exactly-once with an idempotent sink).
+
+Files need not come in EventID order: a Disposed row that has no earlier Sold
+row yet is held back, and all held rows are decided against the whole state
+when the run has read the files present (partition ``epoch=-1``, rewritten by
+each run from the held rows and the state alone). The decisions are thus those of the
+batch gate over all files, however they are cut into micro-batches or runs. A later
+run may admit a row that an earlier one refused, if the sale arrives after it.
 """
 
 from __future__ import annotations
@@ -22,10 +29,18 @@ from ..session import scratch_path
 from .runner import event_stream
 
 
-def _state_before(spark: SparkSession, state_path: str, epoch: int) -> DataFrame:
-    """Sold instance ids stored by earlier epochs, as Sold rows for the gate."""
-    return spark.read.parquet(state_path).filter(F.col("epoch") < epoch).select(
-        "InstanceID", F.lit(schemas.SOLD).alias("EventType"))
+ROWS = "EventID bigint, InstanceID bigint, EventType string"
+
+
+def _sold(rows: DataFrame) -> DataFrame:
+    """First Sold row of each instance."""
+    return rows.filter(ci("EventType") == schemas.SOLD).groupBy("InstanceID") \
+        .agg(F.min("EventID").alias("EventID")).withColumn("EventType", F.lit(schemas.SOLD))
+
+
+def _decide(rows: DataFrame, sold: DataFrame) -> DataFrame:
+    """The batch gate with ``sold`` as the Sold rows that count."""
+    return with_status(disposal_gate(rows.filter(F.lit(False)), rows, batch_sold=sold))
 
 
 def run_disposal_gate_batched(spark: SparkSession, folder: str, out: str | None = None,
@@ -34,20 +49,25 @@ def run_disposal_gate_batched(spark: SparkSession, folder: str, out: str | None
     """Run the set-based streaming gate over the files present; returns the output path."""
     out = out or scratch_path(spark, "stream-gate-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-gate-ckpt")
-    state_path = f"{checkpoint.rstrip('/')}-state"
+    state_path, held_path = f"{checkpoint.rstrip('/')}-state", f"{checkpoint.rstrip('/')}-held"
+    columns = ["EventID", "InstanceID", "EventType"]
 
-    # an empty seed partition (kept on restart) so the state always reads
-    spark.createDataFrame([], "InstanceID bigint").write.mode("ignore") \
-        .parquet(f"{state_path}/epoch=-1")
+    # empty seed partitions (kept on restart) so state and held rows always read
+    for path in (state_path, held_path):
+        spark.createDataFrame([], ROWS).write.mode("ignore").parquet(f"{path}/epoch=-1")
 
     def step(batch: DataFrame, epoch: int) -> None:
-        stored = _state_before(batch.sparkSession, state_path, epoch)
-        rows = batch.select("EventID", "InstanceID", "EventType")
-        decided = with_status(disposal_gate(stored, rows))
-        decided.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        sold = (rows.filter(ci("EventType") == schemas.SOLD).select("InstanceID")
-                .join(stored.select("InstanceID"), "InstanceID", "left_anti").distinct())
-        sold.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        stored = batch.sparkSession.read.parquet(state_path).filter(F.col("epoch") < epoch).select(*columns)
+        rows = batch.select(*columns)
+        new = _sold(rows)
+        decided = _decide(rows, stored.unionByName(new))
+        decided.filter(F.col("reason").isNull()).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        decided.filter(F.col("reason").isNotNull()).select(*columns) \
+            .write.mode("overwrite").parquet(f"{held_path}/epoch={epoch}")
+        known = stored.groupBy("InstanceID").agg(F.min("EventID").alias("_known"))
+        (new.join(known, "InstanceID", "left")
+         .filter(F.col("_known").isNull() | (F.col("EventID") < F.col("_known"))).select(*columns)
+         .write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}"))
 
     q = (event_stream(spark, folder, max_files=max_files).writeStream
          .foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -55,4 +75,7 @@ def run_disposal_gate_batched(spark: SparkSession, folder: str, out: str | None
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    held = spark.read.schema(f"{ROWS}, epoch int").parquet(held_path).select(*columns)
+    sold = spark.read.schema(f"{ROWS}, epoch int").parquet(state_path).select(*columns)
+    _decide(held, sold).write.mode("overwrite").parquet(f"{out}/epoch=-1")
     return out

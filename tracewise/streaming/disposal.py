@@ -1,11 +1,12 @@
 """Streaming disposal gate (X1): the insert trigger as keyed streaming state.
 
-Per instance the state holds one flag, "a Sold event is stored". Each
-micro-batch hands the processor one instance's new rows; they are put in
-EventID order (the insertion order the trigger sees, T8) and decided with a
-running "sold before this row" flag, vectorised in pandas. Only the flag is
-kept between batches, so state is one boolean per instance. Rows across
-micro-batches are assumed to arrive in EventID order.
+Per instance the state holds one number, the first EventID of its Sold events. Each
+micro-batch hands the processor one instance's new rows; a Disposed row is admitted if its
+EventID (the insertion order the trigger sees, T8) comes after that first sale,
+vectorised in pandas. State is one long per instance. No row is admitted wrongly whatever
+the order of files; a refusal is final, so a Disposed row that arrives in an earlier
+micro-batch than its earlier sale stays refused. The set-based form (``batched.py``)
+holds such rows back; use it where files come out of order.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class DisposalGate(StatefulProcessor):
-    """Keyed by InstanceID; state: has a Sold event been stored.
+    """Keyed by InstanceID; state: first EventID of a stored Sold event.
 
     Everything the class needs is bound as class attributes, and the class is
     pickled by value (see ``disposal_gate_stream``), so Python workers run it
@@ -42,22 +43,22 @@ class DisposalGate(StatefulProcessor):
     MESSAGE = schemas.MSG_UNSOLD_DISPOSAL
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sold = handle.getValueState("sold", "seen boolean")
+        self.sold = handle.getValueState("sold", "first bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("EventID", kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True)
         kind = batch["EventType"].str.lower()
         is_sold = (kind == self.SOLD).fillna(False)
         is_disposed = (kind == self.DISPOSED).fillna(False)
         current = self.sold.get()            # one state-store call; None when absent
-        stored = bool(current and current[0])
-        sold_before = is_sold.cumsum().shift(fill_value=0).astype(int) > 0
-        ok = ~is_disposed | stored | sold_before
+        stored = current[0] if current else None
+        first = min([x for x in (stored, batch["EventID"][is_sold].min()) if pd.notna(x)], default=None)
+        ok = ~is_disposed if first is None else ~is_disposed | (batch["EventID"] > first)
         reason = pd.Series([None] * len(batch), index=batch.index, dtype=object)
         reason[~ok] = self.MESSAGE
-        if not stored and bool(is_sold.any()):
-            self.sold.update((True,))        # written only when it changes
+        if first is not None and (stored is None or first < stored):
+            self.sold.update((int(first),))      # written only when it changes
         yield pd.DataFrame({
             "EventID": batch["EventID"].astype("int64"),
             "InstanceID": batch["InstanceID"].astype("Int64"),

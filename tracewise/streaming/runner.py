@@ -4,8 +4,8 @@ Sources are file streams over the driver's folder; sinks are parquet below
 the shared checkpoint folder, and every query keeps its progress in a
 checkpoint there, so a restarted run resumes where the last one committed.
 ``availableNow`` processes what is present and stops. All files present are one
-batch unless ``max_files`` cuts them: the disposal gate decides in EventID order
-within a batch, so a cut is only for files that come in that order.
+batch unless ``max_files`` cuts them. The set-based disposal gate gives one result for
+any cut; the keyed one never admits wrongly, but refuses for good (see ``disposal.py``).
 """
 
 from __future__ import annotations
