@@ -231,7 +231,7 @@ def supplier_type(spark, sf_dir):
 def _split_events(d, t, cutoff=None):
     """Events before the cut-off (default: the middle day of their period) are stored, the others come in."""
     le = t.lifecycle_events
-    cut = F.lit(cutoff or d.event_days()[1]).cast("timestamp_ntz")
+    cut = F.lit(cutoff or d.event_days().first().middle).cast("timestamp_ntz")
     return le.filter(F.col("EventDate") < cut), le.filter(F.col("EventDate") >= cut)
 
 
@@ -309,7 +309,7 @@ def add_suppliers(spark, sf_dir):
 def archive_delete(spark, sf_dir, before=None):
     """Events before a date (default: those of the first day) archived, the rest kept."""
     d, t = _t(spark, sf_dir)
-    first = d.event_days()[0]
+    first = d.event_days().first().first
     before = before or (first and first + timedelta(days=1))
     le = t.lifecycle_events.select("EventID", "InstanceID", "EventType",
                                                        "EventDate")

@@ -19,8 +19,6 @@ The same mapping is written as SQL for the DuckDB oracle in
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,11 +193,13 @@ class DriverTables:
             F.concat(F.lit(" "), sid, F.lit(" ")).alias("SupplierID"),
             F.when(F.col("c_nationkey") != 3, F.col("c_name")).alias("SupplierName"))
 
-    def event_days(self) -> tuple:
-        """First day of the events and the middle day of their period (two dates of one
-        aggregate row, so that cut-offs follow the data and reach the scan); nulls if there are none."""
-        r = self.read("events", "ts").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("z")).first()
-        return (r.a, r.a + timedelta(days=((r.z - r.a).days + 1) // 2)) if r.a else (None, None)
+    def event_days(self) -> DataFrame:
+        """One row: the first day of the events and the middle day of their period
+        (nulls if there are none)."""
+        days = self.read("events", "ts").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("z"))
+        middle = F.date_add("a", F.floor((F.datediff("z", "a") + 1) / 2).cast("int"))
+        return days.select(F.col("a").cast("timestamp_ntz").alias("first"),
+                           middle.cast("timestamp_ntz").alias("middle"))
 
     def event_requests(self) -> DataFrame:
         """Event form posts: the events from the middle day of their period on, with instance
@@ -209,7 +209,7 @@ class DriverTables:
                  .when(et == "click", "Repair").when(et == "error", "Disposed")
                  .otherwise("Recycled"))
         return (self.read("events", "event_id", "ts", "user_id", "event_type")
-                .filter(F.col("ts") >= F.lit(self.event_days()[1]).cast("timestamp_ntz"))
+                .filter(F.col("ts") >= F.lit(self.event_days().first().middle).cast("timestamp_ntz"))
                 .select(F.col("event_id").alias("RequestID"),
                         (F.col("user_id") * 11 + F.col("event_id") % 7 + 1).cast("string")
                         .alias("InstanceRef"),
