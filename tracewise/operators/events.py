@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalar import ci, ci_eq, event_time
-from .ranking import sequence_within
+from .ranking import running_within
 
 
 def latest_events(le: DataFrame) -> DataFrame:
@@ -64,24 +64,18 @@ def lifecycle_age(pi: DataFrame, le: DataFrame, as_of: str | dt.date) -> DataFra
         F.datediff(day, F.col("manufactured_on")).alias("age_days"))
 
 
-def event_hour(c: str):
-    """Hours since 1970-01-01 of a wall-clock time (no time zone involved);
-    never decreases along EventDate, NULL for NULL."""
-    return F.unix_date(F.to_date(F.col(c))).cast("long") * 24 + F.hour(F.col(c))
-
-
 def timeline(le: DataFrame, instance_id: int | None = None) -> DataFrame:
     """Events of each instance in time order, ties by EventID, with position
     ``seq`` and the report's time text (W4, F4).
 
-    ``instance_id`` narrows to one instance (the report); the numbering is
-    split across partitions for instances with very many events.
+    ``instance_id`` narrows to one instance (the report). Rows are range-partitioned on
+    (instance, date, id) and numbered by prefix sums over the partitions, so an instance
+    with very many events is split even where all of them carry one date.
     """
     ev = le if instance_id is None else le.filter(F.col("InstanceID") == instance_id)
-    numbered = sequence_within(ev.select("InstanceID", "EventID", "EventType", "EventDate"),
-                               "InstanceID", ["EventDate", "EventID"],
-                               slice_by=event_hour("EventDate"))
-    return numbered.select("InstanceID", "seq", "EventID", "EventType",
+    numbered = running_within(ev.select("InstanceID", "EventID", "EventType", "EventDate"),
+                              "InstanceID", ["EventDate", "EventID"])
+    return numbered.select("InstanceID", F.col("seq").cast("int").alias("seq"), "EventID", "EventType",
                            event_time("EventDate").alias("EventTime"))
 
 

@@ -11,11 +11,11 @@ from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hazard_label
 from ..operators import audits, bom, dashboard, events, features, gates, model, sourcing
+from ..operators.ranking import running_within
 from ..session import checkpointed
 from ..sources.testdata import DriverTables
 
@@ -172,14 +172,14 @@ def trace_rollup(spark, sf_dir):
 def material_passport(spark, sf_dir):
     """J5, F7, T-2: one row per (edge, material), with its place in the product's report."""
     t = _t(spark, sf_dir)[1]
-    place = W.partitionBy("ProductID").orderBy("ComponentName", "ComponentID", "MaterialID")
-    rows = bom.material_passport(t.product_root, t.bill_of_material, t.components,
-                                 t.component_composition, t.raw_materials)
+    rows = running_within(bom.material_passport(t.product_root, t.bill_of_material, t.components,
+                                                t.component_composition, t.raw_materials),
+                          "ProductID", ["ComponentName", "ComponentID", "MaterialID"], "position")
     return rows.select(
         "ProductID", "ComponentID", "ComponentName", "MaterialID", "MaterialName",
         F.col("WeightInGrams").cast("double").alias("WeightInGrams"), "RecyclableGrade",
         hazard_label("IsHazardous").alias("IsHazardous"),
-        F.row_number().over(place).alias("position"))
+        F.col("position").cast("int").alias("position"))
 
 
 @query

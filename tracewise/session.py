@@ -86,6 +86,27 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str, scratch: list[str] | None = None):
+    """``df`` written once as Parquet below the shared checkpoint folder and read
+    back: the lineage is cut and later scans read only the columns they need.
+    The path is added to ``scratch`` if given, for :func:`drop`."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove scratch tables that are no longer needed."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths.clear()
+
+
 def cluster_conf(total_cores: int, input_tb: float = 100.0) -> dict[str, str]:
     """Settings we would start a large job with (a starting point, not a rule).
 
