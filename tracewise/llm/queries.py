@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, mixing, near_dedup, neighbours, piece_lattice, quality_rules, secret_scan, token_counts, token_file
+from . import importance, language, mixing, near_dedup, neighbours, piece_lattice, prefix_trie, quality_rules, secret_scan, token_counts, token_file
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_files": token_file.op9_token_files,
     "op10_language_id": language.op10_language_id,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
-ORACLE = {"op2_mix_sources": mixing.OP2_SQL, "op7_near_dedup": near_dedup.OP7_SQL}
+ORACLE = {"op2_mix_sources": mixing.OP2_SQL, "op7_near_dedup": near_dedup.OP7_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
