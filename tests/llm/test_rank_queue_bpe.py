@@ -92,7 +92,8 @@ def test_very_long_pre_tokens(encoder, library):
         got = ids(encoder, text)
         assert got == library.encode_ordinary(text)
     same = ids(encoder, "a" * 200_000)
-    assert b"".join({r: t for t, r in encoder.ranks.items()}[i] for i in same) == b"a" * 200_000
+    tokens = {r: t for t, r in encoder.ranks.items()}
+    assert b"".join(tokens[i] for i in same) == b"a" * 200_000
 
 
 def test_memo_is_bounded(monkeypatch, library):
