@@ -77,6 +77,19 @@ def test_texts_equal_library(encoder, library):
         assert ids(encoder, text) == library.encode_ordinary(text)
 
 
+def test_blanks_of_every_kind(encoder, library):
+    """Runs of white space at every place, NUL, and another pattern."""
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "bc", "1", ",", "'s", " ", "  ", "\n", "\n\n", "\t", "\x85", "\u3000", "\x1c", "\0", "é"], k=rng.randint(1, 14)))
+        assert ids(encoder, text) == library.encode_ordinary(text), repr(text)
+    import tiktoken
+
+    pattern = r"\p{L}+|\P{L}"
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    assert ids(bpe.Encoder(PATH, pattern), "one  two, three") == other.encode_ordinary("one  two, three")
+
+
 def test_code_points_equal_library(encoder, library):
     points = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000] + list(range(0x3100, 0x110000, 211))
     for c in points:
@@ -102,7 +115,7 @@ def test_memo_is_bounded(monkeypatch, library):
     for i in range(10):
         text = prose(i, 100, 3000)
         assert ids(small, text) == library.encode_ordinary(text)
-        assert len(small.memo) <= 50
+        assert len(small) <= 50
 
 
 def test_query(spark, tmp_path, library):

@@ -120,30 +120,67 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     return out
 
 
-class Encoder:
-    """Ids of texts (as little-endian 32-bit numbers) for one vocabulary and one pattern."""
+#: The pattern under which a text may be cut at white space as ``Encoder.encode`` does (fixed: the public GPT-2 pattern).
+CUT_AT_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Encoder(dict):
+    """Ids of texts (as little-endian 32-bit numbers) for one vocabulary and one pattern; as a
+    dict the memo of strings already encoded.
+
+    Under the pattern CUT_AT_BLANKS a pre-token holds a blank only as its first character or in a
+    run of white space. So a text falls apart before every single space, around every
+    single line feed, and before the last character of a longer run; the strings between hold
+    whole pre-tokens and are looked up before they are matched. Other patterns are matched over the whole text.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
 
+        super().__init__()
         self.ranks = load_ranks(path)
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.memo: dict[str, bytes] = {}
-        self.pieces = regex.compile(pattern).finditer
+        self.matches = regex.compile(pattern).finditer
+        self.runs = regex.compile(r"\s{2,}").finditer if pattern == CUT_AT_BLANKS else None
+
+    def remember(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[text] = ids
+        return ids
 
     def encode_piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(raw)
-        ids = array("I", [whole] if whole is not None else merge(raw, self.ranks, self.queue)).tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            self.memo[piece] = ids
-        return ids
+        return array("I", [whole] if whole is not None else merge(raw, self.ranks, self.queue)).tobytes()
+
+    def __missing__(self, text: str) -> bytes:
+        """Ids of a string of whole pre-tokens. Only single ones are remembered; a full stop or comma after an
+        ASCII letter is one of its own."""
+        if len(text) > 1 and text[-1] in ",." and text[-2].isascii() and text[-2].isalpha():
+            return self[text[:-1]] + self[text[-1]]
+        pieces = [m[0] for m in self.matches(text)]
+        if len(pieces) == 1:
+            return self.remember(text, self.encode_piece(text))
+        return b"".join([self.get(p) or self.remember(p, self.encode_piece(p)) for p in pieces])
 
     def encode(self, text: str) -> bytes:
-        known = self.memo.get
-        return b"".join([known(p) or self.encode_piece(p) for p in (m[0] for m in self.pieces(text))])
+        if self.runs is None or "\0" in text:
+            return b"".join([self.get(p) or self.remember(p, self.encode_piece(p)) for p in (m[0] for m in self.matches(text))])
+        out, done = [], 0
+        for run in self.runs(text):
+            start, end = run.span()
+            cut = end if end == len(text) else end - 1
+            out += (self.between(text[done:start]), self[text[start:cut]])
+            done = cut
+        out.append(self.between(text[done:]))
+        return b"".join(out)
+
+    def between(self, text: str) -> bytes:
+        """Ids of a text without NUL and without runs of white space inside."""
+        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
 def encoder(path: str, pattern: str):
@@ -165,6 +202,16 @@ def encoder(path: str, pattern: str):
     return ids
 
 
+def rows_of(lists: pa.ListArray) -> Iterator:
+    """The lists of an array as numpy slices (null: an empty one)."""
+    import numpy as np
+
+    values = np.asarray(lists.values.fill_null(-1) if lists.values.null_count else lists.values)
+    bounds, valid = np.asarray(lists.offsets).tolist(), lists.is_valid().to_pylist()
+    for a, b, ok in zip(bounds, bounds[1:], valid):
+        yield values[a:b if ok else a]
+
+
 def decoder(path: str):
     """Arrow function: list of ids to the bytes they stand for."""
 
@@ -175,7 +222,7 @@ def decoder(path: str):
             cache["tokens"] = {rank: token for token, rank in load_ranks(path).items()}
         tokens = cache["tokens"]
         for batch in batches:
-            yield pa.array([b"".join([tokens[i] for i in ids.as_py() or ()]) for ids in batch], pa.binary())
+            yield pa.array([b"".join(map(tokens.__getitem__, ids.tolist())) for ids in rows_of(batch)], pa.binary())
 
     return text
 
@@ -187,10 +234,8 @@ def ids_digest(ids: str) -> Column:
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import hashlib
 
-        import numpy as np
-
         for batch in batches:
-            yield pa.array([hashlib.sha256(np.asarray(ids.values if ids.is_valid else [], "<i4").tobytes()).hexdigest() for ids in batch], pa.string())
+            yield pa.array([hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() for ids in rows_of(batch)], pa.string())
 
     return digest(ids)
 
