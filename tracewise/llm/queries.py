@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, mixing, near_dedup, neighbours, piece_lattice, prefix_trie, quality_rules, rank_queue_bpe, secret_scan, token_counts, token_file
+from . import importance, language, mixing, near_dedup, neighbours, piece_lattice, prefix_trie, quality_rules, rank_queue_bpe, secret_scan, token_counts, token_file, word_runs
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_files": token_file.op9_token_files,
     "op10_language_id": language.op10_language_id,
+    "op11_word_runs": word_runs.op11_word_runs,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_byte_bpe": rank_queue_bpe.op13_byte_bpe,
 }
 
-ORACLE = {"op2_mix_sources": mixing.OP2_SQL, "op7_near_dedup": near_dedup.OP7_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
+ORACLE = {"op2_mix_sources": mixing.OP2_SQL, "op7_near_dedup": near_dedup.OP7_SQL, "op11_word_runs": word_runs.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
