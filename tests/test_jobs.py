@@ -1,5 +1,8 @@
 """The batch jobs end to end on the seed tables stored as parquet."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from tracewise import jobs
 from tracewise.sources.tables import TABLE_NAMES
 
@@ -123,3 +126,90 @@ def test_train_job(spark, tmp_path):
     from tracewise.operators import model
 
     assert model.load(str(tmp_path / "m")) is not None
+
+
+def _register(spark, tables, out, batch, run):
+    jobs.main(["register", "--tables", tables, "--out", out, "--batch", batch, "--run", run,
+               "--as-of", "2025-12-01 09:00:00"], spark=spark)
+
+
+def test_register_failing_between_appends_is_completed_by_a_rerun(spark, seed, tmp_path, monkeypatch):
+    """A failure after the instances, before their events: the rerun adds the events only, and another run waits."""
+    from tracewise.sources import runs
+
+    tables, out, reg = str(tmp_path / "tables"), str(tmp_path / "out"), str(tmp_path / "reg")
+    _store(seed, tables)
+    spark.createDataFrame([(k, f"NEW-{k}", "P100") for k in range(1, 8)],
+                          "RequestID long, SerialNumber string, ProductID string").write.parquet(reg)
+    append, calls = jobs._append, []
+
+    def failing(args, df, table):
+        calls.append(table)
+        if table == "lifecycle_events":
+            raise OSError("lost")
+        append(args, df, table)
+
+    monkeypatch.setattr(jobs, "_append", failing)
+    with pytest.raises(OSError):
+        _register(spark, tables, out, reg, "monday")
+    assert calls == ["product_instances", "lifecycle_events"]
+    monkeypatch.setattr(jobs, "_append", append)
+    with pytest.raises(runs.UnfinishedRun):
+        _register(spark, tables, out, reg, "tuesday")
+    before = spark.read.parquet(f"{tables}/lifecycle_events").count()
+    for _ in range(2):                                     # the second one finds nothing to do
+        _register(spark, tables, out, reg, "monday")
+        pi, le = spark.read.parquet(f"{tables}/product_instances"), spark.read.parquet(f"{tables}/lifecycle_events")
+        new = pi.filter("SerialNumber like 'NEW-%'")
+        assert new.count() == 7 and le.count() == before + 7
+        assert le.join(new, "InstanceID").groupBy("InstanceID").count().where("count <> 1").isEmpty()
+        assert le.select("EventID").distinct().count() == le.count()
+    assert spark.read.json(f"{out}/accepted").count() == 7
+    _register(spark, tables, out, reg, "tuesday")           # now all serials are taken
+    assert spark.read.parquet(f"{tables}/product_instances").count() == pi.count()
+    assert spark.read.json(f"{out}/rejected").count() == 7
+
+
+def test_rerun_adds_only_the_rows_that_are_missing(spark, tmp_path):
+    from tracewise.sources import runs
+
+    root = str(tmp_path / "t")
+    spark.range(5).write.parquet(f"{root}/a")
+    read = lambda: spark.read.parquet(f"{root}/a")
+    target = runs.Target("a", ("id",), read, lambda df: df.write.mode("append").parquet(f"{root}/a"))
+    staged = runs.commit(spark, root, "k", lambda: {"a": spark.range(3, 9), "other": spark.range(1)}, [target])
+    assert sorted(r.id for r in read().collect()) == list(range(9))
+    assert staged["other"].count() == 1 and runs.pending(spark, root) == []
+
+
+def test_archive_job(spark, seed, tmp_path, monkeypatch):
+    """Readers see a whole table at every step; a failed archive is run again; later jobs use the kept version."""
+    from tracewise.sources import versions
+    from tracewise.sources.tables import load
+
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "out")
+    _store(seed, tables)
+    every = seed.lifecycle_events.count()
+    cut = "2024-02-01 12:00:00"
+    old = seed.lifecycle_events.filter(F.col("EventDate") < F.lit(cut).cast("timestamp_ntz")).count()
+    assert 0 < old < every
+    args = ["archive", "--tables", tables, "--out", f"{out}/ar", "--before", cut]
+
+    def failing(df, folder, keep=2):
+        raise OSError("lost")
+
+    publish = versions.publish
+    monkeypatch.setattr(versions, "publish", failing)
+    with pytest.raises(OSError):
+        jobs.main(args, spark=spark)
+    assert load(spark, tables, "lifecycle_events").count() == every         # backed up, nothing removed
+    reader = load(spark, tables, "lifecycle_events")
+    monkeypatch.setattr(versions, "publish", publish)
+    for _ in range(2):
+        jobs.main(args, spark=spark)
+        assert load(spark, tables, "lifecycle_events").count() == every - old
+        assert spark.read.parquet(f"{tables}/lifecycle_events_backup").count() == old
+    assert reader.count() == every                                            # a reader that began before
+    spark.createDataFrame([(1, "1", "Repair")], "RequestID long, InstanceRef string, EventType string").write.parquet(str(tmp_path / "ev"))
+    jobs.main(["add-events", "--tables", tables, "--out", f"{out}/ev", "--batch", str(tmp_path / "ev"), "--as-of", "2025-12-02 09:00:00"], spark=spark)
+    assert load(spark, tables, "lifecycle_events").count() == every - old + 1

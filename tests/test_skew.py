@@ -56,6 +56,13 @@ def t(spark):
     }
 
 
+def _sales(t):
+    """One stored sale per instance; a batch of disposals, a third of them of one instance."""
+    hot = t["so"].select(F.col("SupplierID").alias("InstanceID"), F.monotonically_increasing_id().alias("EventID"), F.lit("Disposed").alias("EventType"))
+    sold = t["suppliers"].select(F.col("SupplierID").alias("InstanceID"), F.lit(0).cast("long").alias("EventID"), F.lit("Sold").alias("EventType"))
+    return sold, hot
+
+
 CASES = {
     "composition_share": lambda t: bom.composition_share(t["cc_hot"], t["rm"]),
     "trace_all": lambda t: bom.trace_all(t["components"], t["bom"], t["cc"], t["rm"]),
@@ -63,6 +70,9 @@ CASES = {
     "passport_rollup": lambda t: bom.passport_rollup(t["root"], t["bom"], t["components"], t["cc"], t["rm"]),
     "hazard_usage_by_product": lambda t: bom.hazard_usage_by_product(t["products"], t["root"], t["bom"], t["cc"], t["rm"]),
     "features_by_product": lambda t: features.features_by_product(t["pi"], t["products"], t["root"], t["bom"], t["cc"], t["rm"], t["le"]),
+    "trace_rollup": lambda t: bom.trace_rollup(t["components"], t["bom"], t["cc_hot"], t["rm"]),
+    "disposal_gate": lambda t: gates.disposal_gate(*_sales(t)),
+    "recycle_by_product": lambda t: gates.recycle_events(t["pi"], t["root"], t["bom"], t["cc"], t["rm"], "2024-01-01", scope="product"),
     "sourcing_ids": lambda t: sourcing.sourcing_ids(t["suppliers"], t["so"]),
     "sourcing_detail": lambda t: sourcing.sourcing_detail(t["suppliers"], t["so"], t["components"], t["rm"]),
     "key_flag": lambda t: gates._key_flag(t["so"], t["suppliers"], [F.col("SupplierID")], ["SupplierID"], "known"),

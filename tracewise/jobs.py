@@ -19,13 +19,18 @@ admitted rows to the table folders and write refused rows with their reasons.
     add-composition --batch PATH           new composition rows (weight and hazard gates)
     add-sourcing --batch PATH              new sourcing rows
     recycle --as-of TS [--scope global]    one recycle event per instance
+    archive --before TS                    events before TS moved to lifecycle_events_backup
     train [--model PATH]                   features, scaling, fit, test report
+
+Ingest commands take ``--run KEY``: the admitted rows are staged under that key first (``sources.runs``), and a
+job that failed is run again with the same key, which adds only what is missing. Without a key a new one is made.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +38,33 @@ from pyspark.sql import functions as F
 from .operators import features, gates, model, sinks
 from .operators.audits import audit_report
 from .plans import reports
-from .session import build_session, checkpointed
-from .sources.tables import LifecycleTables, load_all, load_tables
+from .session import build_session, checkpointed, ensure_checkpoint_dir
+from .sources import runs, versions
+from .sources.tables import LifecycleTables, load, load_all, load_tables
 
 
 def _append(args, df: DataFrame, table: str) -> None:
     """Append admitted rows to a stored table: a catalog table (keeps its
-    bucketing) with ``--database``, else the table's folder."""
+    bucketing) with ``--database``, else the table's folder (its newest version)."""
     if args.database:
         sinks.append_table(df, f"{args.database}.{table}")
     else:
-        sinks.append(df, f"{args.tables.rstrip('/')}/{table}", args.format)
+        path = f"{args.tables.rstrip('/')}/{table}"
+        sinks.append(df, versions.current(df.sparkSession, path) or path, args.format)
+
+
+#: Key columns by which a rerun knows the rows that a table already holds.
+KEYS = {"product_instances": ("InstanceID",), "lifecycle_events": ("EventID",), "suppliers": ("SupplierID",),
+        "component_composition": ("ComponentID", "MaterialID"), "sourcing": ("SourcingID",)}
+
+
+def _commit(args, spark: SparkSession, columns: dict[str, list[str]], compute) -> dict[str, DataFrame]:
+    """Stage ``compute``'s frames and append those named in ``columns`` to their tables, once per run key."""
+    root = args.runs or (f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/{args.database}" if args.database else args.tables.rstrip("/"))
+    read = lambda n: (lambda: spark.table(f"{args.database}.{n}") if args.database else load(spark, args.tables, n, args.format))
+    append = lambda n: (lambda df: _append(args, df.select(*columns[n]), n))
+    return runs.commit(spark, root, args.run or uuid.uuid4().hex, compute,
+                       [runs.Target(n, KEYS[n], read(n), append(n)) for n in columns])
 
 
 def _write(frames: dict[str, DataFrame], out: str, fmt: str) -> None:
@@ -58,16 +79,34 @@ def _batch(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return r.load(path)
 
 
-def _ingest(t: LifecycleTables, args, table: str, decided: DataFrame,
-            cols: list[str]) -> dict[str, DataFrame]:
-    """Append admitted rows to ``table``; return refused rows for the output.
+def _ingest(args, spark: SparkSession, table: str, decide, cols: list[str]) -> dict[str, DataFrame]:
+    """Append admitted rows to ``table``; return refused rows for the output."""
+    def compute() -> dict[str, DataFrame]:
+        acc, rej = gates.split(checkpointed(decide()))
+        return {table: acc, "rejected": rej}
+
+    staged = _commit(args, spark, {table: cols}, compute)
+    return {"rejected": staged["rejected"], "accepted": staged[table]}
 
-    ``decided`` is materialised first, so appending to a folder this job also
-    reads is safe."""
-    decided = checkpointed(decided)
-    acc, rej = gates.split(decided)
-    _append(args, acc.select(*cols), table)
-    return {"rejected": rej, "accepted": acc}
+
+EVENT_COLUMNS = ["EventID", "EventType", "EventDate", "InstanceID"]
+
+
+def _archive(args, spark: SparkSession, t: LifecycleTables) -> dict[str, DataFrame]:
+    """Move events before ``--before`` to the table ``lifecycle_events_backup``.
+
+    The backup is completed first (only rows it lacks are added), then the kept rows are published as a new
+    version of ``lifecycle_events``: a reader sees all events or the kept ones, and a failed job can be run again."""
+    if args.database or args.format != "parquet":
+        raise SystemExit("archive works on Parquet folders (--tables)")
+    kept, old = gates.archive_delete(t.lifecycle_events, F.col("EventDate") < F.lit(args.before).cast("timestamp_ntz"))
+    folder = args.tables.rstrip("/")
+    backup = f"{folder}/lifecycle_events_backup"
+    if not versions.exists(spark, backup):
+        gates.like(t.lifecycle_events).write.parquet(backup)
+    sinks.append(runs.missing(old, spark.read.parquet(backup), KEYS["lifecycle_events"]), backup)
+    versions.publish(kept, f"{folder}/lifecycle_events")
+    return {"archived": old.groupBy("EventType").count()}
 
 
 def run(args, spark: SparkSession) -> dict[str, DataFrame]:
@@ -86,52 +125,46 @@ def run(args, spark: SparkSession) -> dict[str, DataFrame]:
         return {"suppliers": reports.suppliers_view(t)}
     if c == "audit":
         return {"audit": audit_report(t)}
+    batch = _batch(spark, args.batch, args.batch_format) if args.batch else None
     if c == "register":
-        decided, new_events = gates.register_instances(
-            t.product_instances, t.products, _batch(spark, args.batch, args.batch_format),
-            t.lifecycle_events, args.as_of, order=args.order)
-        acc, rej = gates.split(decided)        # decisions are already materialised
-        _append(args, acc.select("InstanceID", "SerialNumber", "ProductID"), "product_instances")
-        _append(args, new_events, "lifecycle_events")
-        return {"rejected": rej, "accepted": acc}
+        def register() -> dict[str, DataFrame]:
+            decided, new_events = gates.register_instances(
+                t.product_instances, t.products, batch, t.lifecycle_events, args.as_of, order=args.order)
+            acc, rej = gates.split(decided)        # decisions are already materialised
+            return {"product_instances": acc, "lifecycle_events": new_events, "rejected": rej}
+
+        staged = _commit(args, spark, {"product_instances": ["InstanceID", "SerialNumber", "ProductID"],
+                                       "lifecycle_events": EVENT_COLUMNS}, register)
+        return {"rejected": staged["rejected"], "accepted": staged["product_instances"]}
     if c == "add-events":
-        decided = gates.append_events(t.product_instances, t.lifecycle_events,
-                                      _batch(spark, args.batch, args.batch_format), args.as_of,
-                                      order=args.order)
-        return _ingest(t, args, "lifecycle_events", decided,
-                       ["EventID", "EventType", "EventDate", "InstanceID"])
+        return _ingest(args, spark, "lifecycle_events", lambda: gates.append_events(
+            t.product_instances, t.lifecycle_events, batch, args.as_of, order=args.order), EVENT_COLUMNS)
     if c == "add-suppliers":
-        decided = gates.add_suppliers(t.suppliers, _batch(spark, args.batch, args.batch_format),
-                                      order=args.order)
-        return _ingest(t, args, "suppliers", decided, ["SupplierID", "SupplierName"])
+        return _ingest(args, spark, "suppliers", lambda: gates.add_suppliers(t.suppliers, batch, order=args.order),
+                       ["SupplierID", "SupplierName"])
     if c == "add-composition":
-        decided = gates.composition_gate(_batch(spark, args.batch, args.batch_format),
-                                         t.raw_materials, t.components,
-                                         t.component_composition, order=args.order)
-        return _ingest(t, args, "component_composition", decided,
-                       ["ComponentID", "MaterialID", "WeightInGrams"])
+        return _ingest(args, spark, "component_composition", lambda: gates.composition_gate(
+            batch, t.raw_materials, t.components, t.component_composition, order=args.order),
+            ["ComponentID", "MaterialID", "WeightInGrams"])
     if c == "add-sourcing":
-        decided = gates.sourcing_insert_gate(_batch(spark, args.batch, args.batch_format),
-                                             t.suppliers, t.components, t.raw_materials)
-        ok = checkpointed(decided)
-        acc = gates.assign_ids(ok.filter(F.col("reason").isNull()).drop("reason"),
-                               [args.order], "_seq")
-        acc = checkpointed(gates.ids_after(acc, "_seq", t.sourcing, "SourcingID",
-                                           "SourcingID"))
-        _append(args, acc.select("SourcingID", "SupplierID", "ComponentID", "MaterialID"),
-                "sourcing")
-        return {"rejected": ok.filter(F.col("reason").isNotNull()), "accepted": acc}
+        def source() -> dict[str, DataFrame]:
+            acc, rej = gates.split(checkpointed(gates.sourcing_insert_gate(batch, t.suppliers, t.components, t.raw_materials)))
+            return {"sourcing": gates.ids_after(gates.assign_ids(acc, [args.order], "_seq"), "_seq", t.sourcing,
+                                                "SourcingID", "SourcingID"), "rejected": rej}
+
+        staged = _commit(args, spark, {"sourcing": ["SourcingID", "SupplierID", "ComponentID", "MaterialID"]}, source)
+        return {"rejected": staged["rejected"], "accepted": staged["sourcing"]}
     if c == "recycle":
-        ev = gates.recycle_events(t.product_instances, t.product_root, t.bill_of_material,
-                                  t.component_composition, t.raw_materials, args.as_of,
-                                  scope=args.scope)
-        ev = checkpointed(ev)
-        numbered = checkpointed(gates.ids_after(gates.assign_ids(ev, ["InstanceID"], "_seq"),
-                                                "_seq", t.lifecycle_events, "EventID",
-                                                "EventID"))
-        _append(args, numbered.select("EventID", "EventType", "EventDate", "InstanceID"),
-                "lifecycle_events")
-        return {"recycle_events": numbered.drop("_seq")}
+        def recycle() -> dict[str, DataFrame]:
+            ev = gates.recycle_events(t.product_instances, t.product_root, t.bill_of_material,
+                                      t.component_composition, t.raw_materials, args.as_of, scope=args.scope)
+            numbered = gates.ids_after(gates.assign_ids(ev, ["InstanceID"], "_seq"), "_seq", t.lifecycle_events,
+                                       "EventID", "EventID")
+            return {"lifecycle_events": numbered.drop("_seq")}
+
+        return {"recycle_events": _commit(args, spark, {"lifecycle_events": EVENT_COLUMNS}, recycle)["lifecycle_events"]}
+    if c == "archive":
+        return _archive(args, spark, t)
     if c == "train":
         f = features.features_by_product(t.product_instances, t.products, t.product_root,
                                          t.bill_of_material, t.component_composition,
@@ -164,6 +197,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--batch-format", default="parquet")
     p.add_argument("--order", default="RequestID",
                    help="batch column giving the insertion order")
+    p.add_argument("--run", help="key of an ingest run; the same key again completes a failed run")
+    p.add_argument("--runs", help="folder for the runs' staged rows (default: the tables' folder)")
+    p.add_argument("--before", help="archive events before this time")
     p.add_argument("--instance")
     p.add_argument("--product")
     p.add_argument("--ids", default=",".join(reports.HIERARCHY_IDS))

@@ -135,8 +135,7 @@ def trace_rollup(components: DataFrame, bom: DataFrame, cc: DataFrame,
     Equal to grouping ``trace_all``, without building its edge x material
     rows: BOM is reduced to a count per child first.
     """
-    j = (_edge_counts(bom)
-         .join(components.select("ComponentID", "ComponentName"), "ComponentID")
+    j = (plain(_edge_counts(bom).join(components.select("ComponentID", "ComponentName"), "ComponentID"))
          .join(cc.select("ComponentID", "MaterialID", "WeightInGrams"), "ComponentID")
          .join(rm.select("MaterialID", "MaterialName", "RecyclableGrade"), "MaterialID"))
     return j.groupBy("ComponentID", "ComponentName", "MaterialID", "MaterialName",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalar import ci, to_key, to_weight
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .skew import plain
 
 REASON = "reason"
@@ -67,16 +67,15 @@ def assign_ids(df: DataFrame, order: list[str | Column], out: str,
                start: int = 0) -> DataFrame:
     """Consecutive ids ``start + 1, start + 2, ...`` in ``order`` (R2, AUTO_INCREMENT).
 
-    The batch is range-sorted and checkpointed to the shared checkpoint folder
-    (fixed partitions that a retried task reproduces); each row's id is its
+    The batch is range-sorted and stored once below the shared checkpoint folder with each
+    row's partition and index (fixed for every later read and retry); each row's id is its
     index inside its partition plus the sizes of all earlier partitions. The
     size table has one row per partition, so it is broadcast; no window over
     all rows in one task.
     """
-    fixed = checkpointed(df.orderBy(*order))
-    local = fixed.withColumn("_part", F.spark_partition_id()) \
-        .withColumn("_idx", F.monotonically_increasing_id()
-                    - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    local = stored(df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+                   .withColumn("_idx", F.monotonically_increasing_id()
+                               - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "ids")
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -115,11 +114,13 @@ def disposal_gate(existing: DataFrame, batch: DataFrame, order: str = "EventID",
     """
     is_sold = ci("EventType") == schemas.SOLD
     is_disposed = ci("EventType") == schemas.DISPOSED
-    stored = existing.filter(is_sold).groupBy("InstanceID").agg(F.lit(True).alias("_stored"))
+    known = existing.filter(is_sold).groupBy("InstanceID").agg(F.lit(True).alias("_stored"))
     sold_src = batch if batch_sold is None else batch_sold
     first = sold_src.filter(is_sold).groupBy("InstanceID").agg(F.min(order).alias("_first"))
+    # one row per instance with a sale, joined plain: the Disposed rows of a hot instance are split
+    sales = known.join(first, "InstanceID", "full")
     disposed = (batch.filter(F.coalesce(is_disposed, F.lit(False)))
-                .join(stored, "InstanceID", "left").join(first, "InstanceID", "left"))
+                .join(plain(sales), "InstanceID", "left"))
     ok = F.coalesce(F.col("_stored"), F.lit(False)) | \
         F.coalesce(F.col("_first") < F.col(order), F.lit(False))
     disposed = disposed.withColumn(
@@ -329,7 +330,8 @@ def recycle_events(instances: DataFrame, product_root: DataFrame, bom: DataFrame
         edges = _product_edges(product_root, bom)
         per_product = (edges.join(_hazard_rows(cc, rm), "ComponentID").groupBy("ProductID")
                        .agg(F.sum(F.col("_edges") * F.col("_haz")).alias("hazard_count")))
-        j = instances.select("InstanceID", "ProductID").join(per_product, "ProductID", "left")
+        # a product with very many instances is split: the counts are joined plain
+        j = instances.select("InstanceID", "ProductID").join(plain(per_product), "ProductID", "left")
     else:
         raise ValueError("scope must be 'global' or 'product'")
     etype = F.when(F.coalesce(F.col("hazard_count"), F.lit(0)) > 0,

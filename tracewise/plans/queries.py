@@ -414,12 +414,11 @@ def chart_series(spark, sf_dir):
 
 @query
 def stream_disposal_gate_batched(spark, sf_dir):
-    """X1, set-based form: per micro-batch the batch gate against a table of
-    instances with a stored Sold event (JVM only, idempotent per epoch)."""
-    from ..streaming.batched import run_disposal_gate_batched
+    """X1, set-based form: per micro-batch the batch gate against the touched buckets
+    of first sales and held rows (JVM only, idempotent per epoch)."""
+    from ..streaming.batched import gate_output, run_disposal_gate_batched
 
-    out = run_disposal_gate_batched(spark, sf_dir)
-    return spark.read.parquet(out).drop("epoch")
+    return gate_output(spark, run_disposal_gate_batched(spark, sf_dir)).drop("epoch")
 
 
 @query

@@ -80,10 +80,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def checkpointed(df):
     """``df`` written to the shared checkpoint folder and read back (cuts the
-    lineage, so later stages and retries read fixed data). Never a local
-    checkpoint: a lost executor would lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    lineage, so later stages and retries read fixed data). Columns are stored as Parquet,
+    so a later scan reads only those it needs; rows may come back in another order and other partitions."""
+    return stored(df, "checkpoint")
 
 
 def stored(df, name: str, scratch: list[str] | None = None):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
+from . import versions
 
 TABLE_NAMES = tuple(schemas.SCHEMAS)
 
@@ -49,8 +50,9 @@ def load(spark: SparkSession, location: str, table: str, fmt: str = "parquet",
          options: dict | None = None) -> DataFrame:
     """Read one model table.
 
-    ``fmt`` is ``parquet`` (default), ``csv``, ``json`` or ``jdbc``. File
-    formats are read with the model's schema (no inference); ``jdbc`` takes
+    ``fmt`` is ``parquet`` (default), ``csv``, ``json`` or ``jdbc``. Parquet carries its own
+    schema, and of a versioned table (``sources.versions``) the newest version is read; csv and
+    json are read with the model's schema (no inference); ``jdbc`` takes
     url, user and password from ``options`` (job configuration, never code)
     and reads ``location`` as the table name, partitioned when the options
     carry ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions``.
@@ -61,7 +63,8 @@ def load(spark: SparkSession, location: str, table: str, fmt: str = "parquet",
         return spark.read.format("jdbc").options(dbtable=location, **opts).load()
     reader = spark.read.options(**opts)
     if fmt == "parquet":
-        return reader.parquet(f"{location.rstrip('/')}/{table}")
+        path = f"{location.rstrip('/')}/{table}"
+        return reader.parquet(versions.current(spark, path) or path)
     if fmt == "csv":
         return reader.schema(schema).option("header", "true").csv(
             f"{location.rstrip('/')}/{table}")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.dashboard import event_distribution, merge_spellings
 from ..session import scratch_path
+from ..sources import versions
 from ..sources.testdata import events_as_lifecycle
 from .disposal import disposal_gate_stream
 
@@ -49,13 +50,14 @@ def run_disposal_gate(spark: SparkSession, folder: str, out: str | None = None,
 def run_outcomes(spark: SparkSession, folder: str, out: str | None = None,
                  checkpoint: str | None = None,
                  max_files: int | None = None) -> str:
-    """Run X2 (running event distribution, complete mode): each micro-batch
-    rewrites the full, small result table; returns its path."""
+    """Run X2 (running event distribution, complete mode): each micro-batch publishes the full,
+    small result as a new version of the table ``out``, so a reader (``versions.read_current``)
+    sees one whole result at any time; returns the path of the newest version."""
     out = out or scratch_path(spark, "stream-outcomes-out")
     checkpoint = checkpoint or scratch_path(spark, "stream-outcomes-ckpt")
 
     def publish(df: DataFrame, epoch: int) -> None:
-        merge_spellings(df).write.mode("overwrite").parquet(out)
+        versions.publish(merge_spellings(df), out)
 
     # the state counts exact spellings (hash aggregate); spellings are merged per epoch
     q = (event_distribution(event_stream(spark, folder, max_files=max_files), case_insensitive=False)
@@ -64,4 +66,4 @@ def run_outcomes(spark: SparkSession, folder: str, out: str | None = None,
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return out
+    return versions.current(spark, out)
