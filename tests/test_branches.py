@@ -1,6 +1,7 @@
 """Every refusal reason of the gates and every kind of audit rule fires on data that breaks it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewise import schemas
 from tracewise.operators import audits
@@ -48,3 +49,42 @@ def test_audit_finds_each_kind(spark):
     assert found["raw_materials", "not_null:MaterialName"] == 1
     assert found["component_composition", "check:WeightInGrams"] == cc.count()
     assert found["component_composition", "foreign_key:MaterialID->raw_materials.MaterialID"] > 0
+
+
+def test_audit_counts_rows_that_break_two_column_checks_and_quantities(spark):
+    """Planted rows: a quantity of 0, a sourcing row of both kinds and one of neither, two orphans of one key, a NULL key."""
+    t = seed_tables(spark)
+    bom, so = t.bill_of_material, t.sourcing
+    first = so.orderBy("SourcingID").limit(1)
+    both = first.withColumn("SourcingID", F.lit(901)).withColumn("ComponentID", F.lit("C100")).withColumn("MaterialID", F.lit("M1"))
+    none = first.withColumn("SourcingID", F.lit(902)).withColumn("ComponentID", F.lit(None).cast("string")) \
+        .withColumn("MaterialID", F.lit(None).cast("string"))
+    lost = bom.limit(1).withColumn("ParentComponentID", F.explode(F.array(F.lit("nowhere"), F.lit("NoWhere")))) \
+        .withColumn("Quantity", F.lit(0).cast(bom.schema["Quantity"].dataType))
+    no_key = t.products.limit(1).withColumn("ProductID", F.lit(None).cast("string"))
+    broken = t.replace(sourcing=so.unionByName(both.select(*so.columns)).unionByName(none.select(*so.columns)),
+                       bill_of_material=bom.unionByName(lost.select(*bom.columns)), products=t.products.unionByName(no_key))
+    clean = {(r.table_name, r.check_name): r.violations for r in audits.audit_report(t).collect()}
+    found = {(r.table_name, r.check_name): r.violations for r in audits.audit_report(broken).collect()}
+    assert set(clean.values()) == {0} and len(found) == len(audits.RULES)
+    hit = {k: v for k, v in found.items() if v}
+    assert hit.pop(("sourcing", "check:ComponentID,MaterialID")) == 2
+    assert hit.pop(("bill_of_material", "check:Quantity")) == 2
+    assert hit.pop(("bill_of_material", "primary_key:ParentComponentID,ChildComponentID")) == 1     # NoWhere = nowhere
+    assert hit.pop(("bill_of_material", "foreign_key:ParentComponentID->components.ComponentID")) == 2
+    assert hit.pop(("products", "not_null:ProductID")) == 1
+    assert set(hit) <= {("sourcing", "foreign_key:MaterialID->raw_materials.MaterialID")}           # if M1 is no material
+
+
+def test_audit_reads_each_table_once_in_few_shuffles(spark, tmp_path):
+    from tracewise.sources.tables import TABLE_NAMES, load_all
+
+    t = seed_tables(spark)
+    for name in TABLE_NAMES:
+        getattr(t, name).write.parquet(f"{tmp_path}/{name}")
+    report = audits.audit_report(load_all(spark, str(tmp_path)))
+    plan = report._jdf.queryExecution().sparkPlan().toString() + report._jdf.queryExecution().executedPlan().toString()
+    executed = report._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") <= 10 and plan
+    assert executed.count("FileScan parquet") == len({r.table for r in audits.RULES})
+    assert report.count() == len(audits.RULES)

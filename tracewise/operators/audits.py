@@ -2,10 +2,9 @@
 declares and Spark does not enforce (Q1-Q6).
 
 The rules are data (``RULES``); ``audit_report`` evaluates them all and
-returns one row per rule with its violation count. Row-level rules of a
-table (NOT NULL, CHECK, length) are counted in one aggregate pass over that
-table; key duplicates are a grouped count; orphans one left-anti join per
-referenced table for all foreign keys pointing at it.
+returns one row per rule with its violation count. Each table is read once, its
+keys, references and broken row-level rules (NOT NULL, CHECK, length) are tagged by
+rule, and one grouped pass counts them all.
 Text keys compare case-insensitively, as the database's default collation.
 """
 
@@ -18,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import checkpointed
 from ..sources.tables import LifecycleTables
 
 
@@ -102,74 +100,61 @@ def _violation(rule: Rule):
     raise ValueError(rule.kind)
 
 
-def _one_row(table: str, name: str, count_col) -> DataFrame:
-    return count_col.select(F.lit(table).alias("table_name"), F.lit(name).alias("check_name"),
-                            F.col("violations").cast("bigint").alias("violations"))
+def _key_text(table: str, columns: tuple[str, ...]):
+    """One text per key as the database compares it, NULL if any part is; parts carry their length."""
+    parts = [_key(table, c).cast("string") for c in columns]
+    return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
-def audit_report(t: LifecycleTables, rules: list[Rule] = RULES,
-                 materialize: bool = False) -> DataFrame:
+def audit_report(t: LifecycleTables, rules: list[Rule] = RULES) -> DataFrame:
     """One row per rule: table_name, check_name, violations (Q1-Q6).
 
-    With ``materialize`` every table read by more than one rule is first
-    checkpointed to the shared checkpoint folder, for tables that are derived
-    views (costly to recompute per rule); stored tables need no copy.
+    Every table is read once. Each of its rows is exploded into tagged items: its keys, its references and the
+    row-level rules it breaks. A key and the references to it share a ``space``; a reference carries
+    its rule as a ``slot``, a key the slot -1. One grouped pass over (space, key) then shows duplicate keys (two or more of slot
+    -1) and orphans (references without one); a hot key or a rule that every row breaks is combined before the shuffle.
     """
-    if materialize:
-        uses: dict[str, int] = {}
-        for r in rules:
-            for name in (r.table, *([r.ref[0]] if r.ref else [])):
-                uses[name] = uses.get(name, 0) + 1
-        t = t.replace(**{n: checkpointed(getattr(t, n))
-                         for n, k in uses.items() if k > 1})
-    frames: list[DataFrame] = []
-    by_table: dict[str, list[Rule]] = {}
-    for r in rules:
-        if r.kind in ("not_null", "check", "length"):
-            by_table.setdefault(r.table, []).append(r)
-    for table, rs in by_table.items():
-        df = getattr(t, table)
-        agg = df.agg(*[F.count_if(_violation(r)).alias(f"_{i}") for i, r in enumerate(rs)])
-        pairs = F.array(*[F.struct(F.lit(r.name).alias("check_name"),
-                                   F.col(f"_{i}").alias("violations"))
-                          for i, r in enumerate(rs)])
-        frames.append(agg.select(F.explode(pairs).alias("p")).select(
-            F.lit(table).alias("table_name"), F.col("p.check_name").alias("check_name"),
-            F.col("p.violations").cast("bigint").alias("violations")))
+    items: dict[str, list] = {}
+    spaces: dict[tuple, int] = {}
+    slots: dict[tuple[int, int], Rule] = {}
+
+    def add(table: str, space: int, slot: int, key) -> None:
+        item = F.struct(F.lit(space).alias("space"), F.lit(slot).alias("slot"), key.alias("key"))
+        items.setdefault(table, []).append(F.when(key.isNotNull(), item))
+
+    def space_of(table: str, columns: tuple[str, ...]) -> int:
+        if (table, columns) not in spaces:
+            spaces[table, columns] = len(spaces)
+            add(table, spaces[table, columns], -1, _key_text(table, columns))
+        return spaces[table, columns]
+
     for r in rules:
         if r.kind in ("primary_key", "unique"):
-            df = getattr(t, r.table)
-            keys = [_key(r.table, c).alias(f"_k{i}") for i, c in enumerate(r.columns)]
-            notnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns])
-            dup = df.filter(notnull).groupBy(*keys).count().filter(F.col("count") > 1)
-            frames.append(_one_row(r.table, r.name, dup.agg(F.count(F.lit(1)).alias("violations"))))
-    frames.extend(_orphan_counts(t, [r for r in rules if r.kind == "foreign_key"]))
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _orphan_counts(t: LifecycleTables, fks: list[Rule]) -> list[DataFrame]:
-    """Q2 per referenced table: the keys of every foreign key pointing at it,
-    tagged by rule, meet the referenced keys in one anti-join (the referenced
-    table is shuffled once, not once per foreign key). Rules without orphans
-    get a 0 row."""
-    by_parent: dict[tuple[str, str], list[Rule]] = {}
-    for r in fks:
-        by_parent.setdefault(r.ref, []).append(r)
-    out = []
-    for (ptable, pcol), rs in by_parent.items():
-        child = reduce(DataFrame.unionByName, [
-            getattr(t, r.table).filter(F.col(r.columns[0]).isNotNull()).select(
-                F.lit(r.table).alias("table_name"), F.lit(r.name).alias("check_name"),
-                _key(r.table, r.columns[0]).alias("_k"))
-            for r in rs])
-        parent = getattr(t, ptable).select(_key(ptable, pcol).alias("_k"))
-        counts = child.join(parent, "_k", "left_anti").groupBy("table_name", "check_name") \
-            .agg(F.count(F.lit(1)).alias("violations"))
-        names = counts.sparkSession.range(1).select(F.explode(F.array(*[
-            F.struct(F.lit(r.table).alias("table_name"), F.lit(r.name).alias("check_name"))
-            for r in rs])).alias("n")).select("n.*")
-        out.append(names.join(F.broadcast(counts), ["table_name", "check_name"], "left")
-                   .select("table_name", "check_name",
-                           F.coalesce(F.col("violations"), F.lit(0)).cast("bigint")
-                           .alias("violations")))
-    return out
+            slots[space_of(r.table, r.columns), -1] = r
+        elif r.kind == "foreign_key":
+            space = space_of(r.ref[0], (r.ref[1],))
+            slot = sum(s == space and k >= 0 for s, k in slots)
+            slots[space, slot] = r
+            add(r.table, space, slot, _key_text(r.table, r.columns))
+        else:
+            space = spaces[r] = len(spaces)
+            slots[space, 0] = r
+            add(r.table, space, 0, F.when(_violation(r), F.lit("")))
+
+    tagged = reduce(DataFrame.unionByName, [
+        getattr(t, table).select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        for table, found in items.items()])
+    most = max(k for _, k in slots) + 1
+    keyed = tagged.groupBy("space", "key").agg(
+        F.count_if(F.col("slot") == -1).alias("_own"), *[F.count_if(F.col("slot") == i).alias(f"_{i}") for i in range(most)])
+    counts = keyed.groupBy("space").agg(
+        F.count_if(F.col("_own") > 1).alias("_dup"),
+        *[F.sum(F.when(F.col("_own") == 0, F.col(f"_{i}"))).alias(f"_{i}") for i in range(most)])
+    found = counts.select("space", F.explode(F.array(
+        F.struct(F.lit(-1).alias("slot"), F.col("_dup").alias("n")),
+        *[F.struct(F.lit(i).alias("slot"), F.col(f"_{i}").alias("n")) for i in range(most)])).alias("x")).select("space", "x.*")
+    named = tagged.sparkSession.createDataFrame(
+        [(r.table, r.name, space, slot) for (space, slot), r in slots.items()],
+        "table_name string, check_name string, space int, slot int")
+    return named.join(F.broadcast(found), ["space", "slot"], "left").select(     # a few rows per rule
+        "table_name", "check_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
