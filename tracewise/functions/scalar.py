@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -37,6 +37,26 @@ def ci_prefix(c: str | Column, prefix: str) -> Column:
     return ci(c).startswith(prefix)
 
 
+def _without_keys(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.endswith("_key") and c[:-4] in df.columns])
+
+
+def key_in(df: DataFrame, column: str, ids: Iterable[str]) -> DataFrame:
+    """Rows whose text key is one of ``ids``, case-insensitively (P1, P2). On a table stored with lower-case
+    keys (``sources.keyed``) a plain filter that the scan takes; its key columns are dropped."""
+    ids = list(ids)
+    if f"{column}_key" in df.columns:
+        return _without_keys(df.filter(F.col(f"{column}_key").isin([i.lower() for i in ids])))
+    return df.filter(component_in(column, ids))
+
+
+def key_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose text key starts with ``prefix``, case-insensitively (P3); pushed like :func:`key_in`."""
+    if f"{column}_key" in df.columns:
+        return _without_keys(df.filter(F.col(f"{column}_key").startswith(prefix.lower())))
+    return df.filter(ci_prefix(column, prefix))
+
+
 def grade_score(c: str | Column, case_sensitive: bool = False) -> Column:
     """Recyclable grade to score: A 4, B 3, C 2, D 1, anything else 0 (F1).
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.scalar import ci_eq, component_in, hazard_flag, hazard_label
+from ..functions.scalar import ci_eq, hazard_flag, hazard_label, key_in
+from .ranking import concat_within
 from .skew import plain
 
 
@@ -68,15 +69,14 @@ def _children(bom: DataFrame, components: DataFrame) -> DataFrame:
 def component_details(components: DataFrame, bom: DataFrame) -> DataFrame:
     """Child names joined by ', ' in child-id order, else 'No subcomponents' (A9).
 
-    One string per parent is the output itself, so one parent's children are
-    gathered in one task; no cut at any length (T10).
+    A parent's children are joined in two levels (``ranking.concat_within``), so the sort of a
+    parent with very many is spread over tasks; no cut at any length (T10).
     """
     kids = bom.join(components.select(F.col("ComponentID").alias("ChildComponentID"),
                                       F.col("ComponentName").alias("ChildName")),
                     "ChildComponentID")
-    lists = kids.groupBy(F.col("ParentComponentID").alias("ComponentID")).agg(
-        F.expr("listagg(ChildName, ', ') within group "
-               "(order by ChildComponentID, ChildName)").alias("_list"))
+    lists = concat_within(kids.select(F.col("ParentComponentID").alias("ComponentID"), "ChildComponentID", "ChildName"),
+                          "ComponentID", ["ChildComponentID", "ChildName"], "ChildName", "_list")
     return components.join(lists, "ComponentID", "left").select(
         "ComponentID", "ComponentName",
         F.coalesce(F.col("_list"), F.lit(schemas.NO_SUBCOMPONENTS)).alias("Details"))
@@ -90,14 +90,11 @@ def component_summary(components: DataFrame, bom: DataFrame,
     Components, in child-id order; a leaf reads ``0 subcomponents: No
     subcomponents`` (T9). ``ids`` narrows to a case-insensitive id list (P2).
     """
-    comps = components if ids is None else components.filter(component_in("ComponentID", ids))
-    edges = bom if ids is None else bom.filter(component_in("ParentComponentID", ids))
+    comps = components if ids is None else key_in(components, "ComponentID", ids)
+    edges = bom if ids is None else key_in(bom, "ParentComponentID", ids)
     item = F.concat(F.col("ChildName"), F.lit(" (x"), F.col("Quantity").cast("string"), F.lit(")"))
-    per_parent = _children(edges, components).withColumn("_item", item) \
-        .groupBy(F.col("ParentComponentID").alias("ComponentID")).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.expr("listagg(_item, ', ') within group "
-                   "(order by ChildComponentID, _item)").alias("_list"))
+    kids = _children(edges, components).select(F.col("ParentComponentID").alias("ComponentID"), "ChildComponentID", item.alias("_item"))
+    per_parent = concat_within(kids, "ComponentID", ["ChildComponentID", "_item"], "_item", "_list", count="_n")
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("string")
     summary = F.concat(n, F.lit(schemas.SUBCOMPONENTS_INFIX),
                        F.coalesce(F.col("_list"), F.lit(schemas.NO_SUBCOMPONENTS)))

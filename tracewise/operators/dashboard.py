@@ -95,3 +95,20 @@ def recyclability_score(cc: DataFrame, rm: DataFrame, by: str | None = None,
         rm.select("MaterialID", "RecyclableGrade"), "MaterialID")
     score = grade_score("RecyclableGrade", case_sensitive)
     return j.groupBy(by).agg(*_score_cols(F.sum(w), F.sum(w * score)))
+
+
+def score_by_product(product_root: DataFrame, bom: DataFrame, cc: DataFrame, rm: DataFrame,
+                     case_sensitive: bool = False) -> DataFrame:
+    """The weighted score of each product's parts: its root's direct children, a child once per BOM row (A5).
+
+    Composition is reduced per component and edges per (product, component) first, so the (edge x material) rows are never built.
+    """
+    from .bom import _product_edges
+    from .skew import plain
+
+    w = F.col("WeightInGrams")
+    per = (cc.select("ComponentID", "MaterialID", "WeightInGrams")
+           .join(rm.select("MaterialID", grade_score("RecyclableGrade", case_sensitive).alias("_score")), "MaterialID")
+           .groupBy("ComponentID").agg(F.sum(w).alias("_w"), F.sum(w * F.col("_score")).alias("_ws")))
+    j = _product_edges(product_root, bom).join(plain(per), "ComponentID")
+    return j.groupBy("ProductID").agg(*_score_cols(F.sum(F.col("_w") * F.col("_edges")), F.sum(F.col("_ws") * F.col("_edges"))))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ci_prefix, grade_score
+from ..functions.scalar import grade_score, key_prefix
 from .events import targets
 from .skew import plain
 
@@ -55,7 +55,7 @@ def features_global(pi: DataFrame, products: DataFrame, bom: DataFrame, cc: Data
     """Per instance: Σ weight, mean grade score (4 decimals), hazardous rows,
     distinct components over all BOM edges whose parent starts with
     ``prefix`` (case-insensitive), plus the target (A12, J7, J8, P3, A14)."""
-    edges = bom.filter(ci_prefix("ParentComponentID", prefix)) \
+    edges = key_prefix(bom, "ParentComponentID", prefix) \
         .groupBy(F.col("ChildComponentID").alias("ComponentID")) \
         .agg(F.count(F.lit(1)).alias("_edges"))
     one = _rollup(edges.join(_child_stats(cc, rm), "ComponentID"), []) \

@@ -21,10 +21,12 @@ from ..session import scratch_path
 
 def split(df: DataFrame, test_fraction: float = 0.3, seed: int = 42,
           key: str = "InstanceID") -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key: the same rows on every run and
-    every cluster size (M3). The reference's random rows cannot be reproduced."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) / 10_000.0
-    return df.filter(bucket >= test_fraction), df.filter(bucket < test_fraction)
+    """(train, test) by a hash of the key: the same rows on every run, every
+    cluster size and every engine that has MD5 (M3). The reference's random rows cannot be reproduced."""
+    text = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))
+    bucket = F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("long")
+    limit = F.lit(round(test_fraction * (1 << 24)))
+    return df.filter(bucket >= limit), df.filter(bucket < limit)
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str = "target",
@@ -43,11 +45,43 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "target",
     lr = LogisticRegression(featuresCol="features", labelCol="label",
                             regParam=1.0 / (stats["n"] * c), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter,
-                            tol=1e-6)
+                            tol=1e-9)
     data = train.withColumn("label", F.col(label).cast("double"))
     return Pipeline(stages=[assembler, lr]).fit(data)
 
 
+def coefficients(model: PipelineModel) -> tuple[list[float], float]:
+    """(weights, intercept) of a fitted model."""
+    lr = model.stages[-1]
+    return [float(x) for x in lr.coefficients], float(lr.intercept)
+
+
+def _probability(features: list[str], weights: list[float], intercept: float):
+    z = F.lit(float(intercept))
+    for f, w in zip(features, weights):
+        z = z + F.col(f) * F.lit(float(w))
+    return 1.0 / (1.0 + F.exp(-z))
+
+
+def gradient(train: DataFrame, features: list[str], weights: list[float], intercept: float,
+             label: str = "target", c: float = 1.0) -> DataFrame:
+    """(term, gradient, n_rows): the slope of the fitted objective (mean log loss plus the L2 term) along each
+    weight and the intercept, from one aggregate over the rows; all 0 at the optimum (M4)."""
+    error = _probability(features, weights, intercept) - F.col(label)
+    sums = train.agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("intercept"),
+                     *[F.avg(error * F.col(f)).alias(f"g_{f}") for f in features])
+    terms = [F.struct(F.lit("intercept").alias("term"), F.col("intercept").alias("gradient"))] + [
+        F.struct(F.lit(f).alias("term"), (F.col(f"g_{f}") + F.lit(float(w)) / (F.col("n") * c)).alias("gradient"))
+        for f, w in zip(features, weights)]
+    return sums.select(F.explode(F.array(*terms)).alias("t"), "n").select("t.term", "t.gradient", F.col("n").alias("n_rows"))
+
+
+def predict_given(df: DataFrame, features: list[str], weights: list[float], intercept: float) -> DataFrame:
+    """Adds ``p_recycle`` and ``prediction`` (0/1 int) from given coefficients, in the JVM's own expressions (M5)."""
+    return df.withColumn("p_recycle", _probability(features, weights, intercept)) \
+        .withColumn("prediction", (F.col("p_recycle") > 0.5).cast("int"))
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``prediction`` (0/1 int) and ``p_recycle`` (M5)."""
     out = model.transform(df)

@@ -84,3 +84,22 @@ def running_within(df: DataFrame, key: str | list[str], order: list[str], out: s
     return local.join(F.broadcast(carried), "_ks", "left").select(
         *df.columns, add("_n").cast("long").alias(out),
         *[add(f"_s{i}").alias(name) for i, name in enumerate(sums)])
+
+
+def concat_within(df: DataFrame, key: str, order: list[str], item: str, out: str, sep: str = ", ",
+                  count: str | None = None, partitions: int | None = None) -> DataFrame:
+    """(key, ``out``): the non-null ``item`` texts of each key joined in ``order``; with ``count`` also
+    the number of its rows.
+
+    Two levels: rows are range-partitioned on (key, order), every (partition, key) joins its own
+    items, and the strings are joined in the order of the partitions. A hot key's rows
+    are thus sorted and joined in as many tasks as they fill; only the strings meet in one.
+    """
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id())
+    by = ", ".join(f"`{o}`" for o in order)
+    pieces = rows.groupBy(key, "_part").agg(
+        F.expr(f"listagg(`{item}`, '{sep}') within group (order by {by})").alias("_piece"), F.count(F.lit(1)).alias("_rows"))
+    whole = pieces.groupBy(key).agg(
+        F.expr(f"listagg(_piece, '{sep}') within group (order by _part)").alias(out), F.sum("_rows").alias("_rows"))
+    return whole.withColumnRenamed("_rows", count) if count else whole.drop("_rows")

@@ -26,14 +26,17 @@ def chart_series(df: DataFrame, key: str, label: str, value: str,
     """Per ``key`` a chart payload ``{"labels": [...], "weights": [...]}`` as
     JSON text, points in ``order`` (default the label) (S5, F11).
 
-    One payload per key is the output, so a key's points are gathered in one
-    task by nature; the sort is by a unique order per point.
+    Points are gathered in two levels: range partitions on (key, order) sort their own, the
+    sorted pieces are joined in order, so a key with very many points is sorted in several tasks.
     """
     o = F.col(order) if isinstance(order, str) else (order if order is not None else F.col(label))
     pts = df.select(key, o.alias("_o"), F.col(label).alias("_l"),
                     F.col(value).cast("double").alias("_v"))
-    agg = pts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_o", "_l", "_v")))
-                               .alias("_pts"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pts.repartitionByRange(parts, key, "_o", "_l", "_v").withColumn("_part", F.spark_partition_id()) \
+        .groupBy(key, "_part").agg(F.sort_array(F.collect_list(F.struct("_o", "_l", "_v"))).alias("_piece"))
+    agg = pieces.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_part", "_piece"))).alias("_pieces")) \
+        .withColumn("_pts", F.flatten(F.transform("_pieces", lambda p: p["_piece"])))
     payload = F.struct(F.transform("_pts", lambda p: p["_l"]).alias("labels"),
                        F.transform("_pts", lambda p: p["_v"]).alias("weights"))
     return agg.select(key, F.to_json(payload).alias("chart"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.scalar import ci_eq, display_or_dash
+from ..functions.scalar import display_or_dash, key_in
 from .skew import plain
 
 
@@ -83,7 +83,7 @@ def sourcing_ids(suppliers: DataFrame, so: DataFrame) -> DataFrame:
 def supplier_summary(so: DataFrame, suppliers: DataFrame,
                      supplier_id: str | None = None) -> DataFrame:
     """Supplier name with each sourced component or material id."""
-    s = so if supplier_id is None else so.filter(ci_eq("SupplierID", supplier_id))
+    s = so if supplier_id is None else key_in(so, "SupplierID", [supplier_id])
     return s.select("SupplierID", "ComponentID", "MaterialID").join(
         suppliers.select("SupplierID", "SupplierName"), "SupplierID").select(
         "SupplierID", "SupplierName", "ComponentID", "MaterialID")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import hazard_label
 from ..operators import audits, bom, dashboard, events, features, gates, model, sourcing
 from ..operators.ranking import running_within
+from . import reports
 from ..session import checkpointed
 from ..sources.testdata import DriverTables
 
@@ -69,6 +70,13 @@ def score_by_component(spark, sf_dir):
                                          by="ComponentID", case_sensitive=False)
 
 
+@query
+def score_by_product(spark, sf_dir):
+    """A5 per product, F1 case-insensitive."""
+    t = _t(spark, sf_dir)[1]
+    return dashboard.score_by_product(t.product_root, t.bill_of_material, t.component_composition, t.raw_materials)
+
+
 # -- lifecycle ---------------------------------------------------------------
 @query
 def latest_state(spark, sf_dir):
@@ -151,6 +159,36 @@ def component_summary(spark, sf_dir):
     return bom.component_summary(t.components, t.bill_of_material)
 
 
+#: The ids by which the page reports below look up (any case, as the pages accept them).
+LISTED, PRODUCT, SUPPLIER, INSTANCE = ("c1", "C2", "k3", "c32", "K99", "none"), "p1", "s1", 7
+
+
+@query
+def hierarchy_report(spark, sf_dir, ids=LISTED):
+    """Summaries of a list of assemblies."""
+    return reports.hierarchy_report(_t(spark, sf_dir)[1], ids)
+
+
+@query
+def trace_report(spark, sf_dir, product=PRODUCT):
+    """P1, J5, T-2: the passport of one product."""
+    found = reports.trace_report(_t(spark, sf_dir)[1], product)["trace"]
+    return found.withColumn("WeightInGrams", F.col("WeightInGrams").cast("double"))
+
+
+@query
+def supplier_report(spark, sf_dir, supplier=SUPPLIER):
+    """What one supplier sources."""
+    t = _t(spark, sf_dir)[1]
+    return sourcing.supplier_summary(t.sourcing, t.suppliers, supplier)
+
+
+@query
+def lifecycle_report(spark, sf_dir, instance=INSTANCE):
+    """The events of one instance in order."""
+    return reports.lifecycle_report(_t(spark, sf_dir)[1], instance, AS_OF)["timeline"]
+
+
 @query
 def trace_all(spark, sf_dir):
     """One row per (BOM edge, material of the child)."""
@@ -370,14 +408,46 @@ def classification_report(spark, sf_dir):
     return model.classification_report(ts.withColumn("prediction", _rule_prediction()))
 
 
+def _split_set(spark, sf_dir):
+    """(train, test, feature names) of the scaled training set, materialised once: fitting reads it many times."""
+    ts = checkpointed(features.training_set(_by_product(spark, sf_dir)))
+    train, test = model.split(checkpointed(features.standard_scale(ts)))
+    return train, test, [c + "_z" for c in features.FEATURES]
+
+
+@query
+def train_test_split(spark, sf_dir):
+    """M3: every labelled instance with the part it falls into."""
+    ts = features.training_set(_by_product(spark, sf_dir)).select("InstanceID", "target")
+    train, test = model.split(ts)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query
+def fit_gradient(spark, sf_dir):
+    """M4: the objective's slope at the fitted weights on the training part, to three decimals: the optimum's is 0."""
+    train, _, cols = _split_set(spark, sf_dir)
+    weights, intercept = model.coefficients(model.fit_logistic(train, cols))
+    found = model.gradient(train, cols, weights, intercept)
+    return found.select("term", (F.round("gradient", 3) + 0.0).alias("gradient"), "n_rows")
+
+
+#: Weights by which predict_given_weights and its SQL score (in the order of FEATURES), and the intercept.
+GIVEN_WEIGHTS, GIVEN_INTERCEPT = [0.8, 1.1, -0.6, 0.3], 0.2
+
+
+@query
+def predict_given_weights(spark, sf_dir):
+    """M5: probability and class of every labelled instance from given weights."""
+    ts = checkpointed(features.training_set(_by_product(spark, sf_dir)))
+    scored = model.predict_given(features.standard_scale(ts), [c + "_z" for c in features.FEATURES], GIVEN_WEIGHTS, GIVEN_INTERCEPT)
+    return scored.select("InstanceID", "target", F.round("p_recycle", 6).alias("p_recycle"), "prediction")
+
+
 @query
 def train_predict(spark, sf_dir):
     """M3-M5: hash split, L2 logistic fit on the train part, test predictions."""
-    # Iterative fitting reads its input many times: materialise the scaled
-    # training set once in the shared checkpoint folder (cuts the lineage).
-    ts = checkpointed(features.training_set(_by_product(spark, sf_dir)))
-    train, test = model.split(checkpointed(features.standard_scale(ts)))
-    cols = [c + "_z" for c in features.FEATURES]
+    train, test, cols = _split_set(spark, sf_dir)
     fitted = model.fit_logistic(train, cols)
     return model.predict(fitted, test).select("InstanceID", "target", "prediction",
                                               F.round("p_recycle", 6).alias("p_recycle"))

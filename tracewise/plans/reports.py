@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bom, dashboard, events, sourcing
-from ..functions.scalar import ci_eq
+from ..functions.scalar import key_in
 from ..sources.tables import LifecycleTables
 
 HIERARCHY_IDS = ("c100", "c200", "c310")   # the report's fixed id list (case-insensitive)
@@ -32,10 +32,10 @@ def lifecycle_report(t: LifecycleTables, instance_id: int, as_of: str) -> dict[s
 
 def trace_report(t: LifecycleTables, product_id: str) -> dict[str, DataFrame]:
     """Model name and material passport of one product (E2 trace: P1, J5, T-2)."""
-    root = t.product_root.filter(ci_eq("ProductID", product_id))
+    root = key_in(t.product_root, "ProductID", [product_id])
     passport = bom.material_passport(root, t.bill_of_material, t.components,
                                      t.component_composition, t.raw_materials)
-    return {"product": t.products.filter(ci_eq("ProductID", product_id)),
+    return {"product": key_in(t.products, "ProductID", [product_id]),
             "trace": bom.trace_report(passport, product_id)}
 
 
