@@ -64,7 +64,7 @@ def test_merge_equals_brute_force_on_any_vocabulary():
     for _ in range(150):
         tokens = {bytes([c]) for c in b"abc"} | {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(25)}
         order = sorted(tokens, key=lambda t: (len(t) > 1, rng.random()))
-        ranks = {t: i for i, t in enumerate(order)}
+        ranks = bpe.Ranks({t: i for i, t in enumerate(order)})
         queue = bpe.RankQueue(len(ranks))
         for n in (1, 2, 5, 30):
             piece = bytes(rng.choices(b"abc", k=n))

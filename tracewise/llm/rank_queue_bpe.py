@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import read, worker_cache
 
 #: Pre-tokens kept in a worker's memo, the longest of them, and the length from which links are compact arrays.
-MEMO_PIECES, MEMO_CHARS, LONG = 500_000, 64, 4096
+MEMO_PIECES, MEMO_CHARS, LONG = 1_000_000, 64, 4096
 #: Bits in a word of the bitmap: 256 words of 256 bits hold 65,536 ranks (more ranks: a longer top word).
 WORD = 256
 BIT = [1 << k for k in range(WORD * 8)]
@@ -80,21 +80,34 @@ class RankQueue:
         return rank, bucket[0]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token."""
+class Ranks(dict):
+    """Rank of every token by its bytes; those of single bytes and of pairs of bytes also in lists."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.one = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.two = [-1] * 65536
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = rank
+
+
+def merge(piece: bytes, ranks: Ranks, queue: RankQueue) -> list[int]:
+    """Ids of one pre-token; a merged symbol's id is the rank of its merge."""
     n, rank_of, push, pop = len(piece), ranks.get, queue.push, queue.pop
     right, left = range(1, n + 1), range(-1, n - 1)
-    right, left = (array("q", right), array("q", left)) if n > LONG else (list(right), list(left))
-    pair = [-1] * n if n <= LONG else array("q", [-1]) * n
-    for i in range(n - 1):
-        rank = rank_of(piece[i:i + 2])
-        if rank is not None:
-            pair[i] = rank
+    ids, two = map(ranks.one.__getitem__, piece), ranks.two
+    pair = (two[a << 8 | b] for a, b in zip(piece, piece[1:] + b"\0"))
+    right, left, ids, pair = [array("q", x) if n > LONG else list(x) for x in (right, left, ids, pair)]
+    pair[n - 1] = -1
+    for i, rank in enumerate(pair):
+        if rank >= 0:
             push(rank, i)
     while queue.top:
         rank, i = pop()
         if pair[i] != rank:
             continue        # stale: the pair has changed or is gone
+        ids[i] = rank
         gone = right[i]
         right[i] = end = right[gone]
         pair[gone] = pair[i] = -1
@@ -114,9 +127,10 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
                 push(rank, before)
     out, i = [], 0
     while i < n:
-        end = right[i]
-        out.append(ranks[piece[i:end]])
-        i = end
+        if ids[i] < 0:
+            raise KeyError(piece[i:i + 1])
+        out.append(ids[i])
+        i = right[i]
     return out
 
 
@@ -138,7 +152,7 @@ class Encoder(dict):
         import regex
 
         super().__init__()
-        self.ranks = load_ranks(path)
+        self.ranks = Ranks(load_ranks(path))
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.matches = regex.compile(pattern).finditer
         self.runs = regex.compile(r"\s{2,}").finditer if pattern == CUT_AT_BLANKS else None
@@ -227,17 +241,34 @@ def decoder(path: str):
     return text
 
 
-def ids_digest(ids: str) -> Column:
-    """SHA-256 of a list of ids as little-endian unsigned 32-bit numbers."""
+def digests(path: str, pattern: str):
+    """Arrow function: text to (number of ids, SHA-256 of the ids as little-endian unsigned 32-bit numbers, SHA-256 of the
+    bytes decoded from them). Encoding and decoding run in one worker, so no list of ids leaves it."""
 
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import hashlib
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from hashlib import sha256
+
+        import numpy as np
 
+        cache = worker_cache("rank_queue_bpe:" + path)
+        if "encoder" not in cache:
+            cache["encoder"] = Encoder(path, pattern)
+        encode = cache["encoder"].encode
+        if "tokens" not in cache:
+            cache["tokens"] = {rank: token for token, rank in cache["encoder"].ranks.items()}
+        token = cache["tokens"].__getitem__
         for batch in batches:
-            yield pa.array([hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() for ids in rows_of(batch)], pa.string())
+            rows: list[tuple] = []
+            for text in batch:
+                ids = encode(text.as_py() or "")
+                back = b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
+                rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(back).hexdigest()))
+            n, ids_sha, back_sha = zip(*rows) if rows else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())],
+                                             names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return digest(ids)
+    return found
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -254,7 +285,5 @@ def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"),
-                        F.sha2(decode("ids", path), 256).alias("decoded_sha256"))
+    found = digests(path, public_tokenizers.PATTERN)(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", found.alias("found")).select("doc_id", "found.*")
