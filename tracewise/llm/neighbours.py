@@ -218,7 +218,7 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 20, beam:
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     q = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))) \
-        .select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+        .select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector")).distinct()      # a repeated query row is one query
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     q = q.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vector") \
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -210,13 +211,14 @@ def encode_texts(texts: list[str], pieces: Pieces) -> list[bytes]:
             for t in texts]
 
 
-MANIFEST = "path string, first_doc long, documents long, ids long"
+MANIFEST = "path string, part long, file long, first_doc long, documents long, ids long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None = None) -> DataFrame:
     """Write (doc_id, text) of ``docs`` as token-ID files below ``folder``;
-    returns the manifest (path, first_doc, documents, ids), one row per file."""
+    returns the manifest (path, part, file, first_doc, documents, ids), one row per file: the file-th of range
+    partition ``part``, which orders files even where one doc_id fills several."""
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +226,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
         if path not in cache:
             cache[path] = Pieces(path)
         pieces = cache[path]
-        writer = None
+        writer, part, files = None, TaskContext.get().partitionId(), 0
 
         def closed():
             writer.close()
-            return pa.RecordBatch.from_pylist([{"path": name, "first_doc": first, "documents": writer.count,
-                                                "ids": writer.values}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"path": name, "part": part, "file": files, "first_doc": first,
+                                                "documents": writer.count, "ids": writer.values}], schema=schema)
 
-        schema = pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())])
+        schema = pa.schema([("path", pa.string()), ("part", pa.int64()), ("file", pa.int64()), ("first_doc", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())])
         for batch in batches:
             doc_ids, col = batch.column(0).to_pylist(), batch.column(1)
             for a, b in row_slices(pc.fill_null(pc.binary_length(col), 0).to_pylist(), SLICE_BYTES):
@@ -243,7 +245,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
                     writer.add(doc_id, data + end)
                     if writer.size >= FILE_BYTES:
                         yield closed()
-                        writer = None
+                        writer, files = None, files + 1
         if writer is not None:
             yield closed()
 
@@ -253,9 +255,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Every document of a (stored) manifest's files: doc_id, start (ids of all
-    documents before it, over all files by first_doc), n_tokens, ids_crc32.
+    documents before it, over all files by part and file), n_tokens, ids_crc32.
     One manifest row stands for up to FILE_BYTES of data."""
-    before = W.orderBy(F.col("first_doc").asc_nulls_first(), "path").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("part", "file").rowsBetween(W.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -280,7 +282,7 @@ def read_documents(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[in
     """Ids of a few documents: only files whose range holds them are opened,
     only their frames decompressed."""
     out: dict[int, list[int]] = {}
-    files = manifest.orderBy(F.col("first_doc").asc_nulls_first()).select("path", "first_doc").toLocalIterator()
+    files = manifest.orderBy("part", "file").select("path", "first_doc").toLocalIterator()
     files = [(r.path, r.first_doc) for r in files]
     for wanted in doc_ids:
         for k, (path, first) in enumerate(files):
