@@ -15,11 +15,11 @@ with the concentration of a sum of T nearly independent draws.
    the share of agreeing bins (MARGIN is 4.5 standard deviations below the threshold,
    so a link passes but for a chance of about 1e-5), then exactly on the full sets.
 4. Components of these links. Buckets whose members are still in different components
-   are searched again, in blocks of BLOCK members with their full sets: pairs of different
-   components, each only in its first common bucket, by bins and then exactly, best
-   agreement first, until no two components of the block can still be joined. Only the
-   joining links leave the task, so no link that joins components is lost
-   and a group of m members makes m - 1 rows at most.
+   are searched again, by sketches alone, in blocks of BLOCK members: each member proposes its
+   best-agreeing pairs with other components, the pairs not tried before are
+   confirmed on full sets and merged, and the next of ROUNDS proposes more. The last proposes every
+   likely pair left, so no link that joins components is lost. Full sets travel with
+   proposed pairs only, never with bucket members.
 5. Components of all links, by alternating large-star and small-star steps on
    stored tables; nothing but counts reaches the driver.
 
@@ -31,7 +31,7 @@ with fewer words than a shingle has its whole word sequence as one; null, empty
 blank text has the empty set and is linked with nothing; rows without a
 doc_id are classed with equal texts but never represent or link a class;
 repeated doc_ids count as one document with all its texts; an empty
-table gives no rows; extra columns are ignored (see keep_representatives).
+table gives no rows; extra columns are ignored (keep_representatives: carried).
 """
 
 from __future__ import annotations
@@ -46,7 +46,9 @@ from pyspark.sql import functions as F
 from .common import drop, read, stored, worker_cache
 from .quality_rules import WordHashes
 
-T, BANDS, ROWS, MARGIN, BLOCK = 192, 38, 5, 0.13, 256
+T, BANDS, ROWS, MARGIN, BLOCK = 192, 38, 5, 0.13, 4096
+#: Pairs that a member proposes per bucket (or pair of blocks) and round; the last round takes all that are left.
+ROUNDS = (1, 8, 64, None)
 FILTER_BITS = 26        # 8 MB Bloom filter of the documents whose full sets are needed
 PRIME, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 EMPTY = np.iinfo(np.uint64).max
@@ -104,11 +106,11 @@ def buckets(bins: np.ndarray) -> np.ndarray:
     return h
 
 
-SKETCH = "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>"
+SKETCH = "doc_id long, n long, h1 long, h2 long, sig binary, bands array<long>, row1 long, row2 long"
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: size and 128-bit hash of the shingle set, one byte per bin, bucket of each band."""
+    """Per row of (doc_id, text, row1, row2): size and 128-bit hash of the shingle set, one byte per bin, bucket of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -126,9 +128,10 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                              (bins & np.uint64(255)).astype(np.uint8).tobytes(), buckets(bins).view(np.int64)))
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n", "h1", "h2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)] + [batch.column(2), batch.column(3)],
+                                             names=["doc_id", "n", "h1", "h2", "sig", "bands", "row1", "row2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text", "row1", "row2").mapInArrow(run, SKETCH)
 
 
 def agree_count(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -208,10 +211,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         .withColumn("slot", id_slot("doc_id")).mapInArrow(run, "doc_id long, set binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str, scratch: list[str]) -> DataFrame:
-    """The stored (a, b) pairs that are links on the full sets."""
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str, own: list[str], scratch: list[str]) -> DataFrame:
+    """The stored (a, b) pairs that are links on the full sets. The sets' path goes to
+    ``own``, the links' to ``scratch``."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(full_sets(docs, ids, n), f"{name}-sets", scratch)
+    sets = stored(full_sets(docs, ids, n), f"{name}-sets", own)
     links = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a") \
         .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b") \
         .where(similar(percent)(F.col("set_a"), F.col("set_b"))).select("a", "b")
@@ -252,77 +256,113 @@ def components(links: DataFrame, scratch: list[str]) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def cross_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that join different components of one bucket. Input rows: bucket,
-    band, hub, id, component, n, sig, bands, set, and size (members of the bucket)."""
+def cross_pairs(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Likely pairs (a, b) of different components in one bucket: of every member the
+    ``most`` with the best agreement in each block pair, or all of them (None). Input rows:
+    bucket, hub, size (members of the bucket), id, component, n, sig. A bucket of up to BLOCK
+    members is one group; a larger one is dealt over blocks, every pair of blocks a group."""
     least = (percent / 100 - MARGIN) * T
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rows = (members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
 
-    def joining(group: list[tuple]) -> list[tuple]:
-        """Joining links of one (bucket, lo, hi) group of at most two blocks."""
-        ids, comps, sizes, owns, hub, band, lo, hi = (np.array([g[k] for g in group]) for k in (0, 1, 2, 3, 6, 7, 8, 9))
+    def likely_pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, comps, sizes, owns = (np.array([g[k] for g in group]) for k in range(4))
         sig = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(-1, T)
-        bands = np.array([g[5] for g in group])
-        sets = [np.frombuffer(g[11], np.uint64) for g in group]
-        out = []
-        for i in range(len(group)):
-            if ids[i] == hub[0]:        # compared with all members before
+        hub, (_, lo, hi) = group[0][5], group[0][6:9]
+        found, waiting = [], 0
+        for i in np.flatnonzero(ids != hub):        # the hub was compared with all members before
+            fits = (comps != comps[i]) & (ids != hub) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            if lo != hi:
+                fits &= owns != owns[i]
+            if most is None:
+                fits &= ids > ids[i]
+            j = np.flatnonzero(fits)
+            if not len(j):
                 continue
-            j = np.flatnonzero((ids > ids[i]) & (comps != comps[i]) & (ids != hub[0])
-                               & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-                               & ((lo[0] == hi[0]) | (owns != owns[i])))
-            if len(j):
-                agree = (sig[j] == sig[i]).sum(1)
-                j = j[np.argsort(-agree, kind="stable")][:int((agree >= least).sum())]
-            if len(j):
-                j = j[(bands[j] == bands[i]).argmax(1) == band[0]]
-            for k in j:
-                if comps[k] != comps[i]:        # else joined by a link found here
-                    total = len(sets[i]) + len(sets[k])
-                    both = total - len(np.union1d(sets[i], sets[k]))
-                    if 100 * both >= percent * (total - both):
-                        out.append((int(ids[i]), int(ids[k])))
-                        comps[comps == comps[k]] = comps[i]
-        return out
+            agree = (sig[j] == sig[i]).sum(1)
+            j, agree = j[agree >= least], agree[agree >= least]
+            if most is not None and len(j) > most:
+                j = j[np.lexsort((ids[j], -agree))[:most]]
+            found.append(np.stack((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]))))
+            waiting += len(j)
+            if waiting > 1 << 16:
+                yield pairs_of(found)
+                found, waiting = [], 0
+        if waiting:
+            yield pairs_of(found)
+
+    def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
-
-        def done(found):
-            cols = list(zip(*found)) if found else [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
-
         for batch in batches:
-            found = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                k = (row[10], row[8], row[9])
-                if k != key:
+                if row[6:9] != key:
                     if len(group) > 1:
-                        found += joining(group)
-                    key, group = k, []
+                        yield from likely_pairs(group)
+                    key, group = row[6:9], []
                 group.append(row)
-            yield done(found)
         if len(group) > 1:
-            yield done(joining(group))
+            yield from likely_pairs(group)
 
-    cols = ["id", "component", "n", "own", "sig", "bands", "hub", "band", "lo", "hi", "bucket", "set"]
-    return rows.select(*cols).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi") \
-        .mapInArrow(run, "a long, b long")
+    return rows.select("id", "component", "n", "own", "sig", "hub", "bucket", "lo", "hi") \
+        .repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi") \
+        .mapInArrow(run, "a long, b long").distinct()
+
+
+def cross_links(members: DataFrame, reps: DataFrame, docs: DataFrame, links: DataFrame, found: DataFrame, tried: DataFrame,
+                n: int, percent: int, owned: list[str], scratch: list[str]) -> DataFrame:
+    """Step 4: ``found`` after all links between members of one bucket. ``tried`` (a, b)
+    holds the pairs confirmed or refused so far."""
+    spark = docs.sparkSession
+    kept: list[str] = []        # tables of all rounds: links and tried pairs
+    for most in ROUNDS:
+        own: list[str] = []
+        member = stored(members.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")),
+                        "dedup-labelled", own)
+        open_ = stored(member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                       .where("lo <> hi").select("bucket"), "dedup-open", own)
+        if open_.isEmpty():
+            drop(spark, own)
+            break
+        wide = member.join(open_, "bucket").join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id")
+        pairs = stored(cross_pairs(wide, percent, most).join(tried, ["a", "b"], "left_anti"), "dedup-proposed", kept)
+        if not pairs.isEmpty():
+            joining = verified(pairs, docs, n, percent, "dedup-cross", own, kept)
+            tried = tried.unionByName(pairs)
+            if not joining.isEmpty():
+                links = links.unionByName(joining)
+                drop(spark, owned)
+                found = components(links, owned)
+        drop(spark, own)
+    scratch += kept
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text)."""
+    none = F.lit(None).cast("long")
+    return grouped(docs.select("doc_id", "text", none.alias("row1"), none.alias("row2")), shingle, percent) \
+        .select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """near_duplicates with the class (h1, h2) and the row name (row1, row2) of every row."""
     spark, scratch, owned = docs.sparkSession, [], []
-    docs = docs.select("doc_id", "text")
     rows = stored(sketches(docs, shingle), "dedup-sketches", scratch)
     classes = stored(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "dedup-classes", scratch)
     reps = stored(rows.where("n > 0 and doc_id is not null").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                   .select("doc_id", "n", "sig", "bands").dropDuplicates(["doc_id", "n", "sig"]), "dedup-representatives", scratch)
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    hubs = stored(banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "dedup-hubs", scratch)
+    # buckets with equal members (by count and hash sums of 32 bits each) are searched once
+    h = F.xxhash64("id")
+    hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size"), F.sum(F.shiftrightunsigned(h, 32)).alias("s1"),
+                                        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2")).where("size > 1")
+    hubs = stored(hubs.groupBy("hub", "size", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "hub", "size"), "dedup-hubs", scratch)
     members = stored(banded.join(hubs, "bucket"), "dedup-members", scratch)
 
     # step 3: every member against its bucket's smallest id
@@ -331,29 +371,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b")
                    .where(likely(percent)(F.col("sig_a"), F.col("n_a"), F.col("sig_b"), F.col("n_b"))).select("a", "b").distinct(),
                    "dedup-pairs", scratch)
-    links = verified(pairs, docs, shingle, percent, "dedup", scratch)
+    own: list[str] = []
+    links = verified(pairs, docs, shingle, percent, "dedup", own, scratch)
+    drop(spark, own)
     found = components(links, owned)
 
-    # step 4: buckets of three or more whose members are in different components
-    member = members.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    member = stored(member, "dedup-labelled", scratch)
-    split = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = stored(split, "dedup-split", scratch)
-    wide = stored(member.join(open_, "bucket"), "dedup-open", scratch)
-    if not wide.isEmpty():
-        ids = wide.select(F.col("id").alias("doc_id")).distinct()
-        sets = stored(full_sets(docs, ids, shingle), "dedup-open-sets", scratch).withColumnRenamed("doc_id", "id")
-        full = wide.join(reps.withColumnRenamed("doc_id", "id"), "id").join(sets, "id")
-        links = links.unionByName(stored(cross_links(full, percent).distinct(), "dedup-cross", scratch))
-        drop(spark, owned)
-        found = components(links, owned)
+    found = cross_links(members, reps, docs, links, found, pairs, shingle, percent, owned, scratch)
 
     # step 5: component of every class, then of every row
     labelled = stored(classes.join(found, classes["rep"] == found["id"], "left")
                       .select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "dedup-components", scratch)
-    out = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(labelled, ["h1", "h2"]) \
-        .select("doc_id", "n_shingles", "component_id") \
-        .unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    own_columns = ("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", "row1", "row2")
+    out = rows.where("n > 0").select(*own_columns).join(labelled, ["h1", "h2"]) \
+        .unionByName(rows.where("n = 0").select(*own_columns, F.col("doc_id").alias("component_id")))
     out = stored(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "dedup-result")
     drop(spark, scratch)
     drop(spark, owned)
@@ -361,10 +391,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, without the rows that are not kept. Dropped ids are
-    anti-joined; of rows with one doc_id all stay or none."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs``, all columns, with one row of each group and all rows without words.
+
+    Rows are named by two hashes of all their columns (maps apart). Of a group its smallest
+    doc_id stays, with one row per distinct set of shingles (the smallest name; of rows equal in
+    all columns one); of equal texts without any doc_id one row stays."""
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    every = [F.col(f"`{c}`") for c in plain]
+    name = lambda seed: F.xxhash64(F.lit(seed), *every, *[c.isNull() for c in every])
+    named = docs.withColumn("_dedup_row1", name(1)).withColumn("_dedup_row2", name(2))
+    flags = grouped(named.select("doc_id", "text", F.col("_dedup_row1").alias("row1"), F.col("_dedup_row2").alias("row2")), shingle, percent)
+    words = flags.where("n_shingles > 0").withColumn("row", F.struct("row1", "row2"))
+    stay = words.where("kept").groupBy("h1", "h2").agg(F.min("row").alias("row")).select("row.row1", "row.row2")
+    spark, scratch = docs.sparkSession, []
+    stay = stored(stay.withColumn("stays", F.lit(True)), "dedup-stay", scratch)
+    rows = words.groupBy("row1", "row2").agg(F.count("*").alias("copies")).join(stay, ["row1", "row2"], "left")
+    marked = stored(rows.where("stays is null or copies > 1").select(
+        F.col("row1").alias("_dedup_row1"), F.col("row2").alias("_dedup_row2"), F.col("stays").isNotNull().alias("_dedup_again")), "dedup-marked")
+    keys = ["_dedup_row1", "_dedup_row2"]
+    once = named.join(marked, keys, "left_anti")
+    again = marked.where("_dedup_again").select(*keys)
+    if not again.isEmpty():         # rows with an equal twin: only these are compared
+        once = once.unionByName(named.join(again, keys).dropDuplicates(keys))
+    drop(spark, scratch)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
