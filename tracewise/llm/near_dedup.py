@@ -48,7 +48,9 @@ from .quality_rules import WordHashes
 
 T, BANDS, ROWS, MARGIN, BLOCK = 192, 38, 5, 0.13, 4096
 #: Pairs that a member proposes per bucket (or pair of blocks) and round; the last round takes all that are left.
-ROUNDS = (1, 8, 64, None)
+ROUNDS = (2, 16, None)
+#: With fewer than one link in FEW proposed pairs, the rounds between are left out.
+FEW = 20
 FILTER_BITS = 26        # 8 MB Bloom filter of the documents whose full sets are needed
 PRIME, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 EMPTY = np.iinfo(np.uint64).max
@@ -320,7 +322,9 @@ def cross_links(members: DataFrame, reps: DataFrame, docs: DataFrame, links: Dat
     holds the pairs confirmed or refused so far."""
     spark = docs.sparkSession
     kept: list[str] = []        # tables of all rounds: links and tried pairs
-    for most in ROUNDS:
+    rounds, near = list(ROUNDS), None
+    while rounds:
+        most = rounds.pop(0)
         own: list[str] = []
         member = stored(members.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")),
                         "dedup-labelled", own)
@@ -329,12 +333,19 @@ def cross_links(members: DataFrame, reps: DataFrame, docs: DataFrame, links: Dat
         if open_.isEmpty():
             drop(spark, own)
             break
-        wide = member.join(open_, "bucket").join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id")
+        wide = stored(member.join(open_, "bucket"), "dedup-wide", own)
+        if near is None:        # members of open buckets; later rounds have no others
+            near = stored(reps.select(F.col("doc_id").alias("id"), "n", "sig").join(wide.select("id").distinct(), "id", "left_semi"),
+                          "dedup-near", kept)
+        wide = wide.join(near, "id")
         pairs = stored(cross_pairs(wide, percent, most).join(tried, ["a", "b"], "left_anti"), "dedup-proposed", kept)
         if not pairs.isEmpty():
             joining = verified(pairs, docs, n, percent, "dedup-cross", own, kept)
             tried = tried.unionByName(pairs)
-            if not joining.isEmpty():
+            new = joining.count()
+            if new * FEW < pairs.count():       # little left to join: the last round comes next
+                rounds = rounds[-1:]
+            if new:
                 links = links.unionByName(joining)
                 drop(spark, owned)
                 found = components(links, owned)
