@@ -117,8 +117,13 @@ def threshold(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
                 low, high = a, b
                 break
             left -= n
-    rest = keys.where((F.col("gumbel_key") >= low) & (F.col("gumbel_key") <= high))
-    last = rest.orderBy(F.desc("gumbel_key"), F.asc_nulls_first("doc_id")).limit(left).collect()[-1]
+    # rows that tie share a doc_id, but for chance; they come as one count, and one group at a time
+    rest = keys.where((F.col("gumbel_key") >= low) & (F.col("gumbel_key") <= high)) \
+        .groupBy("gumbel_key", "doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("gumbel_key"), F.asc_nulls_first("doc_id"))
+    for last in rest.toLocalIterator():
+        left -= last["n"]
+        if left <= 0:
+            break
     return last["gumbel_key"], last["doc_id"]
 
 
