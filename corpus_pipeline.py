@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.llm import language, mixing, near_dedup, piece_lattice, secret_scan
-from tracewise.llm.common import read, stored
+from tracewise.llm.common import drop, read, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least share of n-grams that the predicted language knows.
@@ -38,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are covered by a mark; n_chars follows the text."""
-    model = secret_scan.train(secret_scan.samples(docs))
+    scratch: list[str] = []
+    model = secret_scan.train(secret_scan.samples(docs, scratch=scratch))
+    drop(spark, scratch)
     return _documents(secret_scan.redact(docs, model).withColumn("n_chars", F.length("text").cast("long")))
 
 

@@ -4,8 +4,9 @@ The base patterns (kinds assign, access, hex) are matched over the whole text;
 the method adds spans of kind ``random``: runs of token characters that a first-order
 Markov model of random strings explains better than one of ordinary
 identifiers, by log-likelihood ratio per character. Both models are trained in
-Spark from labelled samples (character-pair counts; at most 66 x 66 x 2 sums reach
-the driver). All base and random spans lie in words of 20 characters or
+Spark from four fifths of the labelled samples (character-pair counts; at most 66 x 66 x 2 sums reach
+the driver); the other fifth sets the least ratio of a secret and measures recall and false
+positives (histograms of the ratio, a few thousand sums). All base and random spans lie in words of 20 characters or
 more, or behind a keyword, so other texts are dismissed by two cheap tests.
 
 Defined results: null is the empty text, which has no spans (hash of the
@@ -18,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fewest_hash, input_slices, read, stored, worker_cache
+from .common import drop, fewest_hash, input_slices, read, stored, worker_cache
 
 #: Fixed by the contract: kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -36,10 +39,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")      # of all runs [0-9a-f]+, those of 24 or
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KEYWORDS = ("passw", "secret", "token", "api")
 
-#: Candidates of the method, and its thresholds (nats per character; the rate is calibrated, see train).
+#: Candidates of the method: runs of at least LEAST_LENGTH token characters.
+LEAST_LENGTH = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-LEAST_RATE = 0.4
+#: Calibration on held-out samples: at most FALSE_RATE of the ordinary ones above the least ratio, and, if that
+#: leaves room, RECALL of the random ones. Without held-out samples of both labels the least ratio is LEAST_RATE
+#: (nats per character).
+FALSE_RATE, RECALL, LEAST_RATE, STEP = 1e-4, 0.99, 0.4, 0.01
 #: Documents (smallest hash of doc_id) whose words give the labelled samples.
 SAMPLE_DOCS = 2000
 
@@ -56,14 +63,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def rate(text: str, ratio: dict) -> float:
+    """Log-likelihood ratio per character of a string of LETTERS."""
+    word = "^" + text
+    return sum(map(ratio.get, map("".join, zip(word, word[1:])))) / len(text)
+
+
 def random_spans(text: str, model: dict, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, 3, end) of candidates that look random and touch no base span."""
     ratio, found = model["ratio"], []
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        word = "^" + m[0]
-        score = sum(map(ratio.get, map("".join, zip(word, word[1:])))) / (b - a)
-        if score >= model["least"] and all(b <= s or e <= a for s, _, e in base):
+        before = bisect_left(starts, b)         # base spans that start before the candidate ends
+        if (not before or ends[before - 1] <= a) and rate(m[0], ratio) >= model["least"]:
             found.append((a, 3, b))
     return found
 
@@ -77,21 +90,25 @@ def spans(text: str, model: dict | None) -> tuple[list, list]:
     return base, random_spans(text, model, base) if model else []
 
 
-def samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
+def samples(docs: DataFrame, limit: int = SAMPLE_DOCS, scratch: list[str] | None = None) -> DataFrame:
     """Labelled samples (text, label): label 1 are random strings (digests of
-    the sampled documents' ids in base 64 and 16, and values that the base patterns
-    find behind keywords), label 0 ordinary identifiers (the documents' words, also
-    upper-cased, joined to names and paths, and numbers)."""
+    the sampled documents' ids in base 64, whole and cut, and 16, and values that the base patterns
+    find behind keywords), label 0 ordinary identifiers (the documents' words of one case, or numbers, outside base matches, also
+    upper-cased, joined to names and paths, and numbers). The sample's path goes to ``scratch``."""
     some = fewest_hash(docs.select("doc_id", "text"), "doc_id", limit)
-    some = stored(some.repartition(input_slices(docs.sparkSession)), "secret-samples")      # one scan for all samples
+    some = stored(some.repartition(input_slices(docs.sparkSession)), "secret-samples", scratch)      # one scan for all samples
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    short = F.base64(F.unhex(F.sha2(F.concat(key, F.lit("s")), 512)))       # cut to the lengths of usual keys
     digests = some.select(F.explode(F.array(
+        F.substring(short, 1, 20), F.substring(short, 21, 24), F.substring(short, 45, 32),
         F.base64(F.unhex(F.sha2(key, 512))), F.sha2(key, 256),
         F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(key, F.lit("k")), 512))), "[+/=]", "")))
         .alias("text"), F.lit(1).alias("label"))
     values = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{16,})"""),
                                                         F.lit(1))).alias("text"), F.lit(1).alias("label"))
-    words = some.select(F.filter(F.split(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & (F.length(w) < 20))
+    # no base matches and no pieces of other secrets, which mix cases and digits: a secret labelled ordinary would lift the threshold
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+|AKIA[A-Z0-9]+|[0-9a-f]{24,}""", " ")
+    words = some.select(F.filter(F.split(plain, r"[^A-Za-z0-9]+"), lambda w: w.rlike("^([a-z]{2,19}|[A-Z]{2,19}|[A-Z][a-z]{1,18}|[0-9]{2,19})$"))
                         .alias("w")).where(F.size("w") > 3)
     names = words.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3)), lambda i: F.array(
         F.element_at("w", i), F.upper(F.element_at("w", i)),
@@ -104,12 +121,15 @@ def samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     return digests.unionByName(values).unionByName(names).unionByName(rules)
 
 
-def train(labelled: DataFrame, least: float = LEAST_RATE) -> dict | None:
+def train(labelled: DataFrame, least: float | None = None) -> dict | None:
     """Both Markov models as one table of log-likelihood ratios by character
-    pair ("^" starts a string; add-one smoothing). None without both labels."""
+    pair ("^" starts a string; add-one smoothing), from the samples (text, label) whose hash is not held
+    out, and the ``least`` ratio of a secret, calibrated on the held-out ones if not given. None
+    without both labels. ``held_out`` counts the held-out samples that are long enough and those found."""
+    held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0         # equal strings are on one side
     text = F.concat(F.lit("^"), "text")
-    pairs = labelled.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")),
-                                                           lambda i: F.substr(text, i, F.lit(2)))).alias("pair")) \
+    pairs = labelled.where(~held).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")),
+                                                                        lambda i: F.substr(text, i, F.lit(2)))).alias("pair")) \
         .where(F.length("pair") == 2).groupBy("label", "pair").count()
     counts: list[dict] = [{}, {}]
     for r in pairs.where(F.col("pair").rlike(r"^[\^A-Za-z0-9+/_=-][A-Za-z0-9+/_=-]$")).collect():
@@ -122,7 +142,32 @@ def train(labelled: DataFrame, least: float = LEAST_RATE) -> dict | None:
         for b in LETTERS:
             p0, p1 = ((c.get(a + b, 0) + 1) / t for c, t in zip(counts, total))
             ratio[a + b] = math.log(p1 / p0)
-    return {"ratio": ratio, "least": least}
+    return calibrated(labelled.where(held), ratio, least)
+
+
+def calibrated(labelled: DataFrame, ratio: dict, least: float | None = None) -> dict:
+    """The model of ``ratio`` with its threshold. ``low`` is the smallest ratio (in STEPs) that at most FALSE_RATE of the
+    ordinary samples reach, ``high`` the largest that RECALL of the random ones reach. The threshold
+    lies halfway between them; where they overlap it is ``low``: false alarms weigh more."""
+
+    @F.arrow_udf("int")
+    def step(texts: pa.Array) -> pa.Array:
+        return pa.array([math.floor(rate(t, ratio) / STEP) for t in texts.to_pylist()], pa.int32())
+
+    fit = labelled.where(F.col("text").rlike(f"^[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}$"))
+    found = sorted((r["label"], r["step"], r["count"]) for r in fit.groupBy("label", step("text").alias("step")).count().collect())
+    ordinary, random = ([(s, n) for label, s, n in found if label == k] for k in (0, 1))
+    reach = lambda some, s: sum(n for t, n in some if t >= s)       # noqa: E731
+    if least is None and ordinary and random:
+        steps = range(min(s for s, _ in ordinary + random), max(s for s, _ in ordinary + random) + 2)
+        low = next(s for s in steps if reach(ordinary, s) <= FALSE_RATE * reach(ordinary, steps[0]))
+        high = next(s for s in reversed(steps) if reach(random, s) >= RECALL * reach(random, steps[0]))
+        least = STEP * (max(low, high) + low) / 2
+    elif least is None:
+        least = LEAST_RATE
+    at = math.ceil(least / STEP - 1e-9)
+    return {"ratio": ratio, "least": least, "held_out": {
+        "random": reach(random, -1 << 31), "random_found": reach(random, at), "ordinary": reach(ordinary, -1 << 31), "ordinary_found": reach(ordinary, at)}}
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:
@@ -184,4 +229,7 @@ def redact(docs: DataFrame, model: dict | None, text: str = "text", mark: str =
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan_secrets(docs, train(samples(docs))).drop("text")
+    scratch: list[str] = []
+    model = train(samples(docs, scratch=scratch))
+    drop(spark, scratch)
+    return scan_secrets(docs, model).drop("text")
