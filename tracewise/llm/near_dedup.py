@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import drop, read, stored, worker_cache
 from .quality_rules import WordHashes
 
-T, BANDS, ROWS, MARGIN, BLOCK = 192, 38, 5, 0.13, 4096
+T, BANDS, ROWS, MARGIN, BLOCK = 288, 38, 5, 0.107, 4096
 #: Pairs that a member proposes per bucket (or pair of blocks) and round; the last round takes all that are left.
 ROUNDS = (2, 16, None)
 #: With fewer than one link in FEW proposed pairs, the rounds between are left out.
@@ -260,7 +260,8 @@ def components(links: DataFrame, scratch: list[str]) -> DataFrame:
 def cross_pairs(members: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Likely pairs (a, b) of different components in one bucket: of every member the
     ``most`` with the best agreement in each block pair, or all of them (None). Input rows:
-    bucket, hub, size (members of the bucket), id, component, n, sig. A bucket of up to BLOCK
+    bucket, band, hub, size (members of the bucket), id, component, n, sig. A pair is found in one bucket
+    only, by the bins' bytes (a chance of 1e-12 per band to take an earlier bucket for common). A bucket of up to BLOCK
     members is one group; a larger one is dealt over blocks, every pair of blocks a group."""
     least = (percent / 100 - MARGIN) * T
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
@@ -271,7 +272,7 @@ def cross_pairs(members: DataFrame, percent: int, most: int | None) -> DataFrame
     def likely_pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, comps, sizes, owns = (np.array([g[k] for g in group]) for k in range(4))
         sig = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(-1, T)
-        hub, (_, lo, hi) = group[0][5], group[0][6:9]
+        hub, (_, lo, hi), band = group[0][5], group[0][6:9], group[0][9]
         found, waiting = [], 0
         for i in np.flatnonzero(ids != hub):        # the hub was compared with all members before
             fits = (comps != comps[i]) & (ids != hub) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
@@ -282,8 +283,11 @@ def cross_pairs(members: DataFrame, percent: int, most: int | None) -> DataFrame
             j = np.flatnonzero(fits)
             if not len(j):
                 continue
-            agree = (sig[j] == sig[i]).sum(1)
-            j, agree = j[agree >= least], agree[agree >= least]
+            same = sig[j] == sig[i]
+            agree = same.sum(1)
+            # a pair belongs to its first common bucket: the one of the first band with equal bins
+            fits = (agree >= least) & ~same[:, :band * ROWS].reshape(len(j), band, ROWS).all(2).any(1)
+            j, agree = j[fits], agree[fits]
             if most is not None and len(j) > most:
                 j = j[np.lexsort((ids[j], -agree))[:most]]
             found.append(np.stack((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]))))
@@ -310,7 +314,7 @@ def cross_pairs(members: DataFrame, percent: int, most: int | None) -> DataFrame
         if len(group) > 1:
             yield from likely_pairs(group)
 
-    return rows.select("id", "component", "n", "own", "sig", "hub", "bucket", "lo", "hi") \
+    return rows.select("id", "component", "n", "own", "sig", "hub", "bucket", "lo", "hi", "band") \
         .repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi") \
         .mapInArrow(run, "a long, b long").distinct()
 
@@ -368,11 +372,12 @@ def grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     reps = stored(rows.where("n > 0 and doc_id is not null").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                   .select("doc_id", "n", "sig", "bands").dropDuplicates(["doc_id", "n", "sig"]), "dedup-representatives", scratch)
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    # buckets with equal members (by count and hash sums of 32 bits each) are searched once
+    # of buckets with equal members (by count and hash sums of 32 bits each) the first band's is searched
     h = F.xxhash64("id")
-    hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size"), F.sum(F.shiftrightunsigned(h, 32)).alias("s1"),
+    hubs = banded.groupBy("bucket").agg(F.min("band").alias("band"), F.min("id").alias("hub"), F.count("*").alias("size"), F.sum(F.shiftrightunsigned(h, 32)).alias("s1"),
                                         F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2")).where("size > 1")
-    hubs = stored(hubs.groupBy("hub", "size", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "hub", "size"), "dedup-hubs", scratch)
+    hubs = stored(hubs.groupBy("hub", "size", "s1", "s2").agg(F.min(F.struct("band", "bucket")).alias("first"))
+                  .select("first.bucket", "hub", "size"), "dedup-hubs", scratch)
     members = stored(banded.join(hubs, "bucket"), "dedup-members", scratch)
 
     # step 3: every member against its bucket's smallest id
