@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalar import ci_eq, hazard_flag, hazard_label, key_in
-from .ranking import concat_within
+from .ranking import concat_within, running_within
 from .skew import plain
 
 
@@ -142,18 +142,37 @@ def trace_rollup(components: DataFrame, bom: DataFrame, cc: DataFrame,
 
 
 def material_passport(product_root: DataFrame, bom: DataFrame, components: DataFrame,
-                      cc: DataFrame, rm: DataFrame) -> DataFrame:
+                      cc: DataFrame, rm: DataFrame, position: str | None = None) -> DataFrame:
     """The product material passport view (J5, T1): for each product, its root
-    assembly's direct children and their materials, one row per (edge, material)."""
+    assembly's direct children and their materials, one row per (edge, material).
+
+    ``position`` names a column for each row's 1-based place in its product's report, by
+    (ComponentName, ComponentID, MaterialID). It is added up from two smaller tables, the edges with the
+    numbers of materials before them and the materials numbered per component, so that the
+    rows themselves are neither sorted nor stored. k equal edges take k places per material.
+    """
     roots = product_root.select("ProductID", F.col("ComponentID").alias("ParentComponentID"))
-    parts = plain(components.select("ComponentID", "ComponentName").join(cc, "ComponentID")
-                  .withColumnRenamed("ComponentID", "ChildComponentID"))
-    return (roots.join(bom, "ParentComponentID")
-            .join(parts, "ChildComponentID")
-            .join(rm, "MaterialID")
-            .select("ProductID", F.col("ChildComponentID").alias("ComponentID"),
-                    "ComponentName", "MaterialID", "MaterialName", "WeightInGrams",
-                    "RecyclableGrade", "IsHazardous"))
+    found = ["ProductID", F.col("ChildComponentID").alias("ComponentID"), "ComponentName", "MaterialID",
+             "MaterialName", "WeightInGrams", "RecyclableGrade", "IsHazardous"]
+    if position is None:
+        parts = plain(components.select("ComponentID", "ComponentName").join(cc, "ComponentID")
+                      .withColumnRenamed("ComponentID", "ChildComponentID"))
+        return roots.join(bom, "ParentComponentID").join(parts, "ChildComponentID").join(rm, "MaterialID").select(*found)
+    materials = running_within(cc.join(rm, "MaterialID").withColumnRenamed("ComponentID", "ChildComponentID"),
+                               "ChildComponentID", ["MaterialID"], "_place")
+    sizes = materials.groupBy("ChildComponentID").agg(F.count(F.lit(1)).alias("_size"))
+    names = components.select(F.col("ComponentID").alias("ChildComponentID"), "ComponentName").join(sizes, "ChildComponentID")
+    by = ["ProductID", "ComponentName", "ChildComponentID"]
+    edges = (roots.join(bom.select("ParentComponentID", "ChildComponentID"), "ParentComponentID")
+             .join(plain(names), "ChildComponentID")
+             .groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_copies"))
+             .withColumn("_rows", F.col("_copies") * F.col("_size")))
+    edges = running_within(edges, "ProductID", by[1:], "_seq", sums={"_upto": "_rows"}) \
+        .select(*by, "_copies", (F.col("_upto") - F.col("_rows")).alias("_before"))
+    place = F.col("_before") + (F.col("_place") - 1) * F.col("_copies") + F.col("_copy")
+    return (edges.join(plain(materials), "ChildComponentID")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+            .select(*found, place.alias(position)))
 
 
 def trace_report(passport: DataFrame, product_id: str | None = None) -> DataFrame:
