@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..sources.tables import LifecycleTables
+from .skew import dealt
 
 
 @dataclass(frozen=True)
@@ -106,13 +107,16 @@ def _key_text(table: str, columns: tuple[str, ...]):
     return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
-def audit_report(t: LifecycleTables, rules: list[Rule] = RULES) -> DataFrame:
+def audit_report(t: LifecycleTables, rules: list[Rule] = RULES, slices: int | None = None) -> DataFrame:
     """One row per rule: table_name, check_name, violations (Q1-Q6).
 
     Every table is read once. Each of its rows is exploded into tagged items: its keys, its references and the
     row-level rules it breaks. A key and the references to it share a ``space``; a reference carries
     its rule as a ``slot``, a key the slot -1. One grouped pass over (space, key) then shows duplicate keys (two or more of slot
     -1) and orphans (references without one); a hot key or a rule that every row breaks is combined before the shuffle.
+
+    ``slices`` deals the items to so many tasks instead, for more keys than the session's shuffle partitions can
+    hold. Broken rules have no key: theirs is the partition of the row, so they are dealt evenly too.
     """
     items: dict[str, list] = {}
     spaces: dict[tuple, int] = {}
@@ -139,13 +143,13 @@ def audit_report(t: LifecycleTables, rules: list[Rule] = RULES) -> DataFrame:
         else:
             space = spaces[r] = len(spaces)
             slots[space, 0] = r
-            add(r.table, space, 0, F.when(_violation(r), F.lit("")))
+            add(r.table, space, 0, F.when(_violation(r), F.spark_partition_id().cast("string")))
 
     tagged = reduce(DataFrame.unionByName, [
         getattr(t, table).select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.*")
         for table, found in items.items()])
     most = max(k for _, k in slots) + 1
-    keyed = tagged.groupBy("space", "key").agg(
+    keyed = dealt(tagged, slices, "space", "key").groupBy("space", "key").agg(
         F.count_if(F.col("slot") == -1).alias("_own"), *[F.count_if(F.col("slot") == i).alias(f"_{i}") for i in range(most)])
     counts = keyed.groupBy("space").agg(
         F.count_if(F.col("_own") > 1).alias("_dup"),

@@ -19,3 +19,12 @@ MOST_PARTITIONS = 1 << 20
 def plain(df: DataFrame) -> DataFrame:
     """The same rows in the same partitions, with no partitioning known to the planner."""
     return df.coalesce(MOST_PARTITIONS)
+
+
+def dealt(df: DataFrame, slices: int | None, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` into ``slices`` tasks; unchanged if ``slices`` is None.
+
+    The sorts and hash tables of a task grow with its share of the rows, so the number of tasks of a
+    step over very many rows follows their number instead of the session's settings.
+    """
+    return df if slices is None else df.repartition(slices, *keys)

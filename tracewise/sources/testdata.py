@@ -22,8 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import dealt
 from .tables import LifecycleTables
 
+#: Rows of the largest table that a task of a large shuffle is to hold; below so many tasks Spark chooses their number.
+ROWS_PER_TASK, LEAST_SLICES = 500_000, 4
+
 
 def _id(prefix: str, c: str | Column) -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
@@ -53,11 +57,19 @@ class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._slices: int | None = None
 
     def read(self, name: str, *cols: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*cols) if cols else df
 
+    def slices(self) -> int | None:
+        """Tasks for shuffles of line items, in proportion to their number (counted from the
+        files' footers); None for few line items, where Spark's own choice will do."""
+        if self._slices is None:
+            self._slices = -(-self.read("lineitem").count() // ROWS_PER_TASK)
+        return self._slices if self._slices > LEAST_SLICES else None
+
     # -- model tables -------------------------------------------------------
     def products(self) -> DataFrame:
         return self.read("orders", "o_orderkey", "o_orderpriority").select(
@@ -108,6 +120,7 @@ class DriverTables:
         # aggregate on the numeric keys, build the text ids afterwards
         li = self.read("lineitem", "l_orderkey", "l_partkey", "l_quantity")
         od = self.read("orders", "o_orderkey", "o_orderstatus")
+        li, od = dealt(li, self.slices(), "l_orderkey"), dealt(od, self.slices(), "o_orderkey")
         return (li.join(od, li.l_orderkey == od.o_orderkey)
                 .groupBy("o_orderkey", "o_orderstatus", "l_partkey")
                 .agg(F.sum("l_quantity").cast("int").alias("Quantity"))
@@ -117,7 +130,7 @@ class DriverTables:
     def component_composition(self) -> DataFrame:
         li = self.read("lineitem", "l_partkey", "l_suppkey", "l_quantity")
         su = self.read("supplier", "s_suppkey", "s_nationkey")
-        return (li.join(su, li.l_suppkey == su.s_suppkey)
+        return (dealt(li.join(su, li.l_suppkey == su.s_suppkey), self.slices(), "l_partkey", "s_nationkey")
                 .groupBy("l_partkey", "s_nationkey")
                 .agg(F.sum(F.col("l_quantity").cast("decimal(10,2)"))
                      .cast("decimal(10,2)").alias("WeightInGrams"))
@@ -129,10 +142,11 @@ class DriverTables:
         # or, by the part's key, both (2).
         role = F.col("l_suppkey") % 3
         material = (role == 1) | ((role == 2) & (F.col("l_partkey") % 2 == 1))
-        return (self.read("lineitem", "l_suppkey", "l_partkey").select(
+        roles = self.read("lineitem", "l_suppkey", "l_partkey").select(
             _id("S", "l_suppkey").alias("SupplierID"),
             F.when(~material, _id("X", "l_partkey")).alias("ComponentID"),
-            F.when(material, _id("M", F.col("l_partkey") % 25)).alias("MaterialID")).distinct()
+            F.when(material, _id("M", F.col("l_partkey") % 25)).alias("MaterialID"))
+        return (dealt(roles, self.slices(), *roles.columns).distinct()
             .withColumn("SourcingID", F.lit(None).cast("bigint"))
             .select("SourcingID", "SupplierID", "ComponentID", "MaterialID"))
 
