@@ -39,8 +39,8 @@ def test_instances_of_a_bucket_are_told_apart():
     assert g.sold.writes == 2
 
 
-def test_rows_without_instance_are_one_instance():
+def test_rows_without_instance_match_no_sale():
     g = gate()
-    assert run(g, (1, None, "Disposed"), (2, None, "Sold"), (3, None, "Disposed")) == {1: "rejected", 2: "accepted", 3: "accepted"}
-    assert run(g, (4, None, "Disposed")) == {4: "accepted"}
-    assert run(gate(), (4, None, "Repair")) == {4: "accepted"}
+    assert run(g, (1, None, "Disposed"), (2, None, "Sold"), (3, None, "Disposed"), (4, None, "Repair")) == {
+        1: "rejected", 2: "accepted", 3: "rejected", 4: "accepted"}
+    assert g.sold.writes == 0

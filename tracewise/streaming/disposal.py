@@ -5,7 +5,7 @@ by hash into BUCKETS keys, whose state is two arrays (the instances sold, their
 micro-batch hands the processor one bucket's new rows, so that Python is called and the state read
 and written once per bucket instead of once per instance. A Disposed row is admitted if its
 EventID (the insertion order the trigger sees, T8) comes after its instance's first sale,
-vectorised in pandas. No row is admitted wrongly whatever
+vectorised in pandas. An event without instance matches no sale. No row is admitted wrongly whatever
 the order of files; a refusal is final, so a Disposed row that arrives in an earlier
 micro-batch than its earlier sale stays refused. The set-based form (``batched.py``)
 holds such rows back; use it where files come out of order.
@@ -49,8 +49,7 @@ class DisposalGate(StatefulProcessor):
     MESSAGE = schemas.MSG_UNSOLD_DISPOSAL
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # int64 arrays as bytes; events without instance are one instance of their own, "none"
-        self.sold = handle.getValueState("sold", "instances binary, firsts binary, none bigint")
+        self.sold = handle.getValueState("sold", "instances binary, firsts binary")    # int64 arrays as bytes
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
@@ -65,28 +64,21 @@ class DisposalGate(StatefulProcessor):
         known = instance.notna().to_numpy(bool)
         instance = instance.fillna(0).to_numpy("int64")
         current = self.sold.get()            # one state-store call; None when absent
-        sold, sales = (np.frombuffer(x, "<i8") for x in (current[:2] if current else (b"", b"")))
-        none = current[2] if current else None
+        sold, sales = (np.frombuffer(x, "<i8") for x in (current or (b"", b"")))
         new = is_sold & dated & known
         firsts = pd.Series(np.concatenate([sales, event[new]]), np.concatenate([sold, instance[new]])).groupby(level=0).min()
         instances, firsts = firsts.index.to_numpy("<i8"), firsts.to_numpy("<i8")
-        none = min([x for x in (none, *event[is_sold & dated & ~known].tolist()) if x is not None], default=None)
         at = np.searchsorted(instances, instance)
         found = np.zeros(len(batch), bool)
         first = np.zeros(len(batch), "int64")
         inside = known & (at < len(firsts))
         found[inside] = instances[at[inside]] == instance[inside]
         first[found] = firsts[at[found]]
-        if none is not None:
-            found |= ~known
-            first[~known] = none
         ok = ~is_disposed | (found & dated & (event > first))
         reason = pd.Series([None] * len(batch), index=batch.index, dtype=object)
         reason[~ok] = self.MESSAGE
-        before = (sold.tobytes(), sales.tobytes(), current[2] if current else None)
-        after = (instances.tobytes(), firsts.tobytes(), none)
-        if after != before:
-            self.sold.update(after)          # written only when it changes
+        if not (np.array_equal(instances, sold) and np.array_equal(firsts, sales)):
+            self.sold.update((instances.tobytes(), firsts.tobytes()))      # written only when it changes
         yield pd.DataFrame({
             "EventID": batch["EventID"].astype("Int64"),
             "InstanceID": batch["InstanceID"].astype("Int64"),
