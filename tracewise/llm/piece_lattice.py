@@ -1,14 +1,14 @@
 """Operator 6: SentencePiece encoding and decoding by a relational lattice.
 
-1. All documents are split into words (runs of blanks with the characters after them,
-   line feeds apart) that no piece of the vocabulary crosses, and counted.
-2. For the MAX_WORDS most frequent words the lattice is relational: substrings of bounded
+1. All documents are split into words that no piece of the vocabulary crosses, and counted: runs of
+   blanks with the letters, the digit or the other characters after them, line feeds apart.
+2. The lattice of distinct words is relational: substrings of bounded
    length are exploded and equi-joined to the piece table, edges are grouped by
-   word, and a Spark higher-order ``aggregate`` folds each word's edges to its ids.
-3. The dictionary (word, ids), whose size MAX_WORDS bounds, goes to an Arrow
-   function that looks up every document's words. Words beyond it are encoded in the task by
-   the library, once per worker: shuffling every occurrence to the
-   lattice and back would take several times the input in shuffle files.
+   word, and a Spark higher-order ``aggregate`` folds each word's edges to its ids. Words
+   beyond MAX_CHARS go through the same join window by window, and an Arrow function folds each one's edges.
+3. The ids of the MAX_WORDS most frequent words are broadcast (their number bounds the dictionary).
+   Every other word goes through the lattice too: the distinct words of each text that the dictionary
+   lacks are joined to their ids, grouped by a hash of the text and joined back to the documents.
 
 Two folds: ``path`` is Viterbi, the path of the largest sum of scores, right for
 unigram vocabularies; ``merge`` joins the best-scored adjacent pair until none is left,
@@ -26,6 +26,7 @@ carried, columns named like an output are replaced. U+2581 in a text decodes to
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,32 +36,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_slices, read, stored, worker_cache
+from .common import drop, input_slices, read, stored, worker_cache
 
 BLANK = "▁"
-#: Dictionary words at most, their characters at most; words counted or kept per worker before flushing.
-MAX_WORDS, MAX_CHARS, MEMO_WORDS = 1 << 17, 48, 150_000
-WORDS = re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
+#: Dictionary words at most, characters at most of words in it and in the higher-order fold; words counted per worker before flushing;
+#: characters per window of longer words.
+MAX_WORDS, MAX_CHARS, MEMO_WORDS, WINDOW = 1 << 17, 48, 150_000, 256
+#: Words from the finest cut on: letters, single digits and other characters apart; blanks and line feeds only.
+WORDS = (re.compile(rf"\n|{BLANK}*(?:[^\W\d_²³¹]+|\d|(?:[^\w{BLANK}\n]|[_²³¹])+)|{BLANK}+"), re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+"))
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, words: re.Pattern = WORDS[-1]) -> list[str]:
     """Words of a text with its blanks escaped and the blank in front; [] if empty."""
-    return WORDS.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    return words.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
 def vocabulary(path: str) -> dict:
-    """Pieces with ids and scores, the byte pieces, and whether WORDS are boundaries that no piece crosses."""
+    """Pieces with ids and scores, the byte pieces, and the finest of WORDS that no piece crosses."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.vocab_size()
     special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
     pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(n) if not special[i]}
-    crossing = [p for p in pieces if re.search(f"[^{BLANK}]{BLANK}|.\n|\n.", p)]
-    if crossing:
-        raise ValueError(f"pieces cross words: {crossing[:3]}")
+    crossed = [[p for p in pieces if w.findall(p) != [p]] for w in WORDS]
+    if all(crossed):
+        raise ValueError(f"pieces cross words: {crossed[-1][:3]}")
     return {"pieces": pieces, "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(map(sp.is_byte, range(n))) else None,
-            "unknown": sp.unk_id(), "longest": max(map(len, pieces))}
+            "unknown": sp.unk_id(), "longest": max(map(len, pieces)), "words": WORDS[[bool(c) for c in crossed].index(False)]}
 
 
 def piece_table(spark: SparkSession, vocab: dict) -> DataFrame:
@@ -69,29 +72,41 @@ def piece_table(spark: SparkSession, vocab: dict) -> DataFrame:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges) of distinct words: edges are (start, size, id, score), start
-    counted from 1. Words are dealt once; the piece table has as many rows as the
-    vocabulary file, so it is broadcast and the edges of a word stay together."""
-    spans = F.expr(f"""explode(flatten(transform(sequence(1, length(word)), s ->
-        transform(sequence(1, least({longest}, length(word) - s + 1)), l -> struct(s AS start, l AS size)))))""")
-    parts = words.select("word").repartition(input_slices(words.sparkSession), "word").select("word", spans.alias("span")) \
-        .select("word", "span.start", "span.size", F.expr("substring(word, span.start, span.size)").alias("piece"))
-    edges = parts.join(F.broadcast(pieces), "piece", "left")
-    return edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "size", "id", "score"))).alias("edges"))
+    """(word, edges) of distinct words of MAX_CHARS at most: edges are (cost, start, size, id, score, ends, inside), start
+    counted from 1, cost the score negated, ends and inside the bits of the cuts at the edge's ends and within it. Words are
+    dealt once; the piece table has as many rows as the vocabulary file, so it is broadcast and the edges of a word stay together."""
+    starts = words.select("word").repartition(input_slices(words.sparkSession), "word").select("word", F.expr("explode(sequence(0, length(word)))").alias("start"))
+    # the span of size 0 joins the row put in front of the pieces: a word without any edge keeps a row
+    parts = starts.select("word", "start", F.expr(f"explode(if(start = 0, array(0), sequence(1, least({longest}, length(word) - start + 1))))").alias("size")) \
+        .select("word", "start", "size", F.expr("substring(word, start, size)").alias("piece"))
+    edges = parts.join(F.broadcast(with_none(pieces)), "piece").select("word", "id", F.expr("""struct(-score AS cost, start, size, id, score,
+        shiftleft(1L, start - 1) | shiftleft(1L, start + size - 1) AS ends, shiftleft(shiftleft(1L, greatest(size, 1) - 1) - 1, start) AS inside)""").alias("edge"))
+    return edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.col("edge"))).alias("edges"))
+
+
+def with_none(pieces: DataFrame) -> DataFrame:
+    """The piece table and an empty piece without id."""
+    return pieces.unionByName(pieces.sparkSession.createDataFrame([("", None, None)], pieces.schema))
 
 
 #: Key of an edge in the maps below: start and size in one number.
 KEY = "({start}) * 1024 + ({size})"
 
 
-def cuts_by_merges() -> str:
-    """Fold: start positions of the pieces; each step removes the cut inside the
-    best-scored adjacent pair (the leftmost of equals)."""
-    best = f"""array_max(filter(transform(sequence(2, size(cuts) - 1), i -> struct(
-        element_at(scores, {KEY.format(start='cuts[i - 2]', size='cuts[i] - cuts[i - 2]')}) AS s, -i AS at)), x -> x.s IS NOT NULL))"""
-    step = f"transform(array({best}), b -> if(b IS NULL, cuts, filter(cuts, (c, k) -> k <> -b.at - 1)))[0]"
-    return f"""aggregate(sequence(1, length(word)), sequence(1, length(word) + 1),
-        (cuts, turn) -> if(size(cuts) < 3, cuts, {step}))"""
+def ids_by_merges(other: str) -> str:
+    """Fold: the set of cuts as bits, first one around every character; each step removes the cut
+    inside the best-scored edge that covers two adjacent pieces (the leftmost of equals). The
+    edges between neighbouring cuts are the pieces left; ``other`` stands for a character ch without any."""
+    best = "filter(pairs, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inside) = 1)"
+    cuts = f"""aggregate(sequence(1, length(word)), shiftleft(1L, length(word) + 1) - 1,
+        (cuts, turn) -> transform(array({best}), b -> if(size(b) = 0, cuts, cuts & ~b[0].inside))[0])"""
+    # the best first: edges are ordered by cost, then start
+    cuts = f"transform(array(sort_array(filter(edges, e -> e.size > 1))), pairs -> {cuts})[0]"
+    left = "transform(filter(edges, e -> (cuts & e.ends) = e.ends AND (cuts & e.inside) = 0), e -> struct(e.start AS start, array(e.id) AS ids))"
+    none = f"""transform(filter(sequence(1, length(word)), i -> (shiftright(cuts, i - 1) & 3L) = 3 AND NOT exists(edges, e -> e.start = i AND e.size = 1)),
+        i -> struct(i AS start, transform(array(substring(word, i, 1)), ch -> {other})[0] AS ids))"""
+    pieces = f"if(size(filter(edges, e -> e.size = 1)) = length(word), {left}, concat({left}, {none}))"
+    return f"transform(array({cuts}), cuts -> flatten(transform(sort_array({pieces}), p -> p.ids)))[0]"
 
 
 def cuts_by_path() -> str:
@@ -118,15 +133,89 @@ def fold(edges: DataFrame, vocab: dict, kind: str = "merge") -> DataFrame:
     at = KEY.format(start="cuts[i - 1]", size="cuts[i] - cuts[i - 1]")
     ids = f"""flatten(transform(sequence(1, size(cuts) - 1), i -> if(element_at(ids_of, {at}) IS NOT NULL, array(element_at(ids_of, {at})),
         transform(array(substring(word, cuts[i - 1], 1)), ch -> {other})[0])))"""
-    cuts = cuts_by_merges() if kind == "merge" else cuts_by_path()
+    if kind == "merge":
+        return edges.select("word", F.expr(ids_by_merges(other)).alias("ids"))
     # transform(array(x), name -> ...)[0] binds x once; a plain column would be put
     # into the lambdas and computed again for every element
-    bound = f"""transform(array({entry('score')}), scores -> transform(array({cuts}), cuts ->
+    bound = f"""transform(array({entry('score')}), scores -> transform(array({cuts_by_path()}), cuts ->
         transform(array({entry('id')}), ids_of -> {ids})[0])[0])[0]"""
     return edges.select("word", F.expr(bound.replace("longest", str(vocab["longest"])).replace("unknown", f"double({lowest})")).alias("ids"))
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+def merged(word: str, edges: dict) -> list[tuple[int, int]]:
+    """(start, size) of the pieces of a word from 0 on: as :func:`ids_by_merges`, with a heap."""
+    size, before, after = [1] * len(word), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def propose(i: int) -> None:
+        j = after[i]
+        if j < len(word) and (i, size[i] + size[j]) in edges:
+            heapq.heappush(heap, (-edges[i, size[i] + size[j]][1], i, size[i] + size[j]))
+
+    for i in range(len(word)):
+        propose(i)
+    while heap:
+        _, i, both = heapq.heappop(heap)
+        j = after[i] if size[i] else len(word)
+        if j == len(word) or size[i] + size[j] != both:     # one of the two was merged before
+            continue
+        size[i], size[j], after[i] = both, 0, after[j]
+        if after[j] < len(word):
+            before[after[j]] = i
+        propose(i)
+        if before[i] >= 0:
+            propose(before[i])
+    return [(i, n) for i, n in enumerate(size) if n]
+
+
+def best_path(word: str, edges: dict, longest: int, unknown: float) -> list[tuple[int, int]]:
+    """(start, size) of the pieces of a word from 0 on: as :func:`cuts_by_path`."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        best.append(max((best[e - n][0] + (edges[e - n, n][1] if (e - n, n) in edges else unknown), -n)
+                        for n in range(1, min(longest, e) + 1) if n == 1 or (e - n, n) in edges))
+    cuts, at = [], len(word)
+    while at:
+        cuts.append((at + best[at][1], -best[at][1]))
+        at += best[at][1]
+    return cuts[::-1]
+
+
+def fold_long(words: DataFrame, pieces: DataFrame, vocab: dict, kind: str = "merge") -> DataFrame:
+    """(word, ids) of distinct words of any length: the lattice by windows of WINDOW start
+    positions, so that no row holds a word's spans. The edges of one word meet in one group."""
+    data, unknown, longest = vocab["bytes"], vocab["unknown"], vocab["longest"]
+    lowest = min(s for _, s in vocab["pieces"].values()) - 10
+    keyed = words.select("word", F.sha2("word", 256).alias("key"))
+    windows = keyed.repartition(input_slices(words.sparkSession), "key") \
+        .select("key", F.expr(f"explode(sequence(0, (length(word) - 1) div {WINDOW}))").alias("part"), "word") \
+        .select("key", (F.col("part") * WINDOW).cast("int").alias("at"), F.expr(f"substring(word, part * {WINDOW} + 1, {WINDOW + longest - 1})").alias("window"))
+    parts = windows.select("key", "at", "window", F.expr(f"explode(sequence(1, least({WINDOW}, length(window))))").alias("s")) \
+        .select("key", "at", "window", "s", F.expr(f"explode(sequence(1, least({longest}, length(window) - s + 1)))").alias("size")) \
+        .select("key", (F.col("at") + F.col("s") - 1).cast("int").alias("start"), "size", F.expr("substring(window, s, size)").alias("piece"))
+    edges = parts.join(F.broadcast(pieces), "piece").select("key", F.lit(None).cast("string").alias("word"), "start", "size", "id", "score")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("size", "int"), ("id", "int"), ("score", "double"))]
+
+    def run(group: pa.Table) -> pa.Table:
+        of = {(s, n): (i, x) for s, n, i, x in zip(*(group[c].to_pylist() for c in ("start", "size", "id", "score"))) if s is not None}
+        word = next(w for w in group["word"].to_pylist() if w is not None)
+        ids: list[int] = []
+        for s, n in merged(word, of) if kind == "merge" else best_path(word, of, longest, lowest):
+            ids += [of[s, n][0]] if (s, n) in of else [data[b] for b in word[s:s + n].encode()] if data else [unknown]
+        return pa.table({"word": pa.array([word], pa.string()), "ids": pa.array([ids], pa.list_(pa.int32()))})
+
+    return edges.unionByName(keyed.select("key", "word", *none)).groupBy("key").applyInArrow(run, "word string, ids array<int>")
+
+
+def ids_of(words: DataFrame, vocab: dict, kind: str = "merge") -> DataFrame:
+    """(word, ids) of stored distinct words by the lattice."""
+    pieces = piece_table(words.sparkSession, vocab)
+    found = fold(lattice(words.where(F.length("word") <= MAX_CHARS), pieces, vocab["longest"]), vocab, kind)
+    long = words.where(F.length("word") > MAX_CHARS)
+    return found if long.isEmpty() else found.unionByName(fold_long(long, pieces, vocab, kind))
+
+
+def count_words(docs: DataFrame, text: str = "text", words: re.Pattern = WORDS[-1]) -> DataFrame:
     """(word, n) over all documents, pre-counted per task in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +227,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                found.update(words_of(value.as_py() or ""))
+                found.update(words_of(value.as_py() or "", words))
                 if len(found) > MEMO_WORDS:
                     yield flush()
                     found.clear()
@@ -149,11 +238,11 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def dictionary(docs: DataFrame, path: str, most: int = MAX_WORDS, kind: str = "merge") -> dict[str, bytes]:
     """ids (int32 bytes) of the ``most`` most frequent words of the documents, by the lattice."""
-    spark, vocab = docs.sparkSession, vocabulary(path)
+    spark, vocab, scratch = docs.sparkSession, vocabulary(path), []
     # words by steps of their count, from the most frequent step down as far as the bound
     # allows: a few hundred sums, no sort of all words
-    counted = stored(count_words(docs).where(F.length("word").between(1, MAX_CHARS))
-                     .withColumn("step", F.floor(F.log2("n") * 64)), "piece-counts")
+    counted = stored(count_words(docs, words=vocab["words"]).where(F.length("word").between(1, MAX_CHARS))
+                     .withColumn("step", F.floor(F.log2("n") * 64)), "piece-counts", scratch)
     least, total = None, 0
     for r in sorted(counted.groupBy("step").count().collect(), key=lambda r: -r["step"]):
         total += r["count"]
@@ -161,52 +250,60 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_WORDS, kind: str = "m
             break
         least = r["step"]
     words = counted.where(F.col("step") >= F.lit(least)).select("word") if least is not None else counted.limit(0).select("word")
-    folded = fold(lattice(words, piece_table(spark, vocab), vocab["longest"]), vocab, kind)
-    return {r["word"]: np.array(r["ids"], "<i4").tobytes() for r in folded.toLocalIterator()}
-
-
-class Encoder(dict):
-    """Memo of the words beyond the dictionary (word to int32 bytes)."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.feed = len(self.sp.encode("\n"))
-        self.blank = [self.sp.piece_to_id(BLANK)]
+    found = {r["word"]: np.array(r["ids"], "<i4").tobytes() for r in ids_of(words, vocab, kind).toLocalIterator()}
+    drop(spark, scratch)
+    return found
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        if word == BLANK:
-            ids = self.blank
-        elif word[0] == BLANK:      # the library puts one blank in front itself
-            ids = self.sp.encode(word[1:])
-        else:                       # after a line feed: encoded behind one, which is cut off
-            ids = self.sp.encode("\n" + word)[self.feed:] if word != "\n" else self.sp.encode("\n")[1:]
-        value = self[word] = np.array(ids, "<i4").tobytes()
-        return value
 
+def other_words(docs: DataFrame, known, words: re.Pattern, text: str = "text") -> DataFrame:
+    """(text_hash, word): distinct words of every text that the broadcast dictionary lacks."""
 
-def encode(docs: DataFrame, known: dict[str, bytes], path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every text as array<int>. ``known`` has MAX_WORDS entries at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("piece_lattice")
+        first, seen = known.value, set()
+        for batch in batches:
+            keys, out = [], []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                value = value.as_py() or ""
+                if (key, hash(value)) in seen:      # a copy of a text in this task
+                    continue
+                if len(seen) > MEMO_WORDS:
+                    seen.clear()
+                seen.add((key, hash(value)))
+                rest = [w for w in set(words_of(value, words)) if w not in first]
+                keys += [key] * len(rest)
+                out += rest
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["text_hash", "word"])
+
+    return docs.select(F.xxhash64(text), text).mapInArrow(run, "text_hash long, word string")
+
+
+def encode(docs: DataFrame, known: dict[str, bytes], path: str, text: str = "text", ids: str = "ids", kind: str = "merge") -> DataFrame:
+    """``docs`` with the ids of every text as array<int>. ``known`` has MAX_WORDS entries at most;
+    all other words get theirs by the lattice here. Texts of equal hash share their words, so a collision loses none."""
+    spark, vocab, scratch = docs.sparkSession, vocabulary(path), []
+    shared, pattern = spark.sparkContext.broadcast(known), vocab["words"]
+    rest = stored(other_words(docs, shared, pattern, text), "piece-words", scratch)
+    folded = stored(ids_of(stored(rest.select("word").distinct(), "piece-distinct", scratch), vocab, kind), "piece-ids", scratch)
+    found = stored(rest.join(folded, "word").groupBy("text_hash").agg(F.collect_set(F.struct("word", "ids")).alias("found"))
+                   .select(F.col("text_hash").alias("_text_hash"), F.col("found.word").alias("_words"), F.col("found.ids").alias("_word_ids")), "piece-found")
+    drop(spark, scratch)
 
     @F.arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = worker_cache("piece_lattice")
-        if path not in cache:
-            cache[path] = Encoder(path)
-        rest, first = cache[path], shared.value
-        for batch in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        worker_cache("piece_lattice")
+        first = shared.value
+        for texts, words, word_ids in batches:
             rows = []
-            for value in batch:
-                words = words_of(value.as_py() or "")
-                rows.append(b"".join([first[w] if w in first else rest[w] for w in words]))
+            for value, more, more_ids in zip(texts, words, word_ids):
+                own = dict(zip(more.as_py(), [np.array(i, "<i4").tobytes() for i in more_ids.as_py()])) if more.is_valid else {}
+                rows.append(b"".join([first[w] if w in first else own[w] for w in words_of(value.as_py() or "", pattern)]))
             offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
-    return docs.withColumn(ids, run(F.col(text)))
+    # copies of one text meet in one key: the documents' side is plain, so it is split as a skewed join
+    joined = docs.withColumn("_hash_of_text", F.xxhash64(text)).join(found, F.col("_hash_of_text") == F.col("_text_hash"), "left")
+    return joined.withColumn(ids, run(F.col(text), F.col("_words"), F.col("_word_ids"))).drop("_hash_of_text", "_text_hash", "_words", "_word_ids")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
