@@ -69,3 +69,17 @@ def test_rows_that_stay(spark):
     assert (None, long) not in texts and (2, near) not in texts and texts.count((1, long)) == 1
     assert all(r["row1"] == "own" and r["tags"] == {"k": "v"} for r in got)
     assert near_dedup.keep_representatives(docs.limit(0), 5, 80).count() == 0
+
+
+def test_ids_of_pairs_are_not_exploded(spark, monkeypatch):
+    """The ids whose full sets are read come once from each side, not as two rows a pair."""
+    seen, original = [], near_dedup.full_sets
+
+    def full_sets(docs, ids, n):
+        seen.append((ids._jdf.queryExecution().toString(), sorted(r["doc_id"] for r in ids.collect())))
+        return original(docs, ids, n)
+
+    monkeypatch.setattr(near_dedup, "full_sets", full_sets)
+    docs = table(spark, family(5))
+    assert near_dedup.near_duplicates(docs, 4, 80).where("not kept").count() > 0
+    assert seen and all("Generate" not in plan and len(set(ids)) == len(ids) > 0 for plan, ids in seen)

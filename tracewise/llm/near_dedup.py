@@ -216,7 +216,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str, own: list[str], scratch: list[str]) -> DataFrame:
     """The stored (a, b) pairs that are links on the full sets. The sets' path goes to
     ``own``, the links' to ``scratch``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # each side's ids once, so no row is made per pair and side
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
     sets = stored(full_sets(docs, ids, n), f"{name}-sets", own)
     links = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a") \
         .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b") \
