@@ -34,3 +34,17 @@ def test_repeated_query_rows_are_one_query(spark, tmp_path):
     assert [m[0] for m in mine] == list(range(1, 21)) and len({m[1] for m in mine}) == 20
     want = sorted(((-float(np.dot(rows[20][1], v)), i) for i, v in rows if i != 20))[:20]
     assert len({m[1] for m in mine} & {i for _, i in want}) >= 18
+
+
+def test_marks_behind_words_are_encoded_apart():
+    """Words with marks or a line feed at them give the library's ids without a call of its own per word."""
+    import public_tokenizers
+
+    pieces = token_file.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a word### and,%%% it's\nLine (x)... ÄÖ!! 漢字。 foo'!\n\nbar_ baz__9 x²; don't''s!? --- ' '", "\nhello\n", "one<|endoftext|>!", "zeb\x1c ra&"]
+    whole, encode = [pieces.encode(t) for t in texts], pieces.encode
+    asked = []
+    pieces.encode = lambda text: asked.append(text) or encode(text)
+    assert token_file.encode_texts(texts, pieces) == whole
+    assert " word###" not in asked and "\nLine" not in asked and texts[2] in asked and texts[3] in asked
+    assert isinstance(pieces.odd, list)

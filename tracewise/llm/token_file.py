@@ -49,7 +49,9 @@ DOC_MAGIC, SEEK_MAGIC, SEEK_END, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92E
 #: feed before it; white space up to such a piece; other white space with its word.
 PIECES = re.compile(r"[ \n]?\S+|\s+?(?=[ \n]\S)|\s+\S*")
 #: Characters on which this pattern's white space and the tokenizer's may differ.
-ODD = "[\x1c-\x1f\x85]"
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+#: ASCII characters that end a word's token: all but letters, digits, blanks and the apostrophe of contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # -- file system ---------------------------------------------------------------
@@ -135,9 +137,9 @@ class FrameReader:
 
 # -- encoding ------------------------------------------------------------------
 
-def whole_texts(path: str) -> re.Pattern:
-    """Pattern of the texts to be encoded whole: those with an odd character or
-    an added token (it ends the white space before it), and all texts unless
+def whole_texts(path: str) -> list[str]:
+    """Strings of which a text that is to be encoded whole holds any: odd characters
+    and added tokens (they end the white space before them); the empty string, that is all texts, unless
     the tokenizer is byte-level with its own pattern and has no normalizer."""
     import json
 
@@ -146,8 +148,8 @@ def whole_texts(path: str) -> re.Pattern:
     pre = spec.get("pre_tokenizer") or {}
     if spec.get("normalizer") or spec.get("post_processor") or pre.get("type") != "ByteLevel" \
             or not pre["use_regex"] or pre["add_prefix_space"]:
-        return re.compile("")
-    return re.compile("|".join([ODD, *(re.escape(t["content"]) for t in spec.get("added_tokens", []))]))
+        return [""]
+    return [*ODD, *(t["content"] for t in spec.get("added_tokens", []))]
 
 
 def byte_letters() -> dict[int, str]:
@@ -173,7 +175,10 @@ class Pieces(dict):
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model, self.letters = self.tok.model, byte_letters()
-        self.whole = whole_texts(path).search
+        self.odd = whole_texts(path)
+
+    def whole(self, text: str) -> bool:
+        return any([odd in text for odd in self.odd])
 
     def encode(self, text: str) -> bytes:
         ids = self.tok.encode(text, add_special_tokens=False).ids
@@ -183,9 +188,12 @@ class Pieces(dict):
         if len(self) > MEMO_PIECES:
             self.clear()
         text = key[1:] if key[0] == self.FIRST else key if key[0] == "\n" else " " + key
-        if len(key) > 1 and key[-1] in ".," and key[-2].isalpha():     # a letter ends a token here
-            ids = self[key[:-1]] + self[self.FIRST + key[-1]]
-        elif key.isalpha() and max(key) < "\u0250":     # one word: no splitting left to do
+        word = key.rstrip(MARKS)
+        if len(word) < len(key) and word[-1:].isalpha():        # a letter ends a token here
+            ids = self[word] + self[self.FIRST + key[len(word):]]
+        elif key[0] == "\n" and key[1:].isalpha():      # so does a line feed
+            ids = self[self.FIRST + "\n"] + self[self.FIRST + key[1:]]
+        elif (letters := text.removeprefix(" ")).isalpha() and max(letters) < "\u0250":     # one word: no splitting left to do
             tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
             ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         else:
