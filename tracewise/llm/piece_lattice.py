@@ -40,8 +40,8 @@ from .common import drop, input_slices, read, stored, worker_cache
 
 BLANK = "▁"
 #: Dictionary words at most, characters at most of words in it and in the higher-order fold; words counted per worker before flushing;
-#: characters per window of longer words.
-MAX_WORDS, MAX_CHARS, MEMO_WORDS, WINDOW = 1 << 17, 48, 150_000, 256
+#: characters per window of longer words; texts a task remembers and rows it holds of the words beyond the dictionary.
+MAX_WORDS, MAX_CHARS, MEMO_WORDS, WINDOW, SEEN = 1 << 17, 48, 150_000, 256, 1 << 15
 #: Words from the finest cut on: letters, single digits and other characters apart; blanks and line feeds only.
 WORDS = (re.compile(rf"\n|{BLANK}*(?:[^\W\d_²³¹]+|\d|(?:[^\w{BLANK}\n]|[_²³¹])+)|{BLANK}+"), re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+"))
 
@@ -260,20 +260,26 @@ def other_words(docs: DataFrame, known, words: re.Pattern, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("piece_lattice")
-        first, seen = known.value, set()
+        first, seen, keys, out = known.value, set(), [], []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["text_hash", "word"])
+
         for batch in batches:
-            keys, out = [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 value = value.as_py() or ""
                 if (key, hash(value)) in seen:      # a copy of a text in this task
                     continue
-                if len(seen) > MEMO_WORDS:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add((key, hash(value)))
                 rest = [w for w in set(words_of(value, words)) if w not in first]
                 keys += [key] * len(rest)
                 out += rest
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["text_hash", "word"])
+                if len(out) > SEEN:
+                    yield flush()
+                    keys, out = [], []
+        yield flush()
 
     return docs.select(F.xxhash64(text), text).mapInArrow(run, "text_hash long, word string")
 
