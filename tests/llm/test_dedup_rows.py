@@ -83,3 +83,32 @@ def test_ids_of_pairs_are_not_exploded(spark, monkeypatch):
     docs = table(spark, family(5))
     assert near_dedup.near_duplicates(docs, 4, 80).where("not kept").count() > 0
     assert seen and all("Generate" not in plan and len(set(ids)) == len(ids) > 0 for plan, ids in seen)
+
+
+def test_last_round_makes_no_row_per_pair(spark, monkeypatch):
+    """Texts just below the similarity, each likely to be linked with each other, are refused without a row per pair."""
+    rng, members = random.Random(8), 120
+    passage = " ".join(f"p{i}" for i in range(460))
+    texts = [passage + " " + " ".join(f"t{rng.randrange(10 ** 9)}" for _ in range(64)) for _ in range(members)]
+    texts += [texts[7] + " one more", texts[8] + " other end"]
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(4)))) for t in texts]
+    want = components_by_pairs(sets)
+    assert len(set(want)) == members
+    pairs, asked, verified, asking = [], [], near_dedup.verified, near_dedup.asking
+
+    def counted(proposed, *more):
+        pairs.append(proposed.count())
+        return verified(proposed, *more)
+
+    def seen(rows, percent):
+        out = asking(rows, percent)
+        asked.append(out.select("id").distinct().count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    monkeypatch.setattr(near_dedup, "asking", seen)
+    monkeypatch.setattr(near_dedup, "ROUNDS", (None,))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts), 4, 80).collect()}
+    assert got == dict(enumerate(want))
+    assert sum(asked) > members / 2             # likely pairs were left to the last round
+    assert sum(pairs) < 8 * members

@@ -17,9 +17,9 @@ with the concentration of a sum of T nearly independent draws.
 4. Components of these links. Buckets whose members are still in different components
    are searched again, by sketches alone, in blocks of BLOCK members: each member proposes its
    best-agreeing pairs with other components, the pairs not tried before are
-   confirmed on full sets and merged, and the next of ROUNDS proposes more. The last proposes every
-   likely pair left, so no link that joins components is lost. Full sets travel with
-   proposed pairs only, never with bucket members.
+   confirmed on full sets and merged, and the next of ROUNDS proposes more. The last compares every
+   likely pair left, so no link that joins components is lost: full sets travel to the groups in which
+   a member has such a pair, and the pairs are confirmed there without a row for each.
 5. Components of all links, by alternating large-star and small-star steps on
    stored tables; nothing but counts reaches the driver.
 
@@ -47,6 +47,8 @@ from .common import drop, read, stored, worker_cache
 from .quality_rules import WordHashes
 
 T, BANDS, ROWS, MARGIN, BLOCK = 288, 38, 5, 0.107, 4096
+#: Bytes of full sets in a block of the last round.
+BLOCK_BYTES = 8 << 20
 #: Pairs that a member proposes per bucket (or pair of blocks) and round; the last round takes all that are left.
 ROUNDS = (2, 16, None)
 #: With fewer than one link in FEW proposed pairs, the rounds between are left out.
@@ -258,66 +260,159 @@ def components(links: DataFrame, scratch: list[str]) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def cross_pairs(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+def in_blocks(members: DataFrame, *more: str) -> DataFrame:
+    """(id, component, n, own, sig, hub, bucket, lo, hi, band) and ``more`` of ``members``, dealt and sorted by (bucket, lo, hi).
+    Input rows: bucket, band, hub, blocks, id, component, n, sig. A bucket of one block is one group; one of
+    several is dealt over its blocks by id, every pair of blocks a group."""
+    rows = (members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
+    return rows.select("id", "component", "n", "own", "sig", "hub", "bucket", "lo", "hi", "band", *more)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Groups of two rows or more of :func:`in_blocks`, one after the other."""
+    key, group = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[6:9] != key:
+                if len(group) > 1:
+                    yield group
+                key, group = row[6:9], []
+            group.append(row)
+    if len(group) > 1:
+        yield group
+
+
+class Group:
+    """Rows of one group as arrays; ``likely_with`` names the members that a member probably links to."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.ids, self.comps, self.sizes, self.owns = (np.array([g[k] for g in rows]) for k in range(4))
+        self.sig = np.frombuffer(b"".join(g[4] for g in rows), np.uint8).reshape(-1, T)
+        self.hub, (self.bucket, self.lo, self.hi), self.band = rows[0][5], rows[0][6:9], rows[0][9]
+        self.percent, self.least = percent, (percent / 100 - MARGIN) * T
+
+    def others(self) -> np.ndarray:
+        return np.flatnonzero(self.ids != self.hub)      # the hub was compared with all members before
+
+    def likely_with(self, i: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other components (with larger ids only, if ``later``) and the bins that agree."""
+        sizes, i_size = self.sizes, self.sizes[i]
+        fits = (self.comps != self.comps[i]) & (self.ids != self.hub) & (100 * np.minimum(sizes, i_size) >= self.percent * np.maximum(sizes, i_size))
+        if self.lo != self.hi:
+            fits &= self.owns != self.owns[i]
+        if later:
+            fits &= self.ids > self.ids[i]
+        j = np.flatnonzero(fits)
+        same = self.sig[j] == self.sig[i]
+        agree = same.sum(1)
+        # a pair belongs to its first common bucket: the one of the first band with equal bins
+        fits = (agree >= self.least) & ~same[:, :self.band * ROWS].reshape(len(j), self.band, ROWS).all(2).any(1)
+        return j[fits], agree[fits]
+
+
+def cross_pairs(members: DataFrame, percent: int, most: int) -> DataFrame:
     """Likely pairs (a, b) of different components in one bucket: of every member the
-    ``most`` with the best agreement in each block pair, or all of them (None). Input rows:
+    ``most`` with the best agreement in each block pair. Input rows:
     bucket, band, hub, size (members of the bucket), id, component, n, sig. A pair is found in one bucket
     only, by the bins' bytes (a chance of 1e-12 per band to take an earlier bucket for common). A bucket of up to BLOCK
     members is one group; a larger one is dealt over blocks, every pair of blocks a group."""
-    least = (percent / 100 - MARGIN) * T
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = (members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
 
-    def likely_pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, comps, sizes, owns = (np.array([g[k] for g in group]) for k in range(4))
-        sig = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(-1, T)
-        hub, (_, lo, hi), band = group[0][5], group[0][6:9], group[0][9]
-        found, waiting = [], 0
-        for i in np.flatnonzero(ids != hub):        # the hub was compared with all members before
-            fits = (comps != comps[i]) & (ids != hub) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            if lo != hi:
-                fits &= owns != owns[i]
-            if most is None:
-                fits &= ids > ids[i]
-            j = np.flatnonzero(fits)
-            if not len(j):
-                continue
-            same = sig[j] == sig[i]
-            agree = same.sum(1)
-            # a pair belongs to its first common bucket: the one of the first band with equal bins
-            fits = (agree >= least) & ~same[:, :band * ROWS].reshape(len(j), band, ROWS).all(2).any(1)
-            j, agree = j[fits], agree[fits]
-            if most is not None and len(j) > most:
-                j = j[np.lexsort((ids[j], -agree))[:most]]
-            found.append(np.stack((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]))))
-            waiting += len(j)
-            if waiting > 1 << 16:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches):
+            group, found, waiting = Group(rows, percent), [], 0
+            ids = group.ids
+            for i in group.others():
+                j, agree = group.likely_with(i, False)
+                if len(j) > most:
+                    j = j[np.lexsort((ids[j], -agree))[:most]]
+                found.append(np.stack((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]))))
+                waiting += len(j)
+                if waiting > 1 << 16:
+                    yield pairs_of(found)
+                    found, waiting = [], 0
+            if waiting:
                 yield pairs_of(found)
-                found, waiting = [], 0
-        if waiting:
-            yield pairs_of(found)
 
-    def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    rows = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    return dealt(in_blocks(rows)).mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def asking(rows: DataFrame, percent: int) -> DataFrame:
+    """(bucket, lo, hi, id) of the members of :func:`in_blocks` that have a likely pair in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[6:9] != key:
-                    if len(group) > 1:
-                        yield from likely_pairs(group)
-                    key, group = row[6:9], []
-                group.append(row)
-        if len(group) > 1:
-            yield from likely_pairs(group)
+        for rows in groups_of(batches):
+            group = Group(rows, percent)
+            asks = np.zeros(len(rows), bool)
+            for i in group.others():
+                j, _ = group.likely_with(i, True)
+                asks[j] = True
+                asks[i] |= len(j) > 0
+            ids = group.ids[asks]
+            cols = [pa.array([v] * len(ids), t) for v, t in ((group.bucket, pa.int64()), (group.lo, pa.int32()), (group.hi, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.int64())], names=["bucket", "lo", "hi", "id"])
+
+    return dealt(rows).mapInArrow(run, "bucket long, lo int, hi int, id long").distinct()
 
-    return rows.select("id", "component", "n", "own", "sig", "hub", "bucket", "lo", "hi", "band") \
-        .repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi") \
-        .mapInArrow(run, "a long, b long").distinct()
+
+def joining_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), confirmed on the full sets, that join all components that any likely pair of a group joins.
+    Input: :func:`in_blocks` with the column set. Each pair of members still apart is compared in place, so no row is made per pair,
+    and a group gives fewer links than it has members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches):
+            group, found = Group(rows, percent), []
+            ids, comps = group.ids, group.comps
+            sets = [np.frombuffer(g[10], np.uint64) for g in rows]
+            ends = np.cumsum([len(s) for s in sets])
+            numbers, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            codes = np.split(codes.astype(np.int32), ends[:-1])
+            own = np.zeros(len(numbers), bool)
+            for i in group.others():
+                j, _ = group.likely_with(i, True)
+                if not len(j):
+                    continue
+                own[codes[i]] = True
+                for first in range(0, len(j), 256):
+                    k = j[first:first + 256]
+                    k = k[comps[k] != comps[i]]
+                    if not len(k):
+                        continue
+                    sizes = np.array([len(codes[x]) for x in k])
+                    both = np.add.reduceat(own[np.concatenate([codes[x] for x in k])], np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                    for x in k[100 * both >= percent * (len(codes[i]) + sizes - both)]:
+                        if comps[x] != comps[i]:
+                            found.append(np.array([[ids[i]], [ids[x]]]))
+                            comps[comps == comps[x]] = comps[i]
+                own[codes[i]] = False
+            if found:
+                yield pairs_of(found)
+
+    return dealt(rows).mapInArrow(run, "a long, b long").distinct()
+
+
+def last_links(wide: DataFrame, docs: DataFrame, n: int, percent: int, own: list[str], scratch: list[str]) -> DataFrame:
+    """The last round: links that join all components that any likely pair left joins. The full sets of members
+    with such a pair go to the groups of these pairs; a block holds BLOCK members and about BLOCK_BYTES of sets."""
+    blocks = wide.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = in_blocks(wide.join(blocks, "bucket"))
+    asked = stored(asking(rows, percent), "dedup-asking", own)
+    sets = stored(full_sets(docs, asked.select(F.col("id").alias("doc_id")).distinct(), n), "dedup-last-sets", own)
+    rows = rows.join(asked, ["bucket", "lo", "hi", "id"], "left_semi").join(sets.withColumnRenamed("doc_id", "id").distinct(), "id")
+    rows = rows.select("id", "component", "n", "own", "sig", "hub", "bucket", "lo", "hi", "band", "set")
+    return stored(joining_links(rows, percent), "dedup-last-links", scratch)
 
 
 def cross_links(members: DataFrame, reps: DataFrame, docs: DataFrame, links: DataFrame, found: DataFrame, tried: DataFrame,
@@ -342,6 +437,14 @@ def cross_links(members: DataFrame, reps: DataFrame, docs: DataFrame, links: Dat
             near = stored(reps.select(F.col("doc_id").alias("id"), "n", "sig").join(wide.select("id").distinct(), "id", "left_semi"),
                           "dedup-near", kept)
         wide = wide.join(near, "id")
+        if most is None:
+            joining = last_links(wide, docs, n, percent, own, kept)
+            if not joining.isEmpty():
+                links = links.unionByName(joining)
+                drop(spark, owned)
+                found = components(links, owned)
+            drop(spark, own)
+            break
         pairs = stored(cross_pairs(wide, percent, most).join(tried, ["a", "b"], "left_anti"), "dedup-proposed", kept)
         if not pairs.isEmpty():
             joining = verified(pairs, docs, n, percent, "dedup-cross", own, kept)
