@@ -48,3 +48,15 @@ def test_marks_behind_words_are_encoded_apart():
     assert token_file.encode_texts(texts, pieces) == whole
     assert " word###" not in asked and "\nLine" not in asked and texts[2] in asked and texts[3] in asked
     assert isinstance(pieces.odd, list)
+
+
+def test_plain_words_go_to_the_model_as_they_are():
+    """A word of ASCII letters is neither searched for marks nor turned into byte letters; other texts are cut as before."""
+    import public_tokenizers
+
+    pieces = token_file.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, tokens = [], pieces.tokens
+    pieces.tokens = lambda letters: asked.append(letters) or tokens(letters)
+    texts = ["The plain words, here", "two  blanks", " front", "end ", "line\n feed", "feed\n", "\n\n", "\tx　y", "größer\nThe", "", " "]
+    assert token_file.encode_texts(texts, pieces) == [pieces.encode(t) for t in texts]
+    assert "Ġplain" in asked and "Ġwords" in asked

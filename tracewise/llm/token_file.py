@@ -184,9 +184,18 @@ class Pieces(dict):
         ids = self.tok.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def tokens(self, letters: str) -> bytes:
+        """Ids of one word in byte letters."""
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, key: str) -> bytes:
         if len(self) > MEMO_PIECES:
             self.clear()
+        if key.isascii() and key.isalpha():     # one plain word after its space, the most frequent case
+            ids = self.tokens(self.letters[32] + key)
+            self[key] = ids
+            return ids
         text = key[1:] if key[0] == self.FIRST else key if key[0] == "\n" else " " + key
         word = key.rstrip(MARKS)
         if len(word) < len(key) and word[-1:].isalpha():        # a letter ends a token here
@@ -194,17 +203,18 @@ class Pieces(dict):
         elif key[0] == "\n" and key[1:].isalpha():      # so does a line feed
             ids = self[self.FIRST + "\n"] + self[self.FIRST + key[1:]]
         elif (letters := text.removeprefix(" ")).isalpha() and max(letters) < "\u0250":     # one word: no splitting left to do
-            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            ids = self.tokens(text.encode().decode("latin-1").translate(self.letters))
         else:
             ids = self.encode(text)
         self[key] = ids
         return ids
 
     def keys_of(self, text: str) -> list[str]:
-        keys = text.replace("\n", " \n").split(" ")
+        spaced = text.replace("\n", " \n")
         # one blank or line feed between words, no other white space
-        if "" not in keys and "\n" not in keys and text.replace("\n", "").isprintable():
+        if spaced and spaced[0] != " " and spaced[-1] not in " \n" and "  " not in spaced and "\n " not in spaced \
+                and text.replace("\n", "").isprintable():
+            keys = spaced.split(" ")
             if keys[0][0] != "\n":
                 keys[0] = self.FIRST + keys[0]
             return keys
