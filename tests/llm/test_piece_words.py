@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 import public_tokenizers
 import sentencepiece
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracewise.llm import piece_lattice
@@ -43,3 +45,34 @@ def test_long_words_fold_as_short_ones(spark):
         short = piece_lattice.fold(piece_lattice.lattice(words, pieces, vocab["longest"]), vocab, kind)
         long = piece_lattice.fold_long(words, pieces, vocab, kind).select("word", F.col("ids").alias("long_ids"))
         assert short.join(long, "word").where("ids <> long_ids").count() == 0 and long.count() == words.count()
+
+
+def test_edges_are_gathered_without_a_sort(spark):
+    """Each word's edges come together from rows that lie behind each other, also across batches."""
+    rows = [("ab", 0, 0, None, None), (None, 1, 1, 5, -1.0), (None, 1, 2, 7, -0.5), (None, 2, 1, 6, -2.0), ("x", 0, 0, None, None), ("cd", 0, 0, None, None), (None, 1, 2, 9, -3.0)]
+    schema = pa.schema([("word", pa.string()), ("start", pa.int32()), ("size", pa.int32()), ("id", pa.int32()), ("score", pa.float64())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    want = [("ab", [(1, 1, 5), (1, 2, 7), (2, 1, 6)]), ("x", []), ("cd", [(1, 2, 9)])]
+    for n in (1, 2, 3, 7):
+        got = [(r["word"], [(e["start"], e["size"], e["id"]) for e in r["edges"]])
+               for b in piece_lattice.gathered(batch.slice(at, n) for at in range(0, 7, n)) for r in b.to_pylist()]
+        assert got == want
+    edges = [e for b in piece_lattice.gathered([batch]) for e in b.to_pylist()[0]["edges"]][:3]
+    assert [(e["cost"], e["ends"], e["inside"]) for e in edges] == [(1.0, 0b11, 0), (0.5, 0b101, 0b10), (2.0, 0b110, 0)]
+    with pytest.raises(ValueError):
+        list(piece_lattice.gathered([batch.slice(1, 2)]))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocab = piece_lattice.vocabulary(path)
+    words = spark.createDataFrame([("the",)], "word string")
+    plan = piece_lattice.lattice(words, piece_lattice.piece_table(spark, vocab), vocab["longest"])._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "Sort " not in plan
+
+
+def test_batches_are_taken_in_slices(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [None, "", "the house", "of an unheardofword 12", None, "the unheardofword", "x" * 60]
+    batch = (pa.array(texts, pa.string()), pa.array([None, [], ["a"], ["b", "c"], None, ["d"], []], pa.list_(pa.string())))
+    monkeypatch.setattr(piece_lattice, "SLICE", 3)
+    cuts = list(piece_lattice.slices(batch))
+    assert [len(c[0]) for c in cuts] == [3, 3, 1] and cuts[1][1].values.to_pylist() == ["b", "c", "d"] and cuts[1][1].offsets[0].as_py() == 0
+    assert [len(c[0]) for c in piece_lattice.slices((batch[0][:0],))] == [0]

@@ -42,6 +42,8 @@ BLANK = "▁"
 #: Dictionary words at most, characters at most of words in it and in the higher-order fold; words counted per worker before flushing;
 #: characters per window of longer words; texts a task remembers and rows it holds of the words beyond the dictionary.
 MAX_WORDS, MAX_CHARS, MEMO_WORDS, WINDOW, SEEN = 1 << 17, 48, 150_000, 256, 1 << 15
+#: Rows of a batch that are Python objects at once.
+SLICE = 512
 #: Words from the finest cut on: letters, single digits and other characters apart; blanks and line feeds only.
 WORDS = (re.compile(rf"\n|{BLANK}*(?:[^\W\d_²³¹]+|\d|(?:[^\w{BLANK}\n]|[_²³¹])+)|{BLANK}+"), re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+"))
 
@@ -71,17 +73,49 @@ def piece_table(spark: SparkSession, vocab: dict) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
+EDGES = "array<struct<cost:double,start:int,size:int,id:int,score:double,ends:bigint,inside:bigint>>"
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, edges) of distinct words of MAX_CHARS at most: edges are (cost, start, size, id, score, ends, inside), start
     counted from 1, cost the score negated, ends and inside the bits of the cuts at the edge's ends and within it. Words are
     dealt once; the piece table has as many rows as the vocabulary file, so it is broadcast and the edges of a word stay together."""
     starts = words.select("word").repartition(input_slices(words.sparkSession), "word").select("word", F.expr("explode(sequence(0, length(word)))").alias("start"))
-    # the span of size 0 joins the row put in front of the pieces: a word without any edge keeps a row
+    # the span of size 0 joins the row put in front of the pieces: each word's rows begin with it
     parts = starts.select("word", "start", F.expr(f"explode(if(start = 0, array(0), sequence(1, least({longest}, length(word) - start + 1))))").alias("size")) \
-        .select("word", "start", "size", F.expr("substring(word, start, size)").alias("piece"))
-    edges = parts.join(F.broadcast(with_none(pieces)), "piece").select("word", "id", F.expr("""struct(-score AS cost, start, size, id, score,
-        shiftleft(1L, start - 1) | shiftleft(1L, start + size - 1) AS ends, shiftleft(shiftleft(1L, greatest(size, 1) - 1) - 1, start) AS inside)""").alias("edge"))
-    return edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.col("edge"))).alias("edges"))
+        .select(F.expr("if(start = 0, word, null)").alias("word"), "start", "size", F.expr("substring(word, start, size)").alias("piece"))
+    edges = parts.join(F.broadcast(with_none(pieces)), "piece").select("word", "start", "size", "id", "score")
+    return edges.mapInArrow(gathered, f"word string, edges {EDGES}")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, edges) from the rows of one word behind the other, the first with the word: no sort, and no more than a batch is held."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        heads = np.flatnonzero(table["word"].is_valid().to_numpy())
+        if len(table) and (not len(heads) or heads[0]):
+            raise ValueError("the edges of a word are not together")
+        if len(heads) > 1:
+            yield gathered_rows(table.slice(0, heads[-1]), heads[:-1])
+        rest = table.slice(heads[-1]).to_batches()[0] if len(heads) else None
+    if rest is not None:
+        yield gathered_rows(pa.Table.from_batches([rest]), np.zeros(1, np.int64))
+
+
+def gathered_rows(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+    words = table["word"].take(pa.array(heads)).combine_chunks()
+    keep = np.ones(len(table), bool)
+    keep[heads] = False
+    start, size = (table[c].to_numpy()[keep].astype(np.int64) for c in ("start", "size"))
+    edges = table.filter(pa.array(keep))
+    score = edges["score"].to_numpy()
+    columns = [(-score, pa.float64()), (start, pa.int32()), (size, pa.int32()), (edges["id"].to_numpy(), pa.int32()), (score, pa.float64()),
+               ((1 << (start - 1)) | (1 << (start + size - 1)), pa.int64()), (((1 << (size - 1)) - 1) << start, pa.int64())]
+    names = ["cost", "start", "size", "id", "score", "ends", "inside"]
+    offsets = np.append(heads - np.arange(len(heads)), keep.sum()).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(v, t) for v, t in columns], names)
+    return pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(offsets), values)], names=["word", "edges"])
 
 
 def with_none(pieces: DataFrame) -> DataFrame:
@@ -97,9 +131,12 @@ def ids_by_merges(other: str) -> str:
     """Fold: the set of cuts as bits, first one around every character; each step removes the cut
     inside the best-scored edge that covers two adjacent pieces (the leftmost of equals). The
     edges between neighbouring cuts are the pieces left; ``other`` stands for a character ch without any."""
-    best = "filter(pairs, e -> (cuts & e.ends) = e.ends AND bit_count(cuts & e.inside) = 1)"
-    cuts = f"""aggregate(sequence(1, length(word)), shiftleft(1L, length(word) + 1) - 1,
-        (cuts, turn) -> transform(array({best}), b -> if(size(b) = 0, cuts, cuts & ~b[0].inside))[0])"""
+    # the state keeps the edges that still can be joined, so that the turns become short and the last ones do nothing
+    best = "filter(state.pairs, e -> bit_count(state.cuts & e.inside) = 1)"
+    live = "filter(state.pairs, e -> (cuts & e.ends) = e.ends AND (cuts & e.inside) <> 0)"
+    cuts = f"""aggregate(sequence(1, length(word)), named_struct('cuts', shiftleft(1L, length(word) + 1) - 1, 'pairs', pairs),
+        (state, turn) -> if(size(state.pairs) = 0, state, transform(array({best}), b -> transform(array(if(size(b) = 0, 0L, state.cuts & ~b[0].inside)),
+            cuts -> named_struct('cuts', if(cuts = 0, state.cuts, cuts), 'pairs', {live}))[0])[0]), state -> state.cuts)"""
     # the best first: edges are ordered by cost, then start
     cuts = f"transform(array(sort_array(filter(edges, e -> e.size > 1))), pairs -> {cuts})[0]"
     left = "transform(filter(edges, e -> (cuts & e.ends) = e.ends AND (cuts & e.inside) = 0), e -> struct(e.start AS start, array(e.id) AS ids))"
@@ -284,6 +321,13 @@ def other_words(docs: DataFrame, known, words: re.Pattern, text: str = "text") -
     return docs.select(F.xxhash64(text), text).mapInArrow(run, "text_hash long, word string")
 
 
+def slices(batch: tuple[pa.Array, ...]) -> Iterator[list[pa.Array]]:
+    """The columns of a batch in slices of SLICE rows (one slice of none, if empty), so that few rows at a time are Python objects."""
+    for at in range(0, max(1, len(batch[0])), SLICE):
+        rows = pa.array(np.arange(at, min(at + SLICE, len(batch[0]))))
+        yield [c.take(rows) for c in batch]     # copied, so that values and offsets of nested columns are the slice's own
+
+
 def encode(docs: DataFrame, known: dict[str, bytes], path: str, text: str = "text", ids: str = "ids", kind: str = "merge") -> DataFrame:
     """``docs`` with the ids of every text as array<int>. ``known`` has MAX_WORDS entries at most;
     all other words get theirs by the lattice here. Texts of equal hash share their words, so a collision loses none."""
@@ -299,13 +343,19 @@ def encode(docs: DataFrame, known: dict[str, bytes], path: str, text: str = "tex
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         worker_cache("piece_lattice")
         first = shared.value
-        for texts, words, word_ids in batches:
-            rows = []
-            for value, more, more_ids in zip(texts, words, word_ids):
-                own = dict(zip(more.as_py(), [np.array(i, "<i4").tobytes() for i in more_ids.as_py()])) if more.is_valid else {}
-                rows.append(b"".join([first[w] if w in first else own[w] for w in words_of(value.as_py() or "", pattern)]))
-            offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+        for batch in batches:
+            yield pa.concat_arrays([part(first, *cut) for cut in slices(batch)])
+
+    def part(first: dict[str, bytes], texts: pa.Array, words: pa.Array, word_ids: pa.Array) -> pa.Array:
+        rows, flat, per_word = [], words.values.to_pylist(), word_ids.values
+        more, more_ids = np.asarray(words.offsets).tolist(), np.asarray(word_ids.offsets).tolist()
+        data = np.asarray(per_word.values).astype("<i4")
+        ends = np.asarray(per_word.offsets).tolist()
+        for k, value in enumerate(texts):
+            own = {w: data[ends[i]:ends[i + 1]].tobytes() for w, i in zip(flat[more[k]:more[k + 1]], range(more_ids[k], more_ids[k + 1]))}
+            rows.append(b"".join([first[w] if w in first else own[w] for w in words_of(value.as_py() or "", pattern)]))
+        offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
     # copies of one text meet in one key: the documents' side is plain, so it is split as a skewed join
     joined = docs.withColumn("_hash_of_text", F.xxhash64(text)).join(found, F.col("_hash_of_text") == F.col("_text_hash"), "left")
@@ -326,15 +376,18 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
                                    else p.replace(BLANK, " ").encode() for i, p in enumerate(map(sp.id_to_piece, range(sp.vocab_size())))], pa.binary())
         table = cache[key]
         for batch in batches:
-            out = []
-            for value in batch:
-                if not value.is_valid:
-                    out.append(None)
-                    continue
-                pieces = table.take(value.values)           # their bytes lie one behind the other
-                found = pieces.buffers()[2].to_pybytes().decode("utf-8", "replace") if len(pieces) else ""
-                out.append(found[1:] if found[:1] == " " else found)
-            yield pa.array(out, pa.string())
+            yield pa.concat_arrays([part(table, *cut) for cut in slices((batch,))])
+
+    def part(table: pa.Array, rows: pa.Array) -> pa.Array:
+        out = []
+        for value in rows:
+            if not value.is_valid:
+                out.append(None)
+                continue
+            pieces = table.take(value.values)           # their bytes lie one behind the other
+            found = pieces.buffers()[2].to_pybytes().decode("utf-8", "replace") if len(pieces) else ""
+            out.append(found[1:] if found[:1] == " " else found)
+        return pa.array(out, pa.string())
 
     return docs.withColumn(text, run(F.col(ids)))
 
