@@ -1,6 +1,7 @@
 """Every word of op6 goes through the lattice: no library call encodes one, whatever the dictionary holds."""
 
 import random
+from pathlib import Path
 
 import pytest
 import public_tokenizers
@@ -76,3 +77,31 @@ def test_batches_are_taken_in_slices(spark, monkeypatch):
     cuts = list(piece_lattice.slices(batch))
     assert [len(c[0]) for c in cuts] == [3, 3, 1] and cuts[1][1].values.to_pylist() == ["b", "c", "d"] and cuts[1][1].offsets[0].as_py() == 0
     assert [len(c[0]) for c in piece_lattice.slices((batch[0][:0],))] == [0]
+
+
+def test_texts_are_dealt_out_compressed_and_shuffle_files_go(spark, tmp_path):
+    """The join back shuffles no plain text, and the steps before it leave no shuffle files behind."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(5)
+    texts = [None, ""] + [" ".join("".join(rng.choices("abeinrst", k=5)) for _ in range(400)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).parent
+    held = lambda: {f for f in local.rglob("shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf, before = spark.conf.get(name), held()
+    found = piece_lattice.encode(docs, piece_lattice.dictionary(docs, path, most=5), path)
+    assert not held() - before and spark.conf.get(name) == conf
+    join = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "packed(" in line)
+    assert "packed(text" in join and {r["doc_id"]: r["text"] for r in found.collect()} == dict(enumerate(texts))
+    assert found.columns == ["doc_id", "text", "ids"] and dict(found.dtypes)["text"] == "string"
+
+
+def test_merges_of_a_batch_are_those_of_each_word(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, vocab, rng = sentencepiece.SentencePieceProcessor(model_file=path), piece_lattice.vocabulary(path), random.Random(9)
+    words = sorted({w for _ in range(300) for w in piece_lattice.words_of("".join(rng.choices(["th", "e", "in", "g", "漢", "🙂", "é", "x", "\x01", "7"], k=rng.randint(1, 20))), vocab["words"])
+                    if len(w) <= piece_lattice.MAX_CHARS and w[0] == piece_lattice.BLANK})
+    edges = piece_lattice.lattice(spark.createDataFrame([(w,) for w in words], "word string"), piece_lattice.piece_table(spark, vocab), vocab["longest"])
+    batches = edges.toArrow().to_batches()
+    got = {r["word"]: r["ids"] for b in piece_lattice.ids_by_merges(vocab)(iter(batches)) for r in b.to_pylist()}
+    assert got == {w: sp.encode(w[1:]) for w in words}

@@ -4,15 +4,16 @@
    blanks with the letters, the digit or the other characters after them, line feeds apart.
 2. The lattice of distinct words is relational: substrings of bounded
    length are exploded and equi-joined to the piece table, edges are grouped by
-   word, and a Spark higher-order ``aggregate`` folds each word's edges to its ids. Words
+   word, and a fold takes each word's edges to its ids. Words
    beyond MAX_CHARS go through the same join window by window, and an Arrow function folds each one's edges.
 3. The ids of the MAX_WORDS most frequent words are broadcast (their number bounds the dictionary).
    Every other word goes through the lattice too: the distinct words of each text that the dictionary
-   lacks are joined to their ids, grouped by a hash of the text and joined back to the documents.
+   lacks are joined to their ids, grouped by a hash of the text and joined back to the documents,
+   whose texts are compressed for that join.
 
-Two folds: ``path`` is Viterbi, the path of the largest sum of scores, right for
-unigram vocabularies; ``merge`` joins the best-scored adjacent pair until none is left,
-right for BPE vocabularies such as piece_bpe_32k.model, whose scores are merge ranks:
+Two folds: ``path`` is Viterbi, the path of the largest sum of scores, by a Spark higher-order ``aggregate``, right
+for unigram vocabularies; ``merge`` joins the best-scored adjacent pair until none is left, for all
+words of an Arrow batch in step, right for BPE vocabularies such as piece_bpe_32k.model, whose scores are merge ranks:
 there the Viterbi path differs from what SentencePiece returns.
 
 Decoding concatenates pieces, puts byte pieces together as UTF-8 (invalid bytes as
@@ -30,20 +31,24 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, input_slices, read, stored, worker_cache
 
 BLANK = "▁"
-#: Dictionary words at most, characters at most of words in it and in the higher-order fold; words counted per worker before flushing;
+#: Dictionary words at most, characters at most of words in it and in the folds of whole words; words counted per worker before flushing;
 #: characters per window of longer words; texts a task remembers and rows it holds of the words beyond the dictionary.
 MAX_WORDS, MAX_CHARS, MEMO_WORDS, WINDOW, SEEN = 1 << 17, 48, 150_000, 256, 1 << 15
-#: Rows of a batch that are Python objects at once.
-SLICE = 512
+#: Rows of a batch that are Python objects at once; rounds, over a share of the texts each, in which the words beyond the
+#: dictionary get their ids: a round's shuffle files go before the next begins.
+SLICE, ROUNDS = 512, 4
 #: Words from the finest cut on: letters, single digits and other characters apart; blanks and line feeds only.
 WORDS = (re.compile(rf"\n|{BLANK}*(?:[^\W\d_²³¹]+|\d|(?:[^\w{BLANK}\n]|[_²³¹])+)|{BLANK}+"), re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+"))
 
@@ -53,6 +58,18 @@ def words_of(text: str, words: re.Pattern = WORDS[-1]) -> list[str]:
     return words.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark removes the shuffle files of every query when it ends; they would stay until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def vocabulary(path: str) -> dict:
     """Pieces with ids and scores, the byte pieces, and the finest of WORDS that no piece crosses."""
     import sentencepiece
@@ -76,16 +93,20 @@ def piece_table(spark: SparkSession, vocab: dict) -> DataFrame:
 EDGES = "array<struct<cost:double,start:int,size:int,id:int,score:double,ends:bigint,inside:bigint>>"
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges) of distinct words of MAX_CHARS at most: edges are (cost, start, size, id, score, ends, inside), start
-    counted from 1, cost the score negated, ends and inside the bits of the cuts at the edge's ends and within it. Words are
+def spans(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, start, size, id, score) of distinct words of MAX_CHARS at most: each word's row, then those of its edges. Words are
     dealt once; the piece table has as many rows as the vocabulary file, so it is broadcast and the edges of a word stay together."""
     starts = words.select("word").repartition(input_slices(words.sparkSession), "word").select("word", F.expr("explode(sequence(0, length(word)))").alias("start"))
     # the span of size 0 joins the row put in front of the pieces: each word's rows begin with it
     parts = starts.select("word", "start", F.expr(f"explode(if(start = 0, array(0), sequence(1, least({longest}, length(word) - start + 1))))").alias("size")) \
         .select(F.expr("if(start = 0, word, null)").alias("word"), "start", "size", F.expr("substring(word, start, size)").alias("piece"))
-    edges = parts.join(F.broadcast(with_none(pieces)), "piece").select("word", "start", "size", "id", "score")
-    return edges.mapInArrow(gathered, f"word string, edges {EDGES}")
+    return parts.join(F.broadcast(with_none(pieces)), "piece").select("word", "start", "size", "id", "score")
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, edges) of distinct words of MAX_CHARS at most: edges are (cost, start, size, id, score, ends, inside), start
+    counted from 1, cost the score negated, ends and inside the bits of the cuts at the edge's ends and within it."""
+    return spans(words, pieces, longest).mapInArrow(gathered, f"word string, edges {EDGES}")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,23 +148,51 @@ def with_none(pieces: DataFrame) -> DataFrame:
 KEY = "({start}) * 1024 + ({size})"
 
 
-def ids_by_merges(other: str) -> str:
-    """Fold: the set of cuts as bits, first one around every character; each step removes the cut
-    inside the best-scored edge that covers two adjacent pieces (the leftmost of equals). The
-    edges between neighbouring cuts are the pieces left; ``other`` stands for a character ch without any."""
-    # the state keeps the edges that still can be joined, so that the turns become short and the last ones do nothing
-    best = "filter(state.pairs, e -> bit_count(state.cuts & e.inside) = 1)"
-    live = "filter(state.pairs, e -> (cuts & e.ends) = e.ends AND (cuts & e.inside) <> 0)"
-    cuts = f"""aggregate(sequence(1, length(word)), named_struct('cuts', shiftleft(1L, length(word) + 1) - 1, 'pairs', pairs),
-        (state, turn) -> if(size(state.pairs) = 0, state, transform(array({best}), b -> transform(array(if(size(b) = 0, 0L, state.cuts & ~b[0].inside)),
-            cuts -> named_struct('cuts', if(cuts = 0, state.cuts, cuts), 'pairs', {live}))[0])[0]), state -> state.cuts)"""
-    # the best first: edges are ordered by cost, then start
-    cuts = f"transform(array(sort_array(filter(edges, e -> e.size > 1))), pairs -> {cuts})[0]"
-    left = "transform(filter(edges, e -> (cuts & e.ends) = e.ends AND (cuts & e.inside) = 0), e -> struct(e.start AS start, array(e.id) AS ids))"
-    none = f"""transform(filter(sequence(1, length(word)), i -> (shiftright(cuts, i - 1) & 3L) = 3 AND NOT exists(edges, e -> e.start = i AND e.size = 1)),
-        i -> struct(i AS start, transform(array(substring(word, i, 1)), ch -> {other})[0] AS ids))"""
-    pieces = f"if(size(filter(edges, e -> e.size = 1)) = length(word), {left}, concat({left}, {none}))"
-    return f"transform(array({cuts}), cuts -> flatten(transform(sort_array({pieces}), p -> p.ids)))[0]"
+def ids_by_merges(vocab: dict):
+    """Fold of (word, edges) batches: per word the set of cuts as bits, first one around every character; each turn removes,
+    for all words at once, the cut inside the best-scored edge that covers two adjacent pieces (the leftmost of equals).
+    The edges between neighbouring cuts are the pieces left; a character without any becomes bytes or the unknown id."""
+    data, unknown = vocab["bytes"], vocab["unknown"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, edges = batch.column(0), batch.column(1)
+        length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.repeat(np.arange(len(words)), pc.list_value_length(edges).to_numpy(zero_copy_only=False))
+        cost, start, size, ids, ends, inside = (edges.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("cost", "start", "size", "id", "ends", "inside"))
+        cuts = (np.int64(1) << (length + 1)) - 1
+        order = np.lexsort((size, start, cost, at))
+        order = order[size[order] > 1]
+        word, outer, inner = at[order], ends[order], inside[order]
+        while len(word):        # pairs that can still be joined, of each word the best first
+            now = cuts[word]
+            live = np.flatnonzero(((now & outer) == outer) & ((now & inner) != 0))
+            word, outer, inner = word[live], outer[live], inner[live]
+            cut = cuts[word] & inner
+            pairs = np.flatnonzero((cut & (cut - 1)) == 0)
+            if not len(pairs):
+                break
+            first = pairs[np.append(True, word[pairs][1:] != word[pairs][:-1])]
+            cuts[word[first]] &= ~inner[first]
+        now = cuts[at]
+        left = np.flatnonzero(((now & ends) == ends) & ((now & inside) == 0))
+        base = np.cumsum(length) - length
+        alone = np.ones(int(length.sum()), bool)        # characters that are no piece
+        alone[(base[at] + start - 1)[size == 1]] = False
+        alone = np.flatnonzero(alone)
+        owner = np.searchsorted(base + length, alone, "right")
+        place = alone - base[owner]
+        none = [(w, i) for w, i in zip(owner.tolist(), place.tolist()) if int(cuts[w]) >> i & 3 == 3]
+        more = [(w, i + 1, x) for w, i in none for x in (data_of(words[w].as_py()[i]))]
+        rows = np.array(more, np.int64).reshape(-1, 3)
+        of, begin, out = (np.concatenate((x, y)) for x, y in zip((at[left], start[left], ids[left]), rows.T))
+        order = np.lexsort((begin, of))     # stable: the bytes of a character stay in their order
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(words))))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[order], pa.int32()))], names=["word", "ids"])
+
+    def data_of(ch: str) -> list[int]:
+        return [data[b] for b in ch.encode()] if data else [unknown]
+
+    return lambda batches: (run(b) for b in batches if len(b))
 
 
 def cuts_by_path() -> str:
@@ -160,6 +209,8 @@ def cuts_by_path() -> str:
 
 def fold(edges: DataFrame, vocab: dict, kind: str = "merge") -> DataFrame:
     """(word, ids) from (word, edges)."""
+    if kind == "merge":
+        return edges.mapInArrow(ids_by_merges(vocab), "word string, ids array<int>")
     data = vocab["bytes"]
     if data and data != list(range(data[0], data[0] + 256)):
         raise ValueError("byte pieces are not in order")
@@ -170,8 +221,6 @@ def fold(edges: DataFrame, vocab: dict, kind: str = "merge") -> DataFrame:
     at = KEY.format(start="cuts[i - 1]", size="cuts[i] - cuts[i - 1]")
     ids = f"""flatten(transform(sequence(1, size(cuts) - 1), i -> if(element_at(ids_of, {at}) IS NOT NULL, array(element_at(ids_of, {at})),
         transform(array(substring(word, cuts[i - 1], 1)), ch -> {other})[0])))"""
-    if kind == "merge":
-        return edges.select("word", F.expr(ids_by_merges(other)).alias("ids"))
     # transform(array(x), name -> ...)[0] binds x once; a plain column would be put
     # into the lambdas and computed again for every element
     bound = f"""transform(array({entry('score')}), scores -> transform(array({cuts_by_path()}), cuts ->
@@ -247,7 +296,11 @@ def fold_long(words: DataFrame, pieces: DataFrame, vocab: dict, kind: str = "mer
 def ids_of(words: DataFrame, vocab: dict, kind: str = "merge") -> DataFrame:
     """(word, ids) of stored distinct words by the lattice."""
     pieces = piece_table(words.sparkSession, vocab)
-    found = fold(lattice(words.where(F.length("word") <= MAX_CHARS), pieces, vocab["longest"]), vocab, kind)
+    short, merges = words.where(F.length("word") <= MAX_CHARS), ids_by_merges(vocab)
+    if kind == "merge":     # gathered and folded in one pass, so that edges do not travel back and forth
+        found = spans(short, pieces, vocab["longest"]).mapInArrow(lambda rows: merges(gathered(rows)), "word string, ids array<int>")
+    else:
+        found = fold(lattice(short, pieces, vocab["longest"]), vocab, kind)
     long = words.where(F.length("word") > MAX_CHARS)
     return found if long.isEmpty() else found.unionByName(fold_long(long, pieces, vocab, kind))
 
@@ -278,8 +331,9 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_WORDS, kind: str = "m
     spark, vocab, scratch = docs.sparkSession, vocabulary(path), []
     # words by steps of their count, from the most frequent step down as far as the bound
     # allows: a few hundred sums, no sort of all words
-    counted = stored(count_words(docs, words=vocab["words"]).where(F.length("word").between(1, MAX_CHARS))
-                     .withColumn("step", F.floor(F.log2("n") * 64)), "piece-counts", scratch)
+    with released(spark):
+        counted = stored(count_words(docs, words=vocab["words"]).where(F.length("word").between(1, MAX_CHARS))
+                         .withColumn("step", F.floor(F.log2("n") * 64)), "piece-counts", scratch)
     least, total = None, 0
     for r in sorted(counted.groupBy("step").count().collect(), key=lambda r: -r["step"]):
         total += r["count"]
@@ -287,7 +341,12 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_WORDS, kind: str = "m
             break
         least = r["step"]
     words = counted.where(F.col("step") >= F.lit(least)).select("word") if least is not None else counted.limit(0).select("word")
-    found = {r["word"]: np.array(r["ids"], "<i4").tobytes() for r in ids_of(words, vocab, kind).toLocalIterator()}
+    known = stored(ids_of(words, vocab, kind), "piece-known", scratch)
+    found = {}
+    for batch in known.toArrow().to_batches(SEEN):
+        ids = batch.column(1)
+        flat, ends = np.asarray(ids.values).astype("<i4"), np.asarray(ids.offsets).tolist()
+        found.update((w, flat[i:j].tobytes()) for w, i, j in zip(batch.column(0).to_pylist(), ends, ends[1:]))
     drop(spark, scratch)
     return found
 
@@ -333,11 +392,34 @@ def encode(docs: DataFrame, known: dict[str, bytes], path: str, text: str = "tex
     all other words get theirs by the lattice here. Texts of equal hash share their words, so a collision loses none."""
     spark, vocab, scratch = docs.sparkSession, vocabulary(path), []
     shared, pattern = spark.sparkContext.broadcast(known), vocab["words"]
-    rest = stored(other_words(docs, shared, pattern, text), "piece-words", scratch)
-    folded = stored(ids_of(stored(rest.select("word").distinct(), "piece-distinct", scratch), vocab, kind), "piece-ids", scratch)
-    found = stored(rest.join(folded, "word").groupBy("text_hash").agg(F.collect_set(F.struct("word", "ids")).alias("found"))
+    with released(spark):
+        rest = stored(other_words(docs, shared, pattern, text), "piece-words", scratch)
+        distinct: list[str] = []
+        folded = stored(ids_of(stored(rest.select("word").distinct(), "piece-distinct", distinct), vocab, kind), "piece-ids", scratch)
+        drop(spark, distinct)
+        found = reduce(DataFrame.unionByName, [
+            stored(rest.where(F.pmod("text_hash", F.lit(ROUNDS)) == k).join(folded, "word").groupBy("text_hash").agg(F.collect_set(F.struct("word", "ids")).alias("found"))
                    .select(F.col("text_hash").alias("_text_hash"), F.col("found.word").alias("_words"), F.col("found.ids").alias("_word_ids")), "piece-found")
-    drop(spark, scratch)
+            for k in range(ROUNDS)])
+        drop(spark, scratch)
+
+    # the join back deals texts out compressed, each for itself
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            yield pa.concat_arrays([pa.array([None if v is None else len(v).to_bytes(4, "little") + codec.compress(v, asbytes=True)
+                                              for v in (t.as_py() for t in cut)], pa.binary()) for cut, in slices((batch.cast(pa.binary()),))])
+
+    def texts_of(batch: pa.Array) -> Iterator[str | None]:
+        codec = pa.Codec("zstd")
+        for data in (d.as_py() for d in batch):
+            yield None if data is None else codec.decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True).decode()
+
+    @F.arrow_udf("string")
+    def unpacked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.concat_arrays([pa.array(texts_of(cut), pa.string()) for cut, in slices((batch,))])
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -351,15 +433,16 @@ def encode(docs: DataFrame, known: dict[str, bytes], path: str, text: str = "tex
         more, more_ids = np.asarray(words.offsets).tolist(), np.asarray(word_ids.offsets).tolist()
         data = np.asarray(per_word.values).astype("<i4")
         ends = np.asarray(per_word.offsets).tolist()
-        for k, value in enumerate(texts):
+        for k, value in enumerate(texts_of(texts)):
             own = {w: data[ends[i]:ends[i + 1]].tobytes() for w, i in zip(flat[more[k]:more[k + 1]], range(more_ids[k], more_ids[k + 1]))}
-            rows.append(b"".join([first[w] if w in first else own[w] for w in words_of(value.as_py() or "", pattern)]))
+            rows.append(b"".join([first[w] if w in first else own[w] for w in words_of(value or "", pattern)]))
         offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
     # copies of one text meet in one key: the documents' side is plain, so it is split as a skewed join
-    joined = docs.withColumn("_hash_of_text", F.xxhash64(text)).join(found, F.col("_hash_of_text") == F.col("_text_hash"), "left")
-    return joined.withColumn(ids, run(F.col(text), F.col("_words"), F.col("_word_ids"))).drop("_hash_of_text", "_text_hash", "_words", "_word_ids")
+    joined = docs.withColumn("_hash_of_text", F.xxhash64(text)).withColumn(text, packed(F.col(text))).join(found, F.col("_hash_of_text") == F.col("_text_hash"), "left")
+    return joined.withColumns({ids: run(F.col(text), F.col("_words"), F.col("_word_ids")), text: unpacked(F.col(text))}) \
+        .drop("_hash_of_text", "_text_hash", "_words", "_word_ids")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -398,6 +481,8 @@ def op6_sentencepiece(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decode(encode(docs, dictionary(docs, path), path), path)
+    known = dictionary(docs, path)
+    # the decoded text is held against the SHA-256 of the text, so that the text itself need not come back from the join
+    found = decode(encode(docs.withColumn("text_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), known, path), path)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decoded_equal"))
+                        (F.sha2("decoded", 256) == F.col("text_sha")).alias("decoded_equal"))
