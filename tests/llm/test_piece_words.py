@@ -1,6 +1,7 @@
 """Every word of op6 goes through the lattice: no library call encodes one, whatever the dictionary holds."""
 
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -88,8 +89,12 @@ def test_texts_are_dealt_out_compressed_and_shuffle_files_go(spark, tmp_path):
     local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).parent
     held = lambda: {f for f in local.rglob("shuffle_*.data")}
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    known = piece_lattice.dictionary(docs, path, most=5)
     conf, before = spark.conf.get(name), held()
-    found = piece_lattice.encode(docs, piece_lattice.dictionary(docs, path, most=5), path)
+    found = piece_lattice.encode(docs, known, path)
+    until = time.time() + 15        # Spark removes them in the background
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
     assert not held() - before and spark.conf.get(name) == conf
     join = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "packed(" in line)
     assert "packed(text" in join and {r["doc_id"]: r["text"] for r in found.collect()} == dict(enumerate(texts))
